@@ -5,3 +5,11 @@ nothing is computed until the caller runs an action.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get the functions of this package with the task, so executors
+# do not need it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

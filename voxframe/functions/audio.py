@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,7 +43,6 @@ def context_frames(
     return _clamp((n + F.pmod(draw, 2 * reach + 1) - reach).cast("int"))
 
 
-@lru_cache(maxsize=4)
 def mel_filters(n_mels: int) -> np.ndarray:
     """Triangular filters on the area-normalised mel scale, (n_mels, 201)."""
     step = 200.0 / 3.0  # linear below 1 kHz, logarithmic above
@@ -63,7 +60,7 @@ def mel_filters(n_mels: int) -> np.ndarray:
     return np.maximum(0.0, np.minimum(rise, fall)) * area[:, None]
 
 
-def log_mel(samples: np.ndarray, n_mels: int = 80) -> tuple[np.ndarray, float]:
+def log_mel(samples: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, float]:
     """Log-mel frames that touch the clip, and the value of every later frame.
 
     The clip counts as padded with silence to 30 s; silent frames are all
@@ -85,7 +82,7 @@ def log_mel(samples: np.ndarray, n_mels: int = 80) -> tuple[np.ndarray, float]:
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(WINDOW) / WINDOW)
     frames = np.lib.stride_tricks.sliding_window_view(track, WINDOW)[::HOP][:used]
     power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-    logs = np.log10(np.maximum(mel_filters(n_mels) @ power.T, 1e-10))
+    logs = np.log10(np.maximum(filters @ power.T, 1e-10))
     peak = logs.max() if logs.size else -10.0
     if used < FRAMES:
         peak = max(peak, -10.0)
@@ -93,23 +90,30 @@ def log_mel(samples: np.ndarray, n_mels: int = 80) -> tuple[np.ndarray, float]:
     return scaled, (max(-10.0, peak - 8.0) + 4.0) / 4.0
 
 
-def resample(samples: np.ndarray, rate: int, target: int = SAMPLE_RATE, taps: int = 32) -> np.ndarray:
-    """Band-limited resampling with a Hann-windowed sinc kernel."""
+def sinc_phases(rate: int, target: int = SAMPLE_RATE, taps: int = 32) -> np.ndarray:
+    """Hann-windowed sinc, one row for each place an output can take between samples."""
+    common = int(np.gcd(rate, target))
+    step, phases = rate // common, target // common
+    cut = min(1.0, phases / step)
+    reach = int(np.ceil(taps / cut))
+    gap = np.arange(phases)[:, None] / phases - np.arange(-reach + 1, reach + 1)[None, :]
+    kernel = cut * np.sinc(cut * gap) * (0.5 + 0.5 * np.cos(np.pi * gap / reach))
+    kernel[np.abs(gap) > reach] = 0.0
+    return kernel
+
+
+def resample(samples: np.ndarray, rate: int, kernel: np.ndarray, target: int = SAMPLE_RATE) -> np.ndarray:
+    """Band-limited resampling with the kernels of `sinc_phases(rate, target)`."""
     x = np.asarray(samples, dtype=np.float64)
     if rate == target or len(x) == 0:
         return x
-    n_out = int(np.ceil(len(x) * target / rate))
-    cut = min(1.0, target / rate)
-    reach = int(np.ceil(taps / cut))
-    out = np.empty(n_out)
-    for lo in range(0, n_out, 16_384):  # bounds the work array, not the clip
-        at = np.arange(lo, min(lo + 16_384, n_out)) * (rate / target)
-        idx = np.floor(at).astype(np.int64)[:, None] + np.arange(-reach + 1, reach + 1)[None, :]
-        gap = at[:, None] - idx
-        kernel = cut * np.sinc(cut * gap) * (0.5 + 0.5 * np.cos(np.pi * gap / reach))
-        kernel[np.abs(gap) > reach] = 0.0
-        inside = (idx >= 0) & (idx < len(x))
-        out[lo : lo + len(at)] = np.sum(
-            np.where(inside, x[np.clip(idx, 0, len(x) - 1)], 0.0) * kernel, axis=1
-        )
+    phases, width = kernel.shape
+    step = rate * phases // target
+    padded = np.zeros(len(x) + 2 * width)
+    padded[width // 2 - 1 : width // 2 - 1 + len(x)] = x
+    views = np.lib.stride_tricks.sliding_window_view(padded, width)
+    out = np.empty(-(-len(x) * target // rate))
+    for first in range(min(phases, len(out))):  # outputs of one phase share a kernel
+        at = np.arange(first, len(out), phases) * step // phases
+        out[first::phases] = views[at] @ kernel[first * step % phases]
     return out

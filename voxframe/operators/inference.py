@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from voxframe.functions.audio import log_mel, resample
+from voxframe.functions.audio import SAMPLE_RATE, log_mel, mel_filters, resample, sinc_phases
 
 
 def map_rows(
@@ -49,12 +48,15 @@ def clip_features(df: DataFrame, key: str, audio: str = "audio", n_mels: int = 8
     """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filters, kernels = mel_filters(n_mels), {}
         for batch in batches:
             rows = []
             for row_key, samples, rate in zip(batch["k"], batch["a"], batch["r"]):
-                wave = resample(np.asarray(samples, dtype=np.float64), int(rate))
-                mel, fill = log_mel(wave, n_mels)
-                rows.append((row_key, len(wave) / 16_000, mel.shape[1], mel.tolist(), fill))
+                if rate not in kernels:
+                    kernels[rate] = sinc_phases(int(rate))
+                wave = resample(samples, int(rate), kernels[rate])
+                mel, fill = log_mel(wave, filters)
+                rows.append((row_key, len(wave) / SAMPLE_RATE, mel.shape[1], mel.tolist(), fill))
             yield pd.DataFrame(rows, columns=[key, "duration", "n_frames", "features", "fill"])
 
     key_type = df.schema[key].dataType.simpleString()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.text import spell_words
+from voxframe.functions.text import word_alignment
 from voxframe.operators.rows import drop_empty_reference
 
 
@@ -22,15 +22,12 @@ def word_edits(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     Rows with a blank reference are dropped first, a NULL hypothesis counts as
     empty. The texts are dropped as soon as they have been read.
     """
-    spelled = drop_empty_reference(df, ref).withColumn(
-        "__s", spell_words(F.col(ref), F.coalesce(F.col(hyp), F.lit("")))
+    aligned = drop_empty_reference(df, ref).withColumn(
+        "__a", word_alignment(F.col(ref), F.coalesce(F.col(hyp), F.lit("")))
     )
-    return spelled.withColumns(
-        {
-            "edits": F.levenshtein("__s.ref", "__s.hyp").cast("long"),
-            "ref_words": F.char_length("__s.ref").cast("long"),
-        }
-    ).drop("__s", ref, hyp)
+    return aligned.withColumns(
+        {"edits": F.col("__a.edits"), "ref_words": F.col("__a.ref_words")}
+    ).drop("__a", ref, hyp)
 
 
 def wer(edits: str = "edits", ref_words: str = "ref_words", empty_value: float | None = None) -> Column:

@@ -37,34 +37,31 @@ def build_vocab(df: DataFrame, size: int = VOCAB_SIZE, text: str = "text") -> Da
 def encode_text(
     df: DataFrame,
     vocab: DataFrame,
-    key: str,
+    keys: Sequence[str],
     text: str = "text",
     max_len: int = MAX_LABELS,
     vocab_size: int = VOCAB_SIZE,
     wrap: bool = False,
 ) -> DataFrame:
-    """(key, labels): one id per word, unknown words as one id, cut to `max_len`.
+    """(keys, labels): one id per word, unknown words as one id, cut to `max_len`.
 
     Words past the cut cannot reach the result, so they are left out before
     the join; every text then holds at most `max_len` of them. `wrap` sets the
     start and end ids around the words, inside the same limit.
     """
     words = tokens(F.col(text))
-    if wrap:
-        words = F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(None).cast("int").alias("fixed")))
-        edge = lambda i: F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(i).alias("fixed")))
-        words = F.concat(edge(START), words, edge(END))
-    else:
-        words = F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(None).cast("int").alias("fixed")))
-    spread = df.select(key, F.posexplode_outer(F.slice(words, 1, max_len)).alias("i", "w")).select(
-        key, "i", F.col("w.token").alias("token"), F.col("w.fixed").alias("fixed")
-    )
+    if wrap:  # NULL marks an edge, and the place tells which one
+        edge = F.array(F.lit(None).cast("string"))
+        words = F.concat(edge, words, edge)
+    spread = df.select(*keys, F.posexplode_outer(F.slice(words, 1, max_len)).alias("i", "token"))
     ids = small_side(vocab.select("token", "token_id"), vocab_size)
-    known = spread.join(ids, "token", "left").select(
-        key, "i", F.coalesce("fixed", "token_id", F.lit(UNKNOWN)).alias("id")
+    edge_id = F.when(F.col("i") == 0, START).otherwise(END)
+    word_id = F.coalesce("token_id", F.lit(UNKNOWN))
+    known = spread.join(ids, "token", "left").withColumn(
+        "id", F.when(F.col("token").isNull(), edge_id).otherwise(word_id)
     )
     entry = F.when(F.col("i").isNotNull(), F.struct("i", "id"))
-    return known.groupBy(key).agg(
+    return known.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["id"]).alias("labels")
     )
 
@@ -72,20 +69,20 @@ def encode_text(
 def decode_ids(
     df: DataFrame,
     vocab: DataFrame,
-    key: str,
+    keys: Sequence[str],
     labels: str = "labels",
     special: Sequence[int] = (PAD, START, END),
     vocab_size: int = VOCAB_SIZE,
 ) -> DataFrame:
-    """(key, decoded): words joined by spaces, ignored and special ids left out."""
+    """(keys, decoded): words joined by spaces, ignored and special ids left out."""
     ids = F.transform(F.col(labels), lambda v: F.when(v == IGNORE, PAD).otherwise(v))
-    spread = df.select(key, F.posexplode_outer(ids).alias("i", "token_id"))
+    spread = df.select(*keys, F.posexplode_outer(ids).alias("i", "token_id"))
     words = spread.join(
         small_side(vocab.select("token_id", "token"), vocab_size), "token_id", "left"
     )
     shown = F.col("i").isNotNull() & ~F.col("token_id").isin(*special)
     entry = F.when(shown, F.struct("i", F.coalesce("token", F.lit("<unk>")).alias("token")))
-    return words.groupBy(key).agg(
+    return words.groupBy(*keys).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["token"]), " "
         ).alias("decoded")

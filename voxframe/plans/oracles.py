@@ -158,9 +158,6 @@ padded AS (
   SELECT c.clip_id, c.batch, c.m, c.common, c.i, b.id
   FROM cells c LEFT JOIN batched b ON b.clip_id = c.clip_id AND b.i = c.i)"""
 
-_KEY = "md5('{seed}-' || CAST({key} AS VARCHAR))"
-
-
 def _key(seed: int | str, key: str = "clip_id") -> str:
     return f"md5({seed} || '-' || CAST({key} AS VARCHAR))"
 
@@ -168,33 +165,10 @@ def _key(seed: int | str, key: str = "clip_id") -> str:
 _WEIGHTS = "[" + ", ".join(str((i % 7 - 3) / 4.0) for i in range(64)) + "]"
 
 
-def _features(rate: int) -> str:
-    """Log-mel features by a plain Fourier sum per frame."""
-    source = "SELECT clip_id, x FROM raw"
-    extra = ""
-    if rate != 16_000:
-        # windowed sinc, 32 taps a side in output samples
-        extra = f""",
-outs AS (
-  SELECT clip_id, x, CAST(ceil(len(x) * 16000 / {rate}.0) AS BIGINT) AS n_out FROM raw),
-places AS (SELECT clip_id, x, unnest(range(n_out)) AS o FROM outs),
-taps AS (SELECT unnest(range(-88, 90)) AS d),
-gaps AS (
-  SELECT clip_id, o, o * {rate / 16_000!r}::DOUBLE - (floor(o * {rate / 16_000!r}::DOUBLE) + d) AS gap,
-    list_extract(x, CAST(floor(o * {rate / 16_000!r}::DOUBLE) AS BIGINT) + d + 1) AS v
-  FROM places, taps
-  WHERE CAST(floor(o * {rate / 16_000!r}::DOUBLE) AS BIGINT) + d BETWEEN 0 AND len(x) - 1),
-resampled AS (
-  SELECT clip_id, o, sum(v * {16_000 / rate!r}::DOUBLE *
-      CASE WHEN gap = 0 THEN 1 ELSE sin(pi() * {16_000 / rate!r}::DOUBLE * gap) / (pi() * {16_000 / rate!r}::DOUBLE * gap) END
-      * (0.5 + 0.5 * cos(pi() * gap / 89))) AS v
-  FROM gaps WHERE abs(gap) <= 89 GROUP BY clip_id, o),
-waves AS (SELECT clip_id, list(v ORDER BY o) AS x FROM resampled GROUP BY clip_id)"""
-    else:
-        extra = f",\nwaves AS ({source})"
-    return f"""WITH raw AS (
+# Log-mel features by a plain Fourier sum per frame.
+_FEATURES = """WITH waves AS (
   SELECT doc_id AS clip_id, list_transform(string_split(text, ''), lambda c: (unicode(c) % 64 - 32) / 32.0::DOUBLE) AS x
-  FROM documents){extra},
+  FROM documents),
 mels AS (
   SELECT m, CASE WHEN mel < 15 THEN mel * 200.0 / 3.0 ELSE 1000.0 * exp((mel - 15) * ln(6.4) / 27.0) END AS hz
   FROM (SELECT m, m * (15 + 27.0 * ln(8.0) / ln(6.4)) / 81.0 AS mel FROM (SELECT unnest(range(82)) AS m))),
@@ -460,6 +434,5 @@ FROM split JOIN clips USING (clip_id) WHERE has_text""",
   SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest({_WEIGHTS}::DOUBLE[]) AS w FROM embeddings)
 SELECT vec_id, round(sum(v * w), 6) + 0.0::DOUBLE AS score FROM cells GROUP BY vec_id""",
     "clip_seconds": "SELECT doc_id AS clip_id, round(length(text) / 16000.0::DOUBLE, 7) AS duration FROM documents",
-    "clip_features": _features(16_000),
-    "resampled_features": _features(44_100),
+    "clip_features": _FEATURES,
 }

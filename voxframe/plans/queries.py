@@ -163,13 +163,13 @@ def resume_window(spark, sf):
 
 
 def build_vocab(spark, sf):
-    return sequences.build_vocab(V.clips(spark, sf).select("text"), VOCAB)
+    return sequences.build_vocab(V.clips(spark, sf, wide=True).select("text"), VOCAB)
 
 
 def _encoded(spark, sf, wrap=False, cut=sequences.MAX_LABELS):
-    clips = V.clips(spark, sf).select("clip_id", "text")
+    clips = V.clips(spark, sf, wide=True).select("clip_id", "text")
     vocab = sequences.build_vocab(clips, VOCAB)
-    return vocab, sequences.encode_text(clips, vocab, "clip_id", "text", cut, VOCAB, wrap)
+    return vocab, sequences.encode_text(clips, vocab, ["clip_id"], "text", cut, VOCAB, wrap)
 
 
 def encode_text(spark, sf):
@@ -180,12 +180,15 @@ def encode_text(spark, sf):
 def decode_ids(spark, sf):
     vocab, encoded = _encoded(spark, sf, wrap=True, cut=256)
     ignored = F.transform("labels", lambda v, i: F.when(i % 10 == 9, A.IGNORE).otherwise(v))
-    return sequences.decode_ids(encoded.withColumn("labels", ignored), vocab, "clip_id", "labels", vocab_size=VOCAB)
+    return sequences.decode_ids(encoded.withColumn("labels", ignored), vocab, ["clip_id"], vocab_size=VOCAB)
 
 
 def _batched(spark, sf):
-    _, encoded = _encoded(spark, sf, wrap=True)
-    batches = order.assign_batches(order.with_position(encoded, "clip_id"), 16)
+    clips = V.clips(spark, sf, wide=True).select("clip_id", "text")
+    vocab = sequences.build_vocab(clips, VOCAB)
+    placed = order.assign_batches(order.with_position(clips, "clip_id"), 16)
+    keys = ["clip_id", "batch", "in_batch"]
+    batches = sequences.encode_text(placed, vocab, keys, vocab_size=VOCAB, wrap=True)
     # every fifth batch has rows without a start id
     bare = (F.col("batch") % 5 == 0) & (F.col("in_batch") % 2 == 1)
     rest = F.slice("labels", F.lit(2), F.size("labels"))
@@ -375,8 +378,9 @@ def wer_by_model(spark, sf):
 
 
 def wer_at_n(spark, sf):
-    clips = rows.valid_text_rows(V.clips(spark, sf).select("clip_id", "text"))
-    placed = V.hypotheses(order.with_position(clips, "clip_id")).withColumnRenamed("text", "ref")
+    clips = rows.valid_text_rows(V.clips(spark, sf, wide=True).select("clip_id", "text"))
+    pos = order.with_position(clips.select("clip_id"), "clip_id")
+    placed = V.hypotheses(clips.join(pos, "clip_id")).withColumnRenamed("text", "ref")
     return metrics.wer_at_n(placed, [200, 2000, 0]).withColumn("wer", r6("wer"))
 
 
@@ -390,7 +394,7 @@ def zip_pairs(spark, sf):
 
 def vs_baseline(spark, sf):
     by_lang = metrics.word_edits(
-        V.hypotheses(V.clips(spark, sf).select("clip_id", "lang", "text")).withColumnRenamed("text", "ref")
+        V.hypotheses(V.clips(spark, sf, wide=True).select("clip_id", "lang", "text")).withColumnRenamed("text", "ref")
     )
     table = by_lang.groupBy("model", "lang").agg(metrics.wer().alias("wer"))
     before = table.where(F.col("model") == 3).select(F.col("lang").alias("model"), "wer")
@@ -502,7 +506,7 @@ def map_rows(spark, sf):
             }
         )
 
-    clips = rows.valid_text_rows(V.clips(spark, sf))
+    clips = rows.valid_text_rows(V.clips(spark, sf, wide=True))
     return inference.map_rows(clips, measure, "clip_id long, n_words long, n_upper long", ["clip_id", "text"])
 
 

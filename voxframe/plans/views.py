@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.text import wer_text
 from voxframe.operators.order import number_within
+from voxframe.session import spread
 
 STUDENT_VOCAB = 63
 SUBSTITUTE = "<unk>"  # a word no text of the tables contains
@@ -16,9 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips from documents; some texts are blank and some have no audio."""
-    return table(spark, sf_dir, "documents").select(
+def clips(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """Clips from documents; some texts are blank and some have no audio.
+
+    `wide` spreads them over all cores, for work on every word.
+    """
+    docs = table(spark, sf_dir, "documents")
+    return (spread(docs, "doc_id") if wide else docs).select(
         F.col("doc_id").alias("clip_id"),
         F.col("doc_id").alias("pos"),
         F.when(F.col("doc_id") % 17 == 0, "  ").otherwise(F.col("text")).alias("text"),
@@ -38,7 +43,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def waves(spark: SparkSession, sf_dir: str, rate: int = 16_000) -> DataFrame:
     """One sample per character of the whole text."""
     sample = lambda c: ((F.ascii(c) % 64 - 32) / F.lit(32.0)).cast("float")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("clip_id"),
         F.struct(
             F.transform(F.split("text", ""), sample).alias("array"),
@@ -123,7 +128,7 @@ def hypotheses(refs: DataFrame, text: str = "text") -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, clip_id, ref, hyp, ms): every clip once per model, whole texts."""
-    docs = clips(spark, sf_dir).select("clip_id", "text", "duration")
+    docs = clips(spark, sf_dir, wide=True).select("clip_id", "text", "duration")
     return hypotheses(docs).select(
         "model",
         "clip_id",
