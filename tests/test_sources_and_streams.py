@@ -1,0 +1,283 @@
+import warnings
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from voxframe.functions import audio
+from voxframe.operators import inference, order, rows, scores
+from voxframe.session import scratch_dir
+from voxframe.sources import logs, snapshots, tables
+from voxframe.sources import scores as stored
+from voxframe.streaming import jobs
+
+
+def clips(spark, n, first=0):
+    ids = F.col("id").alias("example_pos")
+    return spark.range(first, first + n).select(
+        ids,
+        F.when(F.col("id") == 1, " ").otherwise(F.concat(F.lit("clip "), F.col("id"))).alias("text"),
+        F.struct(F.array(F.col("id").cast("float")).alias("array"), F.lit(16000).alias("sampling_rate")).alias("audio"),
+    )
+
+
+def score(df):
+    """Two positions of eight scores per clip."""
+    logits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("example_pos") * 5 + F.col("tok_pos") * 3 + i * 7) % 11).cast("double"))
+    return df.withColumn("tok_pos", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "example_pos", "tok_pos", F.lit(3).alias("label_id"), logits.alias("teacher")
+    )
+
+
+def content(df):
+    cols = sorted(df.columns)
+    return sorted(map(str, df.select(cols).collect()))
+
+
+# --- tables
+
+
+def test_splits(spark, tmp_path):
+    path = str(tmp_path)
+    spark.range(10).withColumn("split", F.when(F.col("id") < 7, "train").otherwise("test")).write.partitionBy("split").mode("overwrite").parquet(path)
+    train = tables.read_split(spark, path, "train")
+    assert train.count() == 7
+    assert "PartitionFilters: [isnotnull(split" in train._jdf.queryExecution().toString()
+    assert tables.read_optional_split(spark, path, "test").count() == 3
+    assert tables.read_optional_split(spark, path, None) is None
+    with pytest.warns(UserWarning, match="validation"):
+        assert tables.read_optional_split(spark, path, "validation") is None
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        tables.read_optional_split(spark, path, "train")
+
+
+def test_file_order(spark, tmp_path):
+    for i, (a, b) in enumerate([(0, 5), (5, 6), (6, 20)]):
+        spark.range(a, b).coalesce(1).write.parquet(f"{tmp_path}/part={i}")
+    got = tables.read_in_file_order(spark, str(tmp_path))
+    assert got.where("id <> pos").count() == 0 and got.count() == 20
+    assert "Exchange hashpartitioning(id" not in got._jdf.queryExecution().toString()
+
+
+# --- scores
+
+
+def test_scores_by_position(spark, tmp_path):
+    top = scores.top_k_per_position(score(rows.valid_rows(clips(spark, 6))), 3)
+    stored.write_teacher_scores(top, str(tmp_path), per_folder=2)
+    back = stored.read_teacher_scores(spark, str(tmp_path), per_folder=2)
+    assert content(back) == content(stored.stored_form(top))
+    aligned = scores.align_scores(rows.valid_rows(clips(spark, 6)), back)
+    assert sorted({r.example_pos for r in aligned.collect()}) == [0, 2, 3, 4, 5]
+    some = stored.read_teacher_scores(spark, str(tmp_path), 3, 5, per_folder=2)
+    assert sorted({r.example_pos for r in some.collect()}) == [3, 4]
+    assert "PartitionFilters: [isnotnull(pos_block" in some._jdf.queryExecution().toString()
+
+
+def test_ids_past_short(spark, tmp_path):
+    df = spark.createDataFrame([(0, 0, 3, [(51865, 1.5)])], "example_pos long, tok_pos int, label_id int, top array<struct<token_id: int, logit: double>>")
+    stored.write_teacher_scores(df, str(tmp_path))
+    assert stored.read_teacher_scores(spark, str(tmp_path)).first().top[0].token_id == 51865
+
+
+def test_choose_score_source(spark, tmp_path):
+    live = lambda: scores.top_k_per_position(score(clips(spark, 2)), 2)
+    default = f"{tmp_path}/scores"
+    kind, df = stored.choose_score_source(spark, None, default, live)
+    assert kind == "live"
+    stored.write_teacher_scores(df, default)
+    kind2, df2 = stored.choose_score_source(spark, None, default, lambda: pytest.fail("computed"))
+    assert kind2 == "stored" and df2.schema.simpleString() == df.schema.simpleString() and content(df) == content(df2)
+    assert stored.choose_score_source(spark, default, "/nowhere", live)[0] == "stored"
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        stored.choose_score_source(spark, f"{tmp_path}/gone", default, live)
+
+
+# --- logs
+
+
+def test_run_log(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    assert logs.read_run_log(spark, path).count() == 0
+    row = lambda step, m: spark.createDataFrame([(step, step / 10, m)], "step long, epoch double, metrics map<string,double>")
+    logs.append_log(row(1, {"loss": 2.0}), path)
+    logs.append_log(row(2, {"loss": 1.5, "eval_wer": 0.0}), path)
+    got = logs.read_run_log(spark, path).orderBy("step").collect()
+    assert [(r.step, r.epoch, r.metrics) for r in got] == [(1, 0.1, {"loss": 2.0}), (2, 0.2, {"loss": 1.5, "eval_wer": 0.0})]
+    last = logs.read_run_log(spark, path).select(F.max_by(F.col("metrics")["eval_wer"], "step")).first()[0]
+    assert last == 0.0
+
+
+def test_results_keep_failed_runs(spark, tmp_path):
+    df = spark.createDataFrame([(0.5, 1.0, 0.8, False), (0.7, 1.0, None, True)], "alpha double, temperature double, wer double, error boolean")
+    logs.write_results(df, f"{tmp_path}/results")
+    assert '"wer":null' in "".join(r.value for r in spark.read.text(f"{tmp_path}/results").collect())
+    assert content(spark.read.schema(df.schema).json(f"{tmp_path}/results")) == content(df)
+
+
+def test_snapshot_listing(spark, tmp_path):
+    for name, size in (("checkpoint-5/config.json", 3), ("checkpoint-5/model.safetensors", 7), ("final/config.json", 1)):
+        target = tmp_path / "run-a" / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(b"x" * size)
+    got = snapshots.list_snapshots(spark, str(tmp_path))
+    assert {(r.run, r.dir, r.file_name, r["size"]) for r in got.collect()} == {
+        ("run-a", "checkpoint-5", "config.json", 3), ("run-a", "checkpoint-5", "model.safetensors", 7), ("run-a", "final", "config.json", 1)
+    }
+
+
+def test_scratch_dir_follows_the_session(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert a.startswith(base) and a != b
+
+
+# --- streams
+
+
+def stream(spark, path):
+    return tables.read_stream_source(spark, path, clips(spark, 1).schema, files_per_trigger=1)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    clips(spark, 20).repartition(3).write.parquet(f"{tmp_path}/in")
+    keep = ["example_pos", "text"]
+    jobs.run_available(jobs.prepare(stream(spark, f"{tmp_path}/in"), keep), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    want = jobs.prepare(clips(spark, 20), keep)
+    assert content(spark.read.parquet(f"{tmp_path}/out")) == content(want)
+
+
+def test_scoring_resumes(spark, tmp_path):
+    source, out, cp = (f"{tmp_path}/{d}" for d in ("in", "out", "cp"))
+    settings = {"teacher_model": "t", "batch_size": 16, "split": "train"}
+    run = lambda **kw: jobs.score_stream(stream(spark, source), score, 3, out, cp, settings, **kw).awaitTermination()
+    assert logs.read_progress(spark, f"{out}/progress") is None
+    clips(spark, 8).coalesce(1).write.mode("append").parquet(source)
+    run()
+    first = logs.read_progress(spark, f"{out}/progress")
+    assert (first["next_idx"], first["examples_processed"], first["complete"]) == (8, 7, False)
+    clips(spark, 5, first=8).coalesce(1).write.mode("append").parquet(source)
+    run()  # a new start goes on after what is done
+    run()  # nothing new: nothing changes
+    second = logs.read_progress(spark, f"{out}/progress")
+    assert (second["next_idx"], second["examples_processed"], second["top_k"], second["split"]) == (13, 12, 3, "train")
+    want = stored.stored_form(scores.top_k_per_position(score(rows.valid_rows(clips(spark, 13))), 3))
+    assert content(spark.read.parquet(f"{out}/scores").drop("batch_id")) == content(want)
+    jobs.mark_complete(spark, out)
+    assert logs.read_progress(spark, f"{out}/progress")["complete"] is True
+
+
+def test_scoring_stops_at(spark, tmp_path):
+    source, out, cp = (f"{tmp_path}/{d}" for d in ("in", "out", "cp"))
+    clips(spark, 8).coalesce(1).write.parquet(source)
+    jobs.score_stream(stream(spark, source), score, 3, out, cp, {}, stop_at=5).awaitTermination()
+    got = spark.read.parquet(f"{out}/scores")
+    assert sorted({r.example_pos for r in got.collect()}) == [0, 2, 3, 4]
+    assert logs.read_progress(spark, f"{out}/progress")["next_idx"] == 5
+
+
+def test_stream_shuffle(spark, tmp_path):
+    clips(spark, 30).coalesce(1).write.parquet(f"{tmp_path}/in")
+    jobs.shuffle_stream(stream(spark, f"{tmp_path}/in"), 3, "example_pos", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.shuffle_pos for r in got) == sorted(r.example_pos for r in got) == list(range(30))
+    assert any(r.shuffle_pos != r.example_pos for r in got)
+
+
+# --- user functions and features
+
+
+def test_map_rows_and_predict(spark):
+    df = clips(spark, 10).repartition(3)
+    fn = lambda b: pd.DataFrame({"example_pos": b["example_pos"], "n": b["text"].str.len()})
+    got = inference.map_rows(df, fn, "example_pos long, n int", ["example_pos", "text"])
+    assert {r.example_pos: r.n for r in got.collect()} == {i: 1 if i == 1 else 6 for i in range(10)}
+
+    def make_model():
+        return lambda x: x @ np.array([1.0, 10.0])
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "id long, v array<double>")
+    scored = inference.batch_predict(df, make_model, ["v"], "s", DoubleType(), 3, [[2]])
+    assert {r.id: r.s for r in scored.collect()} == {i: i + 10.0 for i in range(7)}
+
+
+def direct_log_mel(x, n_mels):
+    """The definition, frame by frame, over the whole 30 s."""
+    x = np.asarray(x)[:480_000]
+    whole = np.zeros(480_000)
+    whole[: len(x)] = x
+    padded = np.pad(whole, 200, mode="reflect")
+    window = np.hanning(401)[:-1]
+    logs_ = np.full((n_mels, 3000), -10.0)
+    bank = audio.mel_filters(n_mels)
+    for t in range(3000):
+        frame = padded[t * 160 : t * 160 + 400]
+        if frame.any():
+            logs_[:, t] = np.log10(np.maximum(bank @ (np.abs(np.fft.rfft(frame * window)) ** 2), 1e-10))
+    return (np.maximum(logs_, logs_.max() - 8.0) + 4.0) / 4.0
+
+
+@pytest.mark.parametrize("seconds,n_mels", [(0.5, 80), (0.01, 80), (2.0, 128), (29.99, 80), (31.0, 80)])
+def test_log_mel(seconds, n_mels):
+    t = np.arange(int(seconds * 16_000)) / 16_000
+    x = 0.5 * np.sin(2 * np.pi * 440 * t) + 0.1 * np.sin(2 * np.pi * 3000 * t)
+    mel, fill = audio.log_mel(x, audio.mel_filters(n_mels))
+    want = direct_log_mel(x, n_mels)
+    assert np.allclose(mel, want[:, : mel.shape[1]], atol=1e-9)
+    assert np.allclose(want[:, mel.shape[1] :], fill, atol=1e-9)
+
+
+def test_mel_filters_peak_where_the_tone_is():
+    for hz in (200, 1000, 4000):
+        t = np.arange(16_000) / 16_000
+        mel, _ = audio.log_mel(np.sin(2 * np.pi * hz * t), audio.mel_filters(80))
+        best = mel[:, 50].argmax()
+        bank = audio.mel_filters(80)[best]
+        assert abs(np.arange(201)[bank.argmax()] * 40 - hz) <= 120
+
+
+def direct_resample(x, rate, target=16_000):
+    """Sum over the kernel for every output on its own."""
+    cut = min(1.0, target / rate)
+    reach = int(np.ceil(32 / cut))
+    out = []
+    for o in range(-(-len(x) * target // rate)):
+        at = o * rate / target
+        base = o * rate // target
+        total = 0.0
+        for i in range(max(0, base - reach + 1), min(len(x), base + reach + 1)):
+            gap = at - i
+            if abs(gap) <= reach:
+                total += x[i] * cut * np.sinc(cut * gap) * (0.5 + 0.5 * np.cos(np.pi * gap / reach))
+        out.append(total)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("rate", [44_100, 8_000, 22_050, 48_000, 16_000])
+def test_resample(rate):
+    x = np.sin(2 * np.pi * 440 * np.arange(rate // 10) / rate)
+    got = audio.resample(x, rate, audio.sinc_phases(rate))
+    if rate == 16_000:
+        assert (got == x).all()
+        return
+    assert np.allclose(got, direct_resample(x, rate), atol=1e-9)
+    inner = slice(200, -200)
+    assert np.allclose(got[inner], np.sin(2 * np.pi * 440 * np.arange(len(got)) / 16_000)[inner], atol=2e-3)
+
+
+def test_clip_features(spark):
+    def wave(rate, seconds):
+        return (0.3 * np.sin(2 * np.pi * 500 * np.arange(int(rate * seconds)) / rate)).astype(np.float32)
+
+    data = [(1, (wave(16_000, 1.0).tolist(), 16_000)), (2, (wave(44_100, 1.0).tolist(), 44_100)), (3, ([], 16_000))]
+    df = spark.createDataFrame(data, "id long, audio struct<array: array<float>, sampling_rate: int>")
+    got = {r.id: r for r in inference.clip_features(df, "id").collect()}
+    assert got[1].n_frames == got[2].n_frames == 102
+    a, b = np.array(got[1].features), np.array(got[2].features)
+    tone = a[:, 50].argmax()
+    assert b[:, 50].argmax() == tone and abs(a[tone, 50] - b[tone, 50]) < 1e-3
+    assert np.allclose(a, audio.log_mel(wave(16_000, 1.0), audio.mel_filters(80))[0])
+    assert (got[3].duration, got[3].fill) == (0.0, -1.5)

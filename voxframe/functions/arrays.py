@@ -77,7 +77,7 @@ def top_k_renorm(top: Column, temperature: float | Column = 1.0) -> Column:
 
 def gather(x: Column, ids: Column) -> Column:
     """Entries of `x` at zero-based `ids`."""
-    return let(x, lambda a: F.transform(ids, lambda i: F.element_at(a, i + 1)))
+    return let(x, lambda a: F.transform(ids, lambda i: F.element_at(a, i.cast("int") + 1)))
 
 
 def is_scored(label: Column) -> Column:
@@ -86,14 +86,13 @@ def is_scored(label: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """Negative log-probability of the label at one position; NULL where masked."""
-    ce = let(doubles(logits), lambda a: log_sum_exp(a) - F.element_at(a, label + 1))
+    ce = let(doubles(logits), lambda a: log_sum_exp(a) - F.element_at(a, label.cast("int") + 1))
     return F.when(is_scored(label), ce)
 
 
 def _kl_term(log_p: Column, log_q: Column) -> Column:
-    # p = 0 counts as 0, also where log p is minus infinity
-    p = F.exp(log_p)
-    return F.when(p > 0, p * (log_p - log_q)).otherwise(0.0)
+    # p = 0 counts as 0, also where log p is minus infinity; exp(-746) is 0
+    return F.when(log_p > -746.0, F.exp(log_p) * (log_p - log_q)).otherwise(0.0)
 
 
 def kl_full(teacher: Column, student: Column, temperature: float | Column = 1.0) -> Column:
@@ -116,7 +115,7 @@ def kl_top_k(top: Column, student: Column, temperature: float | Column = 1.0) ->
             kept,
             F.lit(0.0),
             lambda acc, e: acc
-            + _kl_term(e["logit"] / t - zt, F.element_at(s, e["token_id"] + 1) / t - zs),
+            + _kl_term(e["logit"] / t - zt, F.element_at(s, e["token_id"].cast("int") + 1) / t - zs),
         )
 
     def with_norms(kept: Column, s: Column) -> Column:

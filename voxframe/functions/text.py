@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ def has_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words between runs of white space."""
-    return F.filter(F.split(c, f"{_WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(c, f"{_WS}+"), "")
 
 
 def wer_text(c: Column) -> Column:
@@ -53,28 +55,36 @@ def edit_distance(ref: list[str], hyp: list[str]) -> int:
     places: dict[str, int] = {}
     for i, w in enumerate(ref):
         places[w] = places.get(w, 0) | 1 << i
-    full, last = (1 << len(ref)) - 1, 1 << (len(ref) - 1)
+    bottom = len(ref) - 1
+    full = (1 << len(ref)) - 1
     up, down, distance = full, 0, len(ref)
     for w in hyp:
         match = places.get(w, 0)
-        diagonal = (((match & up) + up) ^ up) | match | down
-        right_up = down | (full & ~(diagonal | up))
-        right_down = up & diagonal
-        if right_up & last:
-            distance += 1
-        elif right_down & last:
-            distance -= 1
-        right_up = right_up << 1 | 1
-        up = (right_down << 1 | ~(diagonal | right_up)) & full
-        down = right_up & diagonal & full
+        level = ((((match & up) + up) ^ up) | match | down) & full
+        rise = down | ((level | up) ^ full)
+        fall = up & level
+        distance += (rise >> bottom) - (fall >> bottom)
+        rise = (rise << 1 | 1) & full
+        up = (fall << 1) & full | ((level | rise) ^ full)
+        down = rise & level
     return distance
 
 
+def wer_words(text: str) -> list[str]:
+    """Words as the word error rate reads them.
+
+    Runs of two or more white space characters become one space and both ends
+    are stripped. Words are then what stands between spaces, so a lone line
+    break stays inside its word.
+    """
+    return re.sub(r"\s{2,}", " ", text).strip().split(" ")
+
+
 @F.pandas_udf(StructType([StructField("edits", LongType()), StructField("ref_words", LongType())]))
 def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     edits, words = [], []
     for r, h in zip(ref, hyp):
-        a, b = [w for w in r.split(" ") if w], [w for w in h.split(" ") if w]
+        a, b = wer_words(r), wer_words(h) if h.strip() else []
         edits.append(edit_distance(a, b))
         words.append(len(a))
     return pd.DataFrame({"edits": edits, "ref_words": words})
@@ -83,11 +93,11 @@ def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 def word_alignment(ref: Column, hyp: Column) -> Column:
     """struct<edits, ref_words> of two texts, of any length and any number of words.
 
-    Neither may be NULL. Spark's `levenshtein` compares characters and fills
+    Neither may be NULL and the reference may not be blank. Spark's `levenshtein` compares characters and fills
     the whole table, which is quadratic in time for long texts, and words would
     have to be renamed to characters first; this takes 1/64 of the steps.
     """
-    return _align(wer_text(ref), wer_text(hyp))
+    return _align(ref, hyp)
 
 
 def step_number(name: Column, prefix: str = "checkpoint") -> Column:

@@ -79,9 +79,14 @@ def number_within(
 
 
 def with_position(df: DataFrame, order: str, name: str = "pos", block: int = BLOCK) -> DataFrame:
-    """Stream position from 0 over all rows, the invalid ones included."""
-    numbered = number_within(df, [], order, name, block)
-    return numbered.withColumn(name, F.col(name) - 1)
+    """Stream position from 0 over all rows, the invalid ones included.
+
+    Only the ordering column is numbered; the rows themselves (texts, samples)
+    join their position by it and so stay spread over all tasks.
+    """
+    numbered = number_within(df.select(order), [], order, name, block)
+    numbered = numbered.withColumn(name, F.col(name) - 1)
+    return numbered if df.columns == [order] else df.join(numbered, order, "left")
 
 
 def shuffle_bounded(

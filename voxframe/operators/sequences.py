@@ -53,16 +53,18 @@ def encode_text(
     if wrap:  # NULL marks an edge, and the place tells which one
         edge = F.array(F.lit(None).cast("string"))
         words = F.concat(edge, words, edge)
-    spread = df.select(*keys, F.posexplode_outer(F.slice(words, 1, max_len)).alias("i", "token"))
-    ids = small_side(vocab.select("token", "token_id"), vocab_size)
-    edge_id = F.when(F.col("i") == 0, START).otherwise(END)
-    word_id = F.coalesce("token_id", F.lit(UNKNOWN))
-    known = spread.join(ids, "token", "left").withColumn(
-        "id", F.when(F.col("token").isNull(), edge_id).otherwise(word_id)
+    spread = df.select(*keys, F.posexplode_outer(F.slice(words, 1, max_len)).alias("__i", "__word"))
+    ids = small_side(
+        vocab.select(F.col("token").alias("__word"), F.col("token_id").alias("__id")), vocab_size
     )
-    entry = F.when(F.col("i").isNotNull(), F.struct("i", "id"))
-    return known.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["id"]).alias("labels")
+    edge_id = F.when(F.col("__i") == 0, START).otherwise(END)
+    word_id = F.coalesce("__id", F.lit(UNKNOWN))
+    entry = F.struct("__i", F.when(F.col("__word").isNull(), edge_id).otherwise(word_id).alias("id"))
+    return (
+        spread.join(ids, "__word", "left")
+        .groupBy(*keys)
+        .agg(F.collect_list(F.when(F.col("__i").isNotNull(), entry)).alias("__entries"))
+        .select(*keys, F.transform(F.array_sort("__entries"), lambda e: e["id"]).alias("labels"))
     )
 
 
@@ -76,16 +78,22 @@ def decode_ids(
 ) -> DataFrame:
     """(keys, decoded): words joined by spaces, ignored and special ids left out."""
     ids = F.transform(F.col(labels), lambda v: F.when(v == IGNORE, PAD).otherwise(v))
-    spread = df.select(*keys, F.posexplode_outer(ids).alias("i", "token_id"))
-    words = spread.join(
-        small_side(vocab.select("token_id", "token"), vocab_size), "token_id", "left"
+    spread = df.select(*keys, F.posexplode_outer(ids).alias("__i", "__id"))
+    words = small_side(
+        vocab.select(F.col("token_id").alias("__id"), F.col("token").alias("__word")), vocab_size
     )
-    shown = F.col("i").isNotNull() & ~F.col("token_id").isin(*special)
-    entry = F.when(shown, F.struct("i", F.coalesce("token", F.lit("<unk>")).alias("token")))
-    return words.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["token"]), " "
-        ).alias("decoded")
+    shown = F.col("__i").isNotNull() & ~F.col("__id").isin(*special)
+    entry = F.struct("__i", F.coalesce("__word", F.lit("<unk>")).alias("word"))
+    return (
+        spread.join(words, "__id", "left")
+        .groupBy(*keys)
+        .agg(F.collect_list(F.when(shown, entry)).alias("__entries"))
+        .select(
+            *keys,
+            F.array_join(F.transform(F.array_sort("__entries"), lambda e: e["word"]), " ").alias(
+                "decoded"
+            ),
+        )
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.functions.text import wer_text
+from voxframe.functions.text import has_text, wer_text
 from voxframe.operators.order import number_within
 from voxframe.session import spread
 
@@ -93,36 +93,33 @@ def hypotheses(refs: DataFrame, text: str = "text") -> DataFrame:
     replaces some and adds a word after others. The new word is not part of
     any text, so the number of changes is also the edit distance.
     """
-    words = F.filter(F.split(wer_text(F.col(text)), " "), lambda w: w != "")
-    new, none = F.array(F.lit(SUBSTITUTE)), F.array().cast("array<string>")
+    words = F.split(wer_text(F.col(text)), " ")
 
-    def spoil(drop: int, replace: int):
+    def dropped(drop: int, replace: int):
+        # NULL entries are left out when the words are joined again
         return F.transform(
             "words",
-            lambda w, i: F.when((i + 1) % drop == 0, none)
-            .when((i + 1) % replace == 0, new)
-            .otherwise(F.array(w)),
+            lambda w, i: F.when((i + 1) % drop != 0, F.when((i + 1) % replace == 0, SUBSTITUTE).otherwise(w)),
         )
 
-    def add(replace: int, after: int):
-        return F.transform(
-            "words",
-            lambda w, i: F.concat(
-                F.when((i + 1) % replace == 0, new).otherwise(F.array(w)),
-                F.when((i + 1) % after == 0, new).otherwise(none),
-            ),
-        )
+    def added(replace: int, after: int):
+        def change(w, i):
+            word = F.when((i + 1) % replace == 0, SUBSTITUTE).otherwise(w)
+            return F.when((i + 1) % after == 0, F.concat(word, F.lit(f" {SUBSTITUTE}"))).otherwise(word)
+
+        return F.transform("words", change)
 
     changed = (
-        F.when(F.col("model") == 1, spoil(6, 8))
-        .when(F.col("model") == 2, add(7, 13))
-        .otherwise(spoil(9, 5))
+        F.when(F.col("text_blank"), F.array().cast("array<string>"))
+        .when(F.col("model") == 1, dropped(6, 8))
+        .when(F.col("model") == 2, added(7, 13))
+        .otherwise(dropped(9, 5))
     )
     return (
-        refs.withColumn("words", words)
+        refs.withColumns({"words": words, "text_blank": ~has_text(F.col(text))})
         .withColumn("model", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-        .withColumn("hyp", F.array_join(F.flatten(changed), " "))
-        .drop("words")
+        .withColumn("hyp", F.array_join(changed, " "))
+        .drop("words", "text_blank")
     )
 
 
