@@ -93,6 +93,9 @@ def test_fixed_lengths(spark):
     fixed = A.pad_or_trim(F.col("a"), 3)
     assert one(spark, fixed, a=[1.0]) == [1, 0, 0]
     assert one(spark, fixed, a=[1.0, 2.0, 3.0, 4.0]) == [1, 2, 3]
+    by_row = A.pad_or_trim(F.col("a"), F.col("n"), F.struct(F.lit(0).cast("long").alias("id")))
+    df = spark.createDataFrame([([(7,)], 2), ([(7,), (8,)], 1)], "a array<struct<id: long>>, n int")
+    assert [[e.id for e in r[0]] for r in df.select(by_row).collect()] == [[7, 0], [7]]
     f = A.truncate_context(F.col("f"), F.col("n"))
     wide = [[float(i) for i in range(6)]] * 2
     assert one(spark, f, f=wide, n=2) == [[0.0, 1.0, 2.0, 3.0]] * 2
@@ -116,3 +119,20 @@ def test_row_form_equals_array_form(spark):
     assert sorted(map(tuple, array.select(cols).collect())) == sorted(
         map(tuple, scores.top_k_long(long, 4).select(cols).collect())
     )
+
+
+def test_wide_top_k_equals_top_k(spark):
+    rows = [(i, [float((i * 13 + j * j) % 17) for j in range(i * 5 % 40)]) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    for k in (1, 4, 50):
+        both = df.select("id", A.top_k(F.col("x"), k).alias("a"), A.top_k_wide(F.col("x"), k).alias("b"))
+        assert all(r.a == r.b for r in both.collect())
+    wide = scores.top_k_per_position(df, 3, "x", vocab=50_000)
+    assert "ArrowEvalPython" in wide._jdf.queryExecution().executedPlan().toString()
+    assert wide.count() == 41
+
+
+def test_packed_positions(spark):
+    df = spark.createDataFrame([(1, 1, "b"), (0, 0, "c"), (1, 0, "a")], "example_pos long, tok_pos int, v string")
+    got = {r.example_pos: [(p.tok_pos, p.v) for p in r.positions] for r in scores.pack_positions(df).collect()}
+    assert got == {0: [(0, "c")], 1: [(0, "a"), (1, "b")]}

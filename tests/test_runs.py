@@ -60,14 +60,18 @@ def test_is_complete(spark):
                ("a", "y", "config.json"), ("a", "y", "model.safetensors"), ("a", "y", "tokenizer.json"))
     got = {r.dir: (r.complete, r.missing) for r in runs.is_complete(df, ["run", "dir"]).collect()}
     assert got == {"x": (False, ["tokenizer.json"]), "y": (True, [])}
+    empty = files(spark, ("a", "z", None))
+    assert runs.is_complete(empty, ["run", "dir"]).first().missing == runs.REQUIRED_FILES
 
 
 def test_snapshots(spark):
     df = files(spark, *[("a", d, "f") for d in ("checkpoint-250", "checkpoint-1000", "checkpoint-x", "checkpoint-9-old")],
                ("b", "final", "f"))
     assert {r.run: r.snapshot for r in runs.latest_snapshot(df).collect()} == {"a": "checkpoint-1000", "b": None}
-    chosen = F.when(F.col("run") == "b", F.lit("mine"))
-    assert {r.run: r.snapshot for r in runs.latest_snapshot(df, chosen).collect()} == {"a": "checkpoint-1000", "b": "mine"}
+    chosen = lambda name: F.when(F.col("run") == "b", F.lit(name))
+    got = lambda name: {r.run: r.snapshot for r in runs.latest_snapshot(df, chosen(name)).collect()}
+    assert got("final") == {"a": "checkpoint-1000", "b": "final"}
+    assert got("gone") == {"a": "checkpoint-1000", "b": None}
 
 
 @pytest.mark.parametrize("bound", [None, 10])

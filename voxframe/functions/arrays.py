@@ -9,8 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+_TOP_TYPE = ArrayType(
+    StructType([StructField("token_id", IntegerType()), StructField("logit", DoubleType())])
+)
 
 IGNORE = -100  # label of a position that takes no part in a loss
 
@@ -59,17 +66,64 @@ def align_vocab(a: Column, b: Column) -> tuple[Column, Column]:
 def top_k(x: Column, k: int) -> Column:
     """The k highest scores, descending, as array<struct<token_id, logit>>.
 
-    Equal scores are ordered by the lower token id.
+    Equal scores are ordered by the lower token id. The k-th highest score is
+    found on the plain numbers, which Spark sorts without boxing them; only
+    entries that reach it are then ordered together with their ids.
     """
-    keyed = F.transform(
-        doubles(x), lambda v, i: F.struct((-v).alias("down"), i.alias("token_id"))
-    )
+
+    def reaching(a: Column) -> Callable[[Column], Column]:
+        return lambda cut: F.array_compact(
+            F.transform(
+                a,
+                lambda v, i: F.when(
+                    v >= cut, F.struct((-v).alias("down"), i.alias("token_id"))
+                ),
+            )
+        )
+
+    def best(a: Column) -> Column:
+        place = -F.least(F.lit(k), F.greatest(F.size(a), F.lit(1)))
+        return let(F.try_element_at(F.sort_array(a), place), reaching(a))
+
     return F.transform(
-        F.slice(F.array_sort(keyed), 1, k),
+        F.slice(F.array_sort(let(doubles(x), best)), 1, k),
         lambda s: F.struct(s["token_id"].alias("token_id"), (-s["down"]).alias("logit")),
     )
 
 
+# From this width on an Arrow batch costs less than Spark's array functions,
+# which handle one boxed entry at a time (measured at 51,865 scores: 10 ms
+# against 39 ms a position).
+WIDE = 4_096
+
+
+def top_k_wide(x: Column, k: int) -> Column:
+    """`top_k` for arrays of a whole vocabulary, in Arrow batches."""
+
+    @F.arrow_udf(_TOP_TYPE)
+    def select(scores: pa.Array) -> pa.Array:
+        offsets, values = scores.offsets.to_numpy(), scores.values.to_numpy(zero_copy_only=False)
+        ids, ends = [], [0]
+        for lo, hi in zip(offsets[:-1], offsets[1:]):
+            row, kept = values[lo:hi], min(k, hi - lo)
+            if kept < len(row):
+                reach = np.flatnonzero(row >= np.partition(row, len(row) - kept)[len(row) - kept])
+            else:
+                reach = np.arange(len(row))
+            ids.append(reach[np.lexsort((reach, -row[reach]))][:kept])
+            ends.append(ends[-1] + int(kept))
+        places = np.concatenate(ids) if ids else np.empty(0, dtype=np.int64)
+        rows = np.repeat(offsets[:-1], np.diff(ends))
+        entries = pa.StructArray.from_arrays(
+            [pa.array(places, pa.int32()), pa.array(values[rows + places], pa.float64())],
+            ["token_id", "logit"],
+        )
+        mask = pa.array(scores.is_null().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries, mask=mask)
+
+    return select(doubles(x))
+
+
 def top_k_renorm(top: Column, temperature: float | Column = 1.0) -> Column:
     """Softmax over the kept scores only."""
     return softmax(F.transform(top, lambda s: s["logit"]), temperature)
@@ -136,11 +190,16 @@ def vector_mse(layers_a: Column, layers_b: Column) -> Column:
     return total / F.size(F.flatten(layers_a))
 
 
-def pad_or_trim(x: Column, n: int, fill: Column | float = 0.0) -> Column:
-    """Exactly n entries: cut the tail or append `fill`."""
+def pad_or_trim(x: Column, n: int | Column, fill: Column | float = 0.0) -> Column:
+    """Exactly n entries: cut the tail or append `fill`.
+
+    Entries may be numbers, arrays or structs, so stored scores can be fitted
+    to the length of the labels too.
+    """
+    n = n if isinstance(n, Column) else F.lit(n)
     fill = fill if isinstance(fill, Column) else F.lit(fill)
-    missing = F.greatest(F.lit(n) - F.size(x), F.lit(0))
-    return F.slice(F.concat(x, F.array_repeat(fill, missing)), 1, n)
+    missing = F.greatest(n - F.size(x), F.lit(0))
+    return F.slice(F.concat(x, F.array_repeat(fill, missing)), F.lit(1), n)
 
 
 def truncate_context(feature: Column, n_frames: Column, full: int = 1500) -> Column:

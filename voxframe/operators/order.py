@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import seeded_key
+from voxframe.session import whole_div
 
 BLOCK = 1 << 20
 _BLOCK, _HEAD = "__block", "__head"
@@ -68,7 +69,7 @@ def running_totals(
     block: int = BLOCK,
 ) -> DataFrame:
     """Running sums along `order`, an integer column unique within `partition`."""
-    return blocked_totals(df, F.floor(F.col(order) / block), [order], totals, partition)
+    return blocked_totals(df, whole_div(F.col(order), block), [order], totals, partition)
 
 
 def number_within(
@@ -93,7 +94,7 @@ def shuffle_bounded(
     df: DataFrame, buffer: int, seed: int, pos: str = "pos", key: str = "pos", name: str = "shuffle_pos"
 ) -> DataFrame:
     """Seeded reordering in which no row leaves its buffer of `buffer` positions."""
-    block = F.floor(F.col(pos) / buffer)
+    block = whole_div(F.col(pos), buffer)
     within = Window.partitionBy(block).orderBy(seeded_key(seed, F.col(key)), key)
     return df.withColumn(name, block * buffer + F.row_number().over(within) - 1)
 
@@ -124,7 +125,7 @@ def assign_batches(df: DataFrame, size: int, pos: str = "pos") -> DataFrame:
     """Batch number and place in the batch; the last batch may be short."""
     return df.withColumns(
         {
-            "batch": F.floor(F.col(pos) / size),
+            "batch": whole_div(F.col(pos), size),
             "in_batch": F.pmod(F.col(pos), F.lit(size)).cast("int"),
         }
     )
@@ -138,11 +139,11 @@ def step_plan(
     Accumulation runs on across epochs, as an optimiser sees it. Rows of step
     `max_steps` and later are not used; 0 means no end.
     """
-    per_epoch = df.select(F.ceil((F.max(pos) + 1) / batch)).scalar()
+    per_epoch = df.select(whole_div(F.max(pos) + batch, batch)).scalar()
     plan = df.withColumn(
         "epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
-    ).withColumn("micro_batch", F.col("epoch") * per_epoch + F.floor(F.col(pos) / batch))
-    plan = plan.withColumn("step", F.floor(F.col("micro_batch") / accum))
+    ).withColumn("micro_batch", F.col("epoch") * per_epoch + whole_div(F.col(pos), batch))
+    plan = plan.withColumn("step", whole_div(F.col("micro_batch"), accum))
     return plan.where(F.col("step") < max_steps) if max_steps > 0 else plan
 
 
@@ -152,7 +153,7 @@ def steps_per_epoch(df: DataFrame, batch: int, accum: int, floor_rows: bool = Fa
     `floor_rows` gives rows div accum, which ignores the batch size.
     """
     n = F.count(F.lit(1))
-    steps = F.floor(n / accum) if floor_rows else F.ceil(n / (batch * accum))
+    steps = whole_div(n, accum) if floor_rows else whole_div(n + (batch * accum - 1), batch * accum)
     return df.agg(steps.alias("steps_per_epoch"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.text import step_number
 from voxframe.operators.order import BLOCK, running_totals
-from voxframe.session import small_side
+from voxframe.session import small_side, whole_div
 
 # The files a finished model folder holds
 REQUIRED_FILES = ["config.json", "model.safetensors", "tokenizer.json"]
@@ -27,7 +27,7 @@ def throughput(
     """
     valid = F.lit(True) if valid is None else valid
     per_batch = (
-        df.withColumn("batch", F.floor((F.col(step) - 1) / batch))
+        df.withColumn("batch", whole_div(F.col(step) - 1, batch))
         .groupBy(run, "batch")
         .agg(
             F.count_if(valid).alias("rows"),
@@ -82,7 +82,7 @@ def running_mean(df: DataFrame, n: int, value: str = "loss", run: str = "run", s
     rows since the one before, so a grouped mean replaces a sliding window and
     is combined before the shuffle.
     """
-    report = (F.ceil(F.col(step) / n) * n).cast("long").alias("report_step")
+    report = (whole_div(F.col(step) + (n - 1), n) * n).alias("report_step")
     return (
         df.groupBy(run, report)
         .agg(F.avg(value).alias("mean"), F.max(step).alias("__last"))
@@ -98,7 +98,8 @@ def is_complete(df: DataFrame, keys: Sequence[str], required: Sequence[str] = RE
     One flag per required file is all the state a folder needs, however many
     files it has.
     """
-    seen = [F.bool_or(F.col(file_name) == f).alias(f"__f{i}") for i, f in enumerate(required)]
+    holds = lambda f: F.coalesce(F.bool_or(F.col(file_name) == f), F.lit(False))
+    seen = [holds(f).alias(f"__f{i}") for i, f in enumerate(required)]
     missing = F.array_compact(
         F.array(*[F.when(~F.col(f"__f{i}"), F.lit(f)) for i, f in enumerate(required)])
     )
@@ -145,11 +146,18 @@ def retain_latest(df: DataFrame, n: int, run: str = "run", name: str = "dir",
 
 def latest_snapshot(df: DataFrame, explicit: Column | None = None, run: str = "run",
                     name: str = "dir", prefix: str = "checkpoint") -> DataFrame:
-    """Folder with the highest step per run; an explicit choice wins, NULL if none."""
-    step = step_number(F.col(name), prefix)
-    latest = df.groupBy(run).agg(F.max_by(name, step).alias("latest"))
-    chosen = F.col("latest") if explicit is None else F.coalesce(explicit, F.col("latest"))
-    return latest.select(run, chosen.alias("snapshot"))
+    """Folder with the highest step per run, NULL if there is none.
+
+    An explicit choice (a column of the run) wins; if that folder does not
+    exist the run starts afresh, so the result is NULL too.
+    """
+    wanted = F.lit(None).cast("string") if explicit is None else explicit
+    found = df.groupBy(run).agg(
+        F.max_by(name, step_number(F.col(name), prefix)).alias("__latest"),
+        F.coalesce(F.bool_or(F.col(name) == wanted), F.lit(False)).alias("__exists"),
+    )
+    chosen = F.when(wanted.isNull(), F.col("__latest")).when(F.col("__exists"), wanted)
+    return found.select(run, chosen.alias("snapshot"))
 
 
 def state_or_name(df: DataFrame, steps_per_epoch: int, name: str = "dir", state_step: str = "state_step",
@@ -161,7 +169,7 @@ def state_or_name(df: DataFrame, steps_per_epoch: int, name: str = "dir", state_
     """
     saved = F.col(state_step).isNotNull()
     from_name = F.coalesce(step_number(F.col(name), prefix), F.lit(0).cast("long"))
-    epoch = F.floor(from_name / steps_per_epoch) if steps_per_epoch > 0 else F.lit(0).cast("long")
+    epoch = whole_div(from_name, steps_per_epoch) if steps_per_epoch > 0 else F.lit(0).cast("long")
     return df.withColumns(
         {
             "step": F.when(saved, F.col(state_step)).otherwise(from_name),

@@ -13,9 +13,15 @@ from voxframe.operators.grid import sweep_grid
 POSITION = ["example_pos", "tok_pos"]
 
 
-def top_k_per_position(df: DataFrame, k: int, scores: str = "teacher") -> DataFrame:
-    """Replace the score array of each position by its k best entries."""
-    return df.withColumn("top", A.top_k(F.col(scores), k)).drop(scores)
+def top_k_per_position(
+    df: DataFrame, k: int, scores: str = "teacher", vocab: int | None = None
+) -> DataFrame:
+    """Replace the score array of each position by its k best entries.
+
+    `vocab` is the width of the arrays, where it is known to be large.
+    """
+    pick = A.top_k_wide if vocab is not None and vocab >= A.WIDE else A.top_k
+    return df.withColumn("top", pick(F.col(scores), k)).drop(scores)
 
 
 def top_k_long(df: DataFrame, k: int, score: str = "logit") -> DataFrame:
@@ -43,11 +49,24 @@ def gather_top(top: DataFrame, student: DataFrame) -> DataFrame:
     return top.join(student, [*POSITION, "token_id"])
 
 
+def pack_positions(df: DataFrame) -> DataFrame:
+    """One row per example: (example_pos, positions), ordered by token position.
+
+    At most as many positions as an example has labels. Joining packed scores
+    keeps wide example columns (samples, features) from being copied to every
+    token position.
+    """
+    rest = [c for c in df.columns if c not in POSITION]
+    packed = F.array_sort(F.collect_list(F.struct("tok_pos", *rest)))
+    return df.groupBy("example_pos").agg(packed.alias("positions"))
+
+
 def align_scores(examples: DataFrame, scores: DataFrame, pos: str = "example_pos") -> DataFrame:
     """Pair valid examples with their stored scores by stream position.
 
     Filter the examples first: a row that was never scored has no partner.
-    A plain equi join; the optimiser may merge, hash or broadcast it.
+    A plain equi join; the optimiser may merge, hash or broadcast it. Give
+    scores from `pack_positions` when the examples carry wide columns.
     """
     return examples.join(scores, pos)
 

@@ -273,6 +273,8 @@ SELECT clip_id, string_agg(CAST(coalesce(id, -100) AS VARCHAR), ' ' ORDER BY i)
 FROM padded GROUP BY clip_id""",
     # scores and losses
     "topk_per_position": f"""WITH {VECTORS}, {RANKED}
+SELECT example_pos, tok_pos, rank, token_id, round(logit, 6) AS logit FROM top""",
+    "topk_wide": f"""WITH {VECTORS}, {RANKED}
 SELECT example_pos, tok_pos, rank, token_id, round(logit, 6) AS logit FROM top""",
     "topk_long": f"""WITH {VECTORS}, {RANKED}
 SELECT example_pos, tok_pos, rank, token_id, round(logit, 6) AS logit FROM top""",
@@ -294,6 +296,11 @@ FROM aligned a JOIN s USING (vec_id) GROUP BY a.example_pos, a.tok_pos""",
 SELECT v.example_pos, v.tok_pos, c.lang, v.label_id, round(max(t.logit), 6) AS best_logit
 FROM clips c JOIN vectors v ON v.example_pos = c.pos JOIN teacher t ON t.vec_id = v.vec_id
 WHERE c.has_text AND c.has_audio GROUP BY ALL""",
+    "align_packed": f"""WITH {CLIPS}, {VECTORS}, {RANKED},
+best AS (
+  SELECT example_pos, string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY tok_pos) AS best
+  FROM ranked WHERE rank = 1 GROUP BY example_pos)
+SELECT b.example_pos, c.text, b.best FROM clips c JOIN best b ON b.example_pos = c.pos WHERE c.has_text AND c.has_audio""",
     "gather_topk": f"""WITH {VECTORS}, {RANKED},
 norm AS (SELECT vec_id, ln(sum(exp(logit))) AS z FROM student GROUP BY vec_id)
 SELECT t.example_pos, t.tok_pos, t.rank, t.token_id, round(t.logit, 6) AS logit, round(s.logit - z, 6) AS log_q
@@ -410,7 +417,8 @@ SELECT run, dir, step, row_number() OVER (PARTITION BY run ORDER BY step DESC) <
     "latest_snapshot": f"""WITH {FILES},
 runs AS (SELECT DISTINCT run FROM files),
 best AS (SELECT run, dir FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM snaps) WHERE r = 1)
-SELECT run, CASE WHEN run = 2 THEN 'checkpoint-500' ELSE dir END AS snapshot FROM runs LEFT JOIN best USING (run)""",
+SELECT run, CASE WHEN run = 2 THEN (SELECT max(dir) FROM files WHERE files.run = 2 AND dir = 'checkpoint-500')
+  WHEN run = 4 THEN NULL ELSE dir END AS snapshot FROM runs LEFT JOIN best USING (run)""",
     "state_or_name": f"""WITH {FILES},
 named AS (SELECT event_id, file_name, coalesce(TRY_CAST(regexp_extract(dir, '^checkpoint-(\\d+)$', 1) AS BIGINT), 0) AS s FROM files)
 SELECT event_id, CASE WHEN file_name = 'optimizer.pt' THEN event_id ELSE s END AS step,

@@ -19,7 +19,7 @@ from voxframe.functions.text import run_label, tokens
 from voxframe.operators import inference, metrics, order, rows, runs, scores, sequences
 from voxframe.operators.grid import ALPHAS, TEMPERATURES, sweep_grid
 from voxframe.plans import views as V
-from voxframe.session import scratch_dir
+from voxframe.session import scratch_dir, whole_div
 from voxframe.sources import logs, tables
 from voxframe.sources import scores as stored
 from voxframe.streaming import jobs
@@ -229,6 +229,11 @@ def topk_per_position(spark, sf):
     return scores.explode_top(top).withColumn("logit", r6("logit"))
 
 
+def topk_wide(spark, sf):
+    top = scores.top_k_per_position(V.teacher_positions(spark, sf), TOP, vocab=A.WIDE)
+    return scores.explode_top(top).withColumn("logit", r6("logit"))
+
+
 def _teacher_long(spark, sf):
     return V.teacher_positions(spark, sf).select(
         *scores.POSITION, F.posexplode("teacher").alias("token_id", "logit")
@@ -280,6 +285,14 @@ def align_scores(spark, sf):
     )
 
 
+def align_packed(spark, sf):
+    examples = rows.valid_rows(V.clips(spark, sf)).select(F.col("pos").alias("example_pos"), "text")
+    top = scores.top_k_per_position(V.teacher_positions(spark, sf), TOP)
+    aligned = scores.align_scores(examples, scores.pack_positions(top))
+    best = F.transform("positions", lambda p: F.element_at(p["top"], 1)["token_id"])
+    return aligned.withColumn("best", best).select("example_pos", "text", joined("best").alias("best"))
+
+
 def gather_topk(spark, sf):
     top = scores.top_k_long(_teacher_long(spark, sf), TOP)
     student = V.scores(spark, sf).select(
@@ -466,14 +479,14 @@ def retain_latest(spark, sf):
 
 
 def latest_snapshot(spark, sf):
-    explicit = F.when(F.col("run") == 2, F.lit("checkpoint-500"))
+    explicit = F.when(F.col("run") == 2, "checkpoint-500").when(F.col("run") == 4, "checkpoint-gone")
     return runs.latest_snapshot(V.files(spark, sf), explicit)
 
 
 def state_or_name(spark, sf):
     saved = F.when(F.col("file_name") == "optimizer.pt", F.col("event_id"))
     df = V.files(spark, sf).select(
-        "event_id", "dir", saved.alias("state_step"), F.floor(saved / 100).alias("state_epoch")
+        "event_id", "dir", saved.alias("state_step"), whole_div(saved, 100).alias("state_epoch")
     )
     return runs.state_or_name(df, 1000).select("event_id", "step", "epoch")
 
@@ -555,8 +568,8 @@ REGISTERED: dict[str, Query] = {
         with_position, file_position, position_in_source, seeded_shuffle, full_shuffle, repeat_epochs,
         assign_batches, step_plan, steps_per_epoch, resume_window,
         build_vocab, encode_text, decode_ids, pad_batch, drop_common_start, shift_right, pad_mask,
-        topk_per_position, topk_long, softmax_t, log_softmax_t, topk_renorm, vocab_align, loss_mask,
-        align_scores, gather_topk, gather_topk_array, cross_entropy, kl_full, kl_topk, combined_loss,
+        topk_per_position, topk_wide, topk_long, softmax_t, log_softmax_t, topk_renorm, vocab_align, loss_mask,
+        align_scores, align_packed, gather_topk, gather_topk_array, cross_entropy, kl_full, kl_topk, combined_loss,
         combined_loss_full, vector_mse, storage_per_row, pad_or_trim, truncate_context,
         word_edits, wer_corpus, wer_by_model, wer_at_n, zip_pairs, vs_baseline,
         last_metric, best_step, final_vs_best, running_mean, throughput, rank_runs, grid,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.text import has_text, wer_text
 from voxframe.operators.order import number_within
-from voxframe.session import spread
+from voxframe.session import spread, whole_div
 
 STUDENT_VOCAB = 63
 SUBSTITUTE = "<unk>"  # a word no text of the tables contains
@@ -68,7 +68,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice("teacher", 1, STUDENT_VOCAB).alias("student"),
     )
     return vectors.join(student, "vec_id").select(
-        F.floor(F.col("vec_id") / 10).alias("example_pos"),
+        whole_div(F.col("vec_id"), 10).alias("example_pos"),
         (F.col("vec_id") % 10).cast("int").alias("tok_pos"),
         "teacher",
         "student",
@@ -79,7 +79,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def teacher_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The teacher's half of `scores`."""
     return table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 10).alias("example_pos"),
+        whole_div(F.col("vec_id"), 10).alias("example_pos"),
         (F.col("vec_id") % 10).cast("int").alias("tok_pos"),
         F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 10).alias("teacher"),
         F.when(F.col("vec_id") % 10 >= 8, -100).otherwise(F.col("label")).alias("label_id"),
@@ -141,7 +141,7 @@ def runs(spark: SparkSession, sf_dir: str, block: int = 1 << 20) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         "event_id",
         run.alias("run"),
-        F.element_at(F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9)), (F.floor(run / 2) + 1).cast("int")).alias("alpha"),
+        F.element_at(F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9)), (whole_div(run, 2) + 1).cast("int")).alias("alpha"),
         F.when(run % 2 == 0, 1.0).otherwise(2.0).alias("temperature"),
         F.col("value").alias("loss"),
         F.when((F.col("event_type") == "purchase") & (run != 5), F.col("value") / 100).alias("eval_wer"),
@@ -157,7 +157,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         (F.col("user_id") % 6).cast("int").alias("run"),
         F.when(kind == "error", "checkpoint-x")
-        .otherwise(F.concat(F.lit("checkpoint-"), (F.floor(F.col("event_id") / 40) * 250).cast("string")))
+        .otherwise(F.concat(F.lit("checkpoint-"), (whole_div(F.col("event_id"), 40) * 250).cast("string")))
         .alias("dir"),
         F.when(kind == "click", "config.json")
         .when(kind == "view", "model.safetensors")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side may be broadcast only when its row count is known not to exceed this.
@@ -46,6 +46,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def whole_div(a: Column, n: int) -> Column:
+    """Integer division that stays in integers, so it is exact for any position."""
+    return F.call_function("div", a, F.lit(n))
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint for a side known to hold at most `max_rows` rows.
 

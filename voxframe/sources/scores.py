@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.session import whole_div
+
 POSITIONS_PER_FOLDER = 1 << 20
 FOLDER = "pos_block"
 
@@ -36,7 +38,7 @@ def write_teacher_scores(
     No repartitioning: rows go out from the tasks that made them. A later
     read of a position range opens only its folders.
     """
-    folder = F.floor(F.col("example_pos") / per_folder)
+    folder = whole_div(F.col("example_pos"), per_folder)
     stored_form(df).withColumn(FOLDER, folder).write.mode(mode).partitionBy(FOLDER).parquet(path)
 
 
