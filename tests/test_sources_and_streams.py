@@ -83,6 +83,31 @@ def test_ids_past_short(spark, tmp_path):
     assert stored.read_teacher_scores(spark, str(tmp_path)).first().top[0].token_id == 51865
 
 
+def test_bucketed_join_needs_no_shuffle(spark):
+    top = scores.top_k_per_position(score(rows.valid_rows(clips(spark, 30))), 3)
+    stored.write_bucketed(top, "stored_scores", 4)
+    stored.write_bucketed(clips(spark, 30), "stored_examples", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = scores.align_scores(rows.valid_rows(spark.table("stored_examples")), spark.table("stored_scores"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 58
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE stored_scores")
+        spark.sql("DROP TABLE stored_examples")
+
+
+def test_unscored(spark):
+    some = scores.top_k_per_position(score(rows.valid_rows(clips(spark, 6))), 3)
+    left = stored.unscored(rows.valid_rows(clips(spark, 9)), some)
+    assert sorted(r.example_pos for r in left.collect()) == [6, 7, 8]
+    # scoring the rest gives what one run gives
+    rest = scores.top_k_per_position(score(left), 3)
+    assert content(some.unionByName(rest)) == content(scores.top_k_per_position(score(rows.valid_rows(clips(spark, 9))), 3))
+
+
 def test_choose_score_source(spark, tmp_path):
     live = lambda: scores.top_k_per_position(score(clips(spark, 2)), 2)
     default = f"{tmp_path}/scores"
@@ -279,5 +304,8 @@ def test_clip_features(spark):
     a, b = np.array(got[1].features), np.array(got[2].features)
     tone = a[:, 50].argmax()
     assert b[:, 50].argmax() == tone and abs(a[tone, 50] - b[tone, 50]) < 1e-3
-    assert np.allclose(a, audio.log_mel(wave(16_000, 1.0), audio.mel_filters(80))[0])
+    assert np.allclose(a, audio.log_mel(wave(16_000, 1.0), audio.mel_filters(80))[0], atol=1e-6)
+    fixed = inference.fixed_frames(inference.clip_features(df.where("id = 1"), "id", n_mels=128)).first().features
+    want = direct_log_mel(wave(16_000, 1.0), 128)
+    assert np.array(fixed).shape == (128, 3000) and np.allclose(fixed, want, atol=1e-6)
     assert (got[3].duration, got[3].fill) == (0.0, -1.5)

@@ -64,8 +64,8 @@ def edit_distance(ref: list[str], hyp: list[str]) -> int:
         rise = down | ((level | up) ^ full)
         fall = up & level
         distance += (rise >> bottom) - (fall >> bottom)
-        rise = (rise << 1 | 1) & full
-        up = (fall << 1) & full | ((level | rise) ^ full)
+        rise = rise << 1 | 1
+        up = (fall << 1 | ((level | rise) ^ full)) & full
         down = rise & level
     return distance
 

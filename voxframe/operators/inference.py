@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from voxframe.functions.audio import SAMPLE_RATE, log_mel, mel_filters, resample, sinc_phases
+from voxframe.functions.arrays import pad_or_trim
+from voxframe.functions.audio import FRAMES, SAMPLE_RATE, log_mel, mel_filters, resample, sinc_phases
 
 
 def map_rows(
@@ -37,14 +38,16 @@ def batch_predict(
     return df.withColumn(output, predict(*[F.col(c) for c in inputs]))
 
 
-def clip_features(df: DataFrame, key: str, audio: str = "audio", n_mels: int = 80) -> DataFrame:
+def clip_features(
+    df: DataFrame, key: str, audio: str = "audio", n_mels: int = 80, precision: str = "float"
+) -> DataFrame:
     """Log-mel frames of every clip, at 16 kHz.
 
     (key, duration, n_frames, features, fill): `features` is bins by frames up
     to the last frame that touches the clip, `fill` the value of the silent
-    frames after it; `pad_or_trim` with that value gives the fixed length. A
-    clip at another rate is resampled first. Clips are independent, so the job
-    is one map without a shuffle.
+    frames after it; `fixed_frames` gives the fixed length. A clip at another
+    rate is resampled first. Clips are independent, so the job is one map
+    without a shuffle; Arrow batches are cut by size as well as by rows.
     """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,12 +59,22 @@ def clip_features(df: DataFrame, key: str, audio: str = "audio", n_mels: int = 8
                     kernels[rate] = sinc_phases(int(rate))
                 wave = resample(samples, int(rate), kernels[rate])
                 mel, fill = log_mel(wave, filters)
-                rows.append((row_key, len(wave) / SAMPLE_RATE, mel.shape[1], mel.tolist(), fill))
+                rows.append((row_key, len(wave) / SAMPLE_RATE, mel.shape[1], list(mel), fill))
             yield pd.DataFrame(rows, columns=[key, "duration", "n_frames", "features", "fill"])
 
     key_type = df.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, duration double, n_frames int, features array<array<double>>, fill double"
+    schema = (
+        f"{key} {key_type}, duration double, n_frames int, "
+        f"features array<array<{precision}>>, fill {precision}"
+    )
     return df.select(
         F.col(key).alias("k"), F.col(f"{audio}.array").alias("a"),
         F.col(f"{audio}.sampling_rate").alias("r"),
     ).mapInPandas(apply, schema)
+
+
+def fixed_frames(df: DataFrame, n: int = FRAMES) -> DataFrame:
+    """Features of exactly n frames, silence after the clip."""
+    return df.withColumn(
+        "features", F.transform("features", lambda row: pad_or_trim(row, n, F.col("fill")))
+    )

@@ -542,7 +542,7 @@ def clip_seconds(spark, sf):
 def _feature_rows(df):
     flat = F.flatten("features")
     total = F.aggregate(flat, F.lit(0.0), lambda s, v: s + v)
-    return inference.clip_features(df, "clip_id").select(
+    return inference.clip_features(df, "clip_id", precision="double").select(
         "clip_id",
         F.round("duration", 7).alias("duration"),
         "n_frames",

@@ -55,6 +55,23 @@ def read_teacher_scores(
     return df.drop(FOLDER)
 
 
+def write_bucketed(
+    df: DataFrame, table: str, buckets: int, key: str = "example_pos", mode: str = "overwrite"
+) -> None:
+    """Save as a table bucketed and sorted by position.
+
+    One shuffle here replaces one in every later join: scores and examples
+    bucketed alike meet bucket by bucket, for each student and each epoch.
+    """
+    rows = df.repartition(buckets, key)
+    rows.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def unscored(examples: DataFrame, scores: DataFrame, pos: str = "example_pos") -> DataFrame:
+    """Examples without a stored score: what an interrupted batch job has left."""
+    return examples.join(scores.select(pos).distinct(), pos, "left_anti")
+
+
 def has_scores(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.parquet(path).isEmpty()
