@@ -23,20 +23,20 @@ VECTORS = """vectors AS (
          CAST(embedding AS DOUBLE[]) AS e
   FROM embeddings),
 teacher AS (
-  SELECT vec_id, example_pos, tok_pos, label_id, unnest(range(len(e))) AS token_id, unnest(e) * 10 AS logit
+  SELECT vec_id, example_pos, tok_pos, label_id, CAST(unnest(range(len(e))) AS INTEGER) AS token_id, unnest(e) * 10 AS logit
   FROM vectors),
 student AS (
   SELECT (t.vec_id - 1 + n.n) % n.n AS vec_id, token_id, logit
   FROM teacher t, (SELECT count(*) AS n FROM embeddings) n WHERE token_id < 63)"""
 
 RANKED = f"""ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS rank FROM teacher),
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS INTEGER) AS rank FROM teacher),
 top AS (SELECT * FROM ranked WHERE rank <= {TOP})"""
 
 # both sides cut to the shared vocabulary
 ALIGNED = f"""aligned AS (SELECT * FROM teacher WHERE token_id < 63),
 aligned_ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS rank FROM aligned),
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS INTEGER) AS rank FROM aligned),
 aligned_top AS (SELECT * FROM aligned_ranked WHERE rank <= {TOP})"""
 
 TEMPS = "temps AS (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE]) AS temperature)"
@@ -209,7 +209,7 @@ ORACLES: dict[str, str] = {
     "topk_roundtrip": f"""WITH {VECTORS}, {RANKED}
 SELECT example_pos, tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit FROM top""",
     "log_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events",
-    "artifact_size": f"WITH {FILES} SELECT run, dir, count(*) AS files, sum(size) AS bytes FROM files GROUP BY run, dir",
+    "artifact_size": f"WITH {FILES} SELECT run, dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY run, dir",
     # rows
     "valid_rows": f"WITH {CLIPS} SELECT clip_id, lang, text FROM clips WHERE has_text AND has_audio",
     "valid_text": f"WITH {CLIPS} SELECT clip_id, lang FROM clips WHERE has_text",
@@ -288,7 +288,7 @@ FROM teacher""",
 SELECT example_pos, tok_pos, rank, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id), 6) AS p FROM top""",
     "vocab_align": f"""WITH {VECTORS}, {ALIGNED},
 s AS (SELECT vec_id, count(*) AS n, sum(logit) AS total FROM student GROUP BY vec_id)
-SELECT a.example_pos, a.tok_pos, count(*) AS n_teacher, any_value(s.n) AS n_student,
+SELECT a.example_pos, a.tok_pos, CAST(count(*) AS INTEGER) AS n_teacher, CAST(any_value(s.n) AS INTEGER) AS n_student,
   round(sum(a.logit), 6) AS sum_teacher, round(any_value(s.total), 6) AS sum_student
 FROM aligned a JOIN s USING (vec_id) GROUP BY a.example_pos, a.tok_pos""",
     "loss_mask": f"WITH {VECTORS} SELECT example_pos, tok_pos, label_id <> -100 AS scored FROM vectors",
@@ -326,7 +326,7 @@ SELECT count(DISTINCT example_pos) AS examples, count(*) AS positions,
 FROM vectors""",
     "pad_or_trim": f"""WITH {VECTORS},
 cells AS (SELECT vec_id, example_pos, tok_pos,
-  unnest(range(CASE WHEN example_pos % 2 = 0 THEN 80 ELSE 48 END)) AS i FROM vectors)
+  CAST(unnest(range(CASE WHEN example_pos % 2 = 0 THEN 80 ELSE 48 END)) AS INTEGER) AS i FROM vectors)
 SELECT c.example_pos, c.tok_pos, c.i, round(coalesce(t.logit, 0), 6) + 0.0::DOUBLE AS v
 FROM cells c LEFT JOIN teacher t ON t.vec_id = c.vec_id AND t.token_id = c.i""",
     "truncate_context": """WITH cells AS (
@@ -336,9 +336,9 @@ FROM cells WHERE label = 9 OR i % 32 < 2 * (label * 3 + 1) GROUP BY vec_id""",
     # word error rate
     "word_edits": f"WITH {PAIRS} SELECT model, clip_id, edits, n AS ref_words FROM pairs",
     "wer_corpus": f"""WITH {PAIRS}
-SELECT count(*) AS samples, sum(edits) AS edits, sum(n) AS ref_words, round(sum(edits) / sum(n), 6) AS wer FROM pairs""",
+SELECT count(*) AS samples, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS ref_words, round(sum(edits) / sum(n), 6) AS wer FROM pairs""",
     "wer_by_model": f"""WITH {PAIRS}
-SELECT model, count(*) AS samples, sum(edits) AS edits, sum(n) AS ref_words, round(sum(edits) / sum(n), 6) AS wer,
+SELECT model, count(*) AS samples, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS ref_words, round(sum(edits) / sum(n), 6) AS wer,
   round(sum(duration * model), 6) AS elapsed_s FROM pairs GROUP BY model""",
     "wer_at_n": f"""WITH {PAIRS},
 placed AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY clip_id) - 1 AS pos FROM pairs),
@@ -359,7 +359,7 @@ sized AS (
     WHEN model = 2 THEN CASE WHEN i % 7 = 0 THEN 1 ELSE k END + CASE WHEN i % 13 = 0 THEN 1 ELSE 0 END
     ELSE CASE WHEN i % 9 = 0 THEN 0 WHEN i % 5 = 0 THEN 1 ELSE k END END) AS hyp_words
   FROM counted GROUP BY clip_id, model)
-SELECT w.clip_id, m.model, length(w.text) AS ref_chars, CAST(coalesce(s.hyp_words, 0) AS INTEGER) AS hyp_words
+SELECT w.clip_id, m.model, CAST(length(w.text) AS INTEGER) AS ref_chars, CAST(coalesce(s.hyp_words, 0) AS INTEGER) AS hyp_words
 FROM words w, (SELECT unnest([1, 2, 3]) AS model) m
 LEFT JOIN sized s ON s.clip_id = w.clip_id AND s.model = m.model""",
     "vs_baseline": f"""WITH {PAIRS},
