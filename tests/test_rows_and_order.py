@@ -19,12 +19,15 @@ def five(spark):
     return spark.createDataFrame([(i, " " if i == 1 else "t") for i in range(5)], "pos long, text string")
 
 
-def test_caps(five):
+def test_caps(five, monkeypatch):
     ok = rows.has_text(F.col("text"))
     got = lambda df: sorted(r.pos for r in df.collect())
     assert got(rows.cap_then_filter(five, 3, ok)) == [0, 2]
     assert got(rows.filter_then_cap(five, 3, ok)) == [0, 2, 3]
     assert got(rows.filter_then_cap(five, 0, ok)) == [0, 2, 3, 4]
+    monkeypatch.setattr(rows, "ONE_TASK_ROWS", 2)
+    assert got(rows.filter_then_cap(five, 3, ok)) == [0, 2, 3]
+    assert rows.filter_then_cap(five, 3, ok).columns == five.columns
 
 
 def test_valid_rows(spark):

@@ -189,6 +189,11 @@ def test_scoring_resumes(spark, tmp_path):
     run()  # nothing new: nothing changes
     second = logs.read_progress(spark, f"{out}/progress")
     assert (second["next_idx"], second["examples_processed"], second["top_k"], second["split"]) == (13, 12, 3, "train")
+    lines = spark.read.json(f"{out}/log").orderBy("batch_id").collect()
+    assert [(r.examples, r.examples_processed, r.example_idx) for r in lines] == [(7, 7, 8), (5, 12, 13)]
+    assert logs.read_progress(spark, f"{out}/progress", before=1)["next_idx"] == 8
+    assert logs.read_progress(spark, f"{out}/progress", before=9)["next_idx"] == 13
+    assert logs.read_progress(spark, f"{out}/progress", before=0) is None
     want = stored.stored_form(scores.top_k_per_position(score(rows.valid_rows(clips(spark, 13))), 3))
     assert content(spark.read.parquet(f"{out}/scores").drop("batch_id")) == content(want)
     jobs.mark_complete(spark, out)

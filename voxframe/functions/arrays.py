@@ -34,22 +34,27 @@ def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
 
-def log_sum_exp(x: Column, temperature: float | Column = 1.0) -> Column:
-    t = _num(temperature)
+def _over(v: Column, temperature: float | Column) -> Column:
+    plain = not isinstance(temperature, Column) and temperature == 1
+    return v if plain else v / _num(temperature)
+
 
+def log_sum_exp(x: Column, temperature: float | Column = 1.0) -> Column:
     def shifted(a: Column) -> Callable[[Column], Column]:
-        return lambda m: m / t + F.log(
-            F.aggregate(a, F.lit(0.0), lambda s, v: s + F.exp((v - m) / t))
+        return lambda m: _over(m, temperature) + F.log(
+            F.aggregate(a, F.lit(0.0), lambda s, v: s + F.exp(_over(v - m, temperature)))
         )
 
     return let(doubles(x), lambda a: let(F.array_max(a), shifted(a)))
 
 
 def log_softmax(x: Column, temperature: float | Column = 1.0) -> Column:
-    t = _num(temperature)
     return let(
         doubles(x),
-        lambda a: let(log_sum_exp(a, t), lambda z: F.transform(a, lambda v: v / t - z)),
+        lambda a: let(
+            log_sum_exp(a, temperature),
+            lambda z: F.transform(a, lambda v: _over(v, temperature) - z),
+        ),
     )
 
 
@@ -153,7 +158,7 @@ def kl_full(teacher: Column, student: Column, temperature: float | Column = 1.0)
     """KL(teacher || student) over the shared vocabulary, times T squared."""
     t = _num(temperature)
     a, b = align_vocab(doubles(teacher), doubles(student))
-    terms = F.zip_with(log_softmax(a, t), log_softmax(b, t), _kl_term)
+    terms = F.zip_with(log_softmax(a, temperature), log_softmax(b, temperature), _kl_term)
     return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) * t * t
 
 
@@ -169,13 +174,16 @@ def kl_top_k(top: Column, student: Column, temperature: float | Column = 1.0) ->
             kept,
             F.lit(0.0),
             lambda acc, e: acc
-            + _kl_term(e["logit"] / t - zt, F.element_at(s, e["token_id"].cast("int") + 1) / t - zs),
+            + _kl_term(
+                _over(e["logit"], temperature) - zt,
+                _over(F.element_at(s, e["token_id"].cast("int") + 1), temperature) - zs,
+            ),
         )
 
     def with_norms(kept: Column, s: Column) -> Column:
         return let(
-            log_sum_exp(F.transform(kept, lambda e: e["logit"]), t),
-            lambda zt: let(log_sum_exp(s, t), lambda zs: total(kept, s, zt, zs)),
+            log_sum_exp(F.transform(kept, lambda e: e["logit"]), temperature),
+            lambda zt: let(log_sum_exp(s, temperature), lambda zs: total(kept, s, zt, zs)),
         )
 
     return let(top, lambda kept: let(doubles(student), lambda s: with_norms(kept, s))) * t * t

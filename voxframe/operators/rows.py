@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.audio import MAX_CLIP_SECONDS
 from voxframe.functions.text import has_text
+from voxframe.operators.order import with_position
+
+ONE_TASK_ROWS = 100_000
 
 
 def is_valid(text: str = "text", audio: str = "audio") -> Column:
@@ -48,6 +51,13 @@ def cap_then_filter(df: DataFrame, n: int, keep: Column, pos: str = "pos") -> Da
 
 
 def filter_then_cap(df: DataFrame, n: int, keep: Column, pos: str = "pos") -> DataFrame:
-    """The filter, then the first n rows left; 0 means all."""
+    """The filter, then the first n rows left; 0 means all.
+
+    A sorted limit ends in one task, so a large n is taken by position instead.
+    """
     kept = df.where(keep)
-    return kept.orderBy(pos).limit(n) if n else kept
+    if not n:
+        return kept
+    if n <= ONE_TASK_ROWS:
+        return kept.orderBy(pos).limit(n)
+    return with_position(kept, pos, "__place").where(F.col("__place") < n).drop("__place")

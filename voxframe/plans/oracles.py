@@ -264,6 +264,17 @@ FROM padded GROUP BY clip_id, batch""",
     "drop_common_start": f"""WITH {_BATCHED}
 SELECT clip_id, batch, string_agg(CAST(coalesce(id, -100) AS VARCHAR), ' ' ORDER BY i) AS labels
 FROM padded WHERE i > 0 OR NOT common GROUP BY clip_id, batch""",
+    "training_batches": f"""WITH {_wrapped(448)},
+placed AS (SELECT clip_id, row_number() OVER (ORDER BY clip_id) - 1 AS pos, has_text AND has_audio AS ok FROM clips),
+mixed AS (SELECT clip_id, ok, row_number() OVER (ORDER BY pos // 256, {_key(42)}, clip_id) AS m FROM placed),
+numbered AS (SELECT clip_id, row_number() OVER (ORDER BY m) - 1 AS place FROM mixed WHERE ok),
+lengths AS (
+  SELECT n.clip_id, place // 16 AS batch, CAST(place % 16 AS INTEGER) AS in_batch, max(i) + 1 AS n
+  FROM numbered n JOIN encoded e USING (clip_id) GROUP BY ALL),
+width AS (SELECT batch, max(n) AS m FROM lengths GROUP BY batch),
+cells AS (SELECT clip_id, batch, in_batch, unnest(range(1, m)) AS i FROM lengths JOIN width USING (batch))
+SELECT c.clip_id, c.batch, c.in_batch, string_agg(CAST(coalesce(e.id, -100) AS VARCHAR), ' ' ORDER BY c.i) AS labels
+FROM cells c LEFT JOIN encoded e ON e.clip_id = c.clip_id AND e.i = c.i GROUP BY ALL""",
     "shift_right": f"""WITH {_BATCHED}
 SELECT clip_id, string_agg(CAST(CASE WHEN i = 0 THEN 2 ELSE coalesce(prev, 0) END AS VARCHAR), ' ' ORDER BY i) AS shifted
 FROM (SELECT *, lag(id) OVER (PARTITION BY clip_id ORDER BY i) AS prev FROM padded) GROUP BY clip_id""",

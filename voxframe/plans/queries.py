@@ -19,6 +19,7 @@ from voxframe.functions.text import run_label, tokens
 from voxframe.operators import inference, metrics, order, rows, runs, scores, sequences
 from voxframe.operators.grid import ALPHAS, TEMPERATURES, sweep_grid
 from voxframe.plans import views as V
+from voxframe.plans import training
 from voxframe.session import scratch_dir, whole_div
 from voxframe.sources import logs, tables
 from voxframe.sources import scores as stored
@@ -205,6 +206,13 @@ def drop_common_start(spark, sf):
     return padded.select("clip_id", "batch", joined("labels").alias("labels"))
 
 
+def training_batches(spark, sf):
+    clips = V.clips(spark, sf, wide=True).select("clip_id", "text", "audio")
+    vocab = sequences.build_vocab(clips, VOCAB)
+    out = training.training_batches(clips, vocab, "clip_id", 42, 256, 16, VOCAB)
+    return out.withColumn("labels", joined("labels"))
+
+
 def shift_right(spark, sf):
     padded = sequences.pad_to_batch_max(_batched(spark, sf))
     shifted = A.shift_right(F.col("labels"), sequences.START)
@@ -567,7 +575,7 @@ REGISTERED: dict[str, Query] = {
         valid_rows, valid_text, duration_filter, project_prepared, cap_then_filter, filter_then_cap,
         with_position, file_position, position_in_source, seeded_shuffle, full_shuffle, repeat_epochs,
         assign_batches, step_plan, steps_per_epoch, resume_window,
-        build_vocab, encode_text, decode_ids, pad_batch, drop_common_start, shift_right, pad_mask,
+        build_vocab, encode_text, decode_ids, pad_batch, drop_common_start, training_batches, shift_right, pad_mask,
         topk_per_position, topk_wide, topk_long, softmax_t, log_softmax_t, topk_renorm, vocab_align, loss_mask,
         align_scores, align_packed, gather_topk, gather_topk_array, cross_entropy, kl_full, kl_topk, combined_loss,
         combined_loss_full, vector_mse, storage_per_row, pad_or_trim, truncate_context,

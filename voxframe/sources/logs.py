@@ -54,11 +54,23 @@ def write_progress(row: DataFrame, path: str, batch_id: int) -> None:
     row.coalesce(1).write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
 
 
-def read_progress(spark: SparkSession, path: str) -> dict | None:
-    """The newest progress row; None before the first batch."""
+def read_progress(spark: SparkSession, path: str, before: int | None = None) -> dict | None:
+    """The newest progress row, or the newest below batch `before`; None if there is none.
+
+    The row of the batch just before is looked up by its folder, so a long job
+    does not list all its batches again for every new one.
+    """
+    if before is not None:
+        try:
+            rows = spark.read.schema(PROGRESS_SCHEMA).json(f"{path}/batch_id={before - 1}")
+            return rows.withColumn("batch_id", F.lit(before - 1)).first().asDict()
+        except AnalysisException:
+            pass
     try:
         rows = spark.read.schema(PROGRESS_SCHEMA + ", batch_id LONG").json(path)
     except AnalysisException:
         return None
+    if before is not None:
+        rows = rows.where(F.col("batch_id") < before)
     newest = rows.orderBy(F.col("batch_id").desc()).limit(1).collect()
     return newest[0].asDict() if newest else None

@@ -44,43 +44,43 @@ def score_stream(
     checkpoint: str,
     settings: dict,
     stop_at: int | None = None,
+    vocab: int | None = None,
 ) -> StreamingQuery:
     """Per micro-batch: score, keep the k best, write them, the log and the progress.
 
     `score` turns valid rows into (example_pos, tok_pos, label_id, teacher). The
-    totals of log and progress come from the data written so far, so they do
-    not restart with the job.
+    totals of log and progress go on from those of the batch before, so they do
+    not restart with the job, and a replayed batch arrives at the same numbers.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         due = resume_from(batch, 0, stop_at, "example_pos")
-        scored = stored_form(top_k_per_position(score(valid_rows(due)), k))
-        scored.write.mode("overwrite").parquet(f"{path}/scores/batch_id={batch_id}")
-        log = f"{path}/log"
-        # one row per batch, from the copy just written and from the whole batch
-        seen = due.agg((F.max("example_pos") + 1).alias("next_idx"))
-        done = spark.read.parquet(f"{path}/scores/batch_id={batch_id}").agg(
-            F.count_distinct("example_pos").alias("examples")
+        target = f"{path}/scores/batch_id={batch_id}"
+        scored = stored_form(top_k_per_position(score(valid_rows(due)), k, vocab=vocab))
+        scored.write.mode("overwrite").parquet(target)
+        # two numbers: rows in the folder just written, and how far the batch reaches
+        done = spark.read.parquet(target).select(F.count_distinct("example_pos")).first()[0]
+        reached = due.select(F.max("example_pos")).first()[0]
+        before = read_progress(spark, f"{path}/progress", batch_id) or {}
+        row = {
+            "teacher_model": settings.get("teacher_model"),
+            "top_k": k,
+            "batch_size": settings.get("batch_size"),
+            "next_idx": max(before.get("next_idx") or 0, 0 if reached is None else reached + 1),
+            "examples_processed": (before.get("examples_processed") or 0) + done,
+            "complete": False,
+            "split": settings.get("split"),
+        }
+        progress = spark.createDataFrame([row], PROGRESS_SCHEMA)
+        line = progress.select(
+            "examples_processed",
+            F.col("next_idx").alias("example_idx"),
+            F.lit(done).alias("examples"),
+            (F.unix_micros(F.current_timestamp()) / 1e6).alias("seconds"),
         )
-        done.withColumn("next_idx", F.lit(seen.first()[0]).cast("long")).coalesce(1).write.mode(
-            "overwrite"
-        ).json(f"{log}/batch_id={batch_id}")
-        totals = (
-            spark.read.schema("examples LONG, next_idx LONG, batch_id LONG")
-            .json(log)
-            .where(F.col("batch_id") <= batch_id)
-            .agg(
-                F.lit(settings.get("teacher_model")).cast("string").alias("teacher_model"),
-                F.lit(k).alias("top_k"),
-                F.lit(settings.get("batch_size")).cast("int").alias("batch_size"),
-                F.max("next_idx").alias("next_idx"),
-                F.sum("examples").alias("examples_processed"),
-                F.lit(False).alias("complete"),
-                F.lit(settings.get("split")).cast("string").alias("split"),
-            )
-        )
-        write_progress(totals, f"{path}/progress", batch_id)
+        line.coalesce(1).write.mode("overwrite").json(f"{path}/log/batch_id={batch_id}")
+        write_progress(progress, f"{path}/progress", batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)
