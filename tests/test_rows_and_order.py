@@ -51,6 +51,17 @@ def test_positions_for_any_block_size(spark, block):
     assert got == {i: n for n, i in enumerate(i for i in range(50) if i % 4 != 1)}
 
 
+def test_positions_of_sparse_ids(spark, monkeypatch):
+    rng = random.Random(4)
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(200)} | {-(2**63), 2**63 - 1})
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "id long").repartition(4)
+    monkeypatch.setattr(order, "MAX_BLOCKS", 8)
+    got = {r.id: r.pos for r in order.with_position(df, "id", dense=False).collect()}
+    assert got == {i: n for n, i in enumerate(ids)}
+    assert df.select(order.block_of(df, "id", dense=False)).distinct().count() <= 9
+    assert order.with_position(df.where("id is null"), "id", dense=False).count() == 0
+
+
 @pytest.mark.parametrize("block", [2, 5, 1000])
 def test_running_totals_of_a_hot_group(spark, block):
     # one run holds most rows; NULL is a group of its own
@@ -76,6 +87,16 @@ def test_bounded_shuffle(spark):
     assert {(r.id, r.shuffle_pos) for r in other} != {(r.id, r.shuffle_pos) for r in got}
 
 
+@pytest.mark.parametrize("block", [1, 20, 1 << 20])
+def test_filtered_shuffle_keeps_the_order(spark, block):
+    df = order.with_position(numbers(spark, 60), "id")
+    whole = {r.id: r.shuffle_pos for r in order.shuffle_bounded(df, 8, 42, "pos", "id").collect()}
+    left = order.shuffle_filtered(df.where("id % 3 > 0"), 8, 42, "pos", "id", block=block).collect()
+    got = [r.id for r in sorted(left, key=lambda r: r.shuffle_pos)]
+    assert got == [i for i in sorted(whole, key=whole.get) if i % 3]
+    assert sorted(r.shuffle_pos for r in left) == list(range(40))
+
+
 def test_epochs(spark):
     got = order.repeat_epochs(numbers(spark, 30), 3, 7, "id").collect()
     by_epoch = {e: [r.id for r in sorted((r for r in got if r.epoch == e), key=lambda r: r.epoch_pos)] for e in range(3)}

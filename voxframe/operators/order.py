@@ -18,6 +18,7 @@ from voxframe.functions.text import seeded_key
 from voxframe.session import whole_div
 
 BLOCK = 1 << 20
+MAX_BLOCKS = 1 << 20
 _BLOCK, _HEAD = "__block", "__head"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -61,31 +62,49 @@ def blocked_totals(
     )
 
 
+def block_of(df: DataFrame, order: str, block: int = BLOCK, dense: bool = True) -> Column:
+    """Block number of a row along a unique integer column.
+
+    Ids without large gaps give blocks of up to `block` rows. For sparse ids
+    (`dense=False`) the blocks are widened so that there are about MAX_BLOCKS at
+    most over the whole range, which takes one more scan of the column.
+    """
+    if dense:
+        return whole_div(F.col(order), block)
+    low, high = (whole_div(f(order), MAX_BLOCKS) for f in (F.min, F.max))
+    width = df.select(high - low + 2).scalar()
+    return whole_div(F.col(order), F.greatest(F.lit(block).cast("long"), width))
+
+
 def running_totals(
     df: DataFrame,
     order: str,
     totals: dict[str, Column],
     partition: Sequence[str] = (),
     block: int = BLOCK,
+    dense: bool = True,
 ) -> DataFrame:
     """Running sums along `order`, an integer column unique within `partition`."""
-    return blocked_totals(df, whole_div(F.col(order), block), [order], totals, partition)
+    return blocked_totals(df, block_of(df, order, block, dense), [order], totals, partition)
 
 
 def number_within(
-    df: DataFrame, partition: Sequence[str], order: str, name: str, block: int = BLOCK
+    df: DataFrame, partition: Sequence[str], order: str, name: str, block: int = BLOCK, dense: bool = True
 ) -> DataFrame:
     """Row number from 1 within each group."""
-    return running_totals(df, order, {name: F.lit(1).cast("long")}, partition, block)
+    one = F.lit(1).cast("long")
+    return running_totals(df, order, {name: one}, partition, block, dense)
 
 
-def with_position(df: DataFrame, order: str, name: str = "pos", block: int = BLOCK) -> DataFrame:
+def with_position(
+    df: DataFrame, order: str, name: str = "pos", block: int = BLOCK, dense: bool = True
+) -> DataFrame:
     """Stream position from 0 over all rows, the invalid ones included.
 
     Only the ordering column is numbered; the rows themselves (texts, samples)
     join their position by it and so stay spread over all tasks.
     """
-    numbered = number_within(df.select(order), [], order, name, block)
+    numbered = number_within(df.select(order), [], order, name, block, dense)
     numbered = numbered.withColumn(name, F.col(name) - 1)
     return numbered if df.columns == [order] else df.join(numbered, order, "left")
 
@@ -99,6 +118,24 @@ def shuffle_bounded(
     return df.withColumn(name, block * buffer + F.row_number().over(within) - 1)
 
 
+def shuffle_filtered(
+    df: DataFrame, buffer: int, seed: int, pos: str = "pos", key: str = "pos",
+    name: str = "shuffle_pos", block: int = BLOCK,
+) -> DataFrame:
+    """The order of `shuffle_bounded` for rows left by a filter, numbered from 0."""
+    whole_buffers = buffer * max(1, block // buffer)
+    keyed = df.withColumns(
+        {"__buffer": whole_div(F.col(pos), buffer), "__key": seeded_key(seed, F.col(key))}
+    )
+    counted = blocked_totals(
+        keyed,
+        whole_div(F.col(pos), whole_buffers),
+        ["__buffer", "__key", key],
+        {name: F.lit(1).cast("long")},
+    )
+    return counted.withColumn(name, F.col(name) - 1).drop("__buffer", "__key")
+
+
 def shuffle_full(
     df: DataFrame, seed: int | Column, key: str, partition: Sequence[str] = (), name: str = "shuffle_pos"
 ) -> DataFrame:

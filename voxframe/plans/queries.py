@@ -187,9 +187,9 @@ def decode_ids(spark, sf):
 def _batched(spark, sf):
     clips = V.clips(spark, sf, wide=True).select("clip_id", "text")
     vocab = sequences.build_vocab(clips, VOCAB)
-    placed = order.assign_batches(order.with_position(clips, "clip_id"), 16)
-    keys = ["clip_id", "batch", "in_batch"]
-    batches = sequences.encode_text(placed, vocab, keys, vocab_size=VOCAB, wrap=True)
+    encoded = sequences.encode_text(clips, vocab, ["clip_id"], vocab_size=VOCAB, wrap=True)
+    placed = order.assign_batches(order.with_position(clips.select("clip_id"), "clip_id"), 16)
+    batches = encoded.join(placed, "clip_id")
     # every fifth batch has rows without a start id
     bare = (F.col("batch") % 5 == 0) & (F.col("in_batch") % 2 == 1)
     rest = F.slice("labels", F.lit(2), F.size("labels"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.operators import order, rows, sequences
+from voxframe.session import stored
 
 
 def training_batches(
@@ -22,18 +23,25 @@ def training_batches(
 
     All rows are put in order first, the invalid ones leave next and batches
     count only what is left, as a stream does it. `key` is a unique integer.
-    Only keys are ordered and numbered; each text moves once, to its number.
+    Only keys are ordered and numbered. Positions and validity are stored once,
+    so the texts are read for the check and for encoding, and are not shuffled.
     """
-    placed = order.with_position(clips.select(key), key, "__pos")
-    mixed = order.shuffle_bounded(placed, buffer, seed, "__pos", key, "__mixed")
-    valid = rows.valid_rows(clips).select(key, "text")
-    kept = mixed.join(valid.select(key), key, "left_semi").select(key, "__mixed")
-    numbered = order.with_position(kept, "__mixed", "__place").select(key, "__place")
-    batches = order.assign_batches(valid.join(numbered, key), batch, "__place")
-    keys = [key, "batch", "in_batch"]
+    flags = clips.select(key, rows.is_valid().alias("__ok"))
+    placed = order.number_within(flags, [], key, "__pos")
+    kept = stored(placed, "positions").where("__ok").withColumn("__pos", F.col("__pos") - 1)
+    numbered = order.shuffle_filtered(kept, buffer, seed, "__pos", key, "__place")
+    # encoding leaves the rows partitioned by key, so only the numbers move to them
     coded = sequences.encode_text(
-        batches, vocab, keys, max_len=max_len, vocab_size=vocab_size, wrap=True
+        rows.valid_rows(clips).select(key, "text"),
+        vocab,
+        [key],
+        max_len=max_len,
+        vocab_size=vocab_size,
+        wrap=True,
     )
-    return sequences.drop_common_start(sequences.pad_to_batch_max(coded)).select(
-        *keys, F.col("labels")
+    batches = order.assign_batches(
+        coded.join(numbered.select(key, "__place"), key), batch, "__place"
+    )
+    return sequences.drop_common_start(sequences.pad_to_batch_max(batches)).select(
+        key, "batch", "in_batch", "labels"
     )

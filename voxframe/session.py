@@ -46,9 +46,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def whole_div(a: Column, n: int) -> Column:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a narrow result that several steps read, and go on from the copy.
+
+    Ends the lineage: the steps before are not run again by what follows, nor
+    after the loss of an executor.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def whole_div(a: Column, n: int | Column) -> Column:
     """Integer division that stays in integers, so it is exact for any position."""
-    return F.call_function("div", a, F.lit(n))
+    return F.call_function("div", a, n if isinstance(n, Column) else F.lit(n))
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
