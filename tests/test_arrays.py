@@ -71,6 +71,20 @@ def test_losses_by_hand(spark):
     assert [(r.positions, r.ce, r.kl) for r in masked] == [(0, None, None)] * 2
 
 
+def test_stored_losses_equal_live_ones(spark):
+    data = [([float((i * 7 + t * 3) % 11) / 2 for i in range(8)], [float((i * 5 + t) % 7) for i in range(8)], t % 8 if t % 4 else -100)
+            for t in range(12)]
+    df = spark.createDataFrame(data, "teacher array<double>, student array<double>, label_id int")
+    live = scores.loss_terms(df, 3, [1.0, 2.0]).orderBy("temperature").collect()
+    kept = scores.stored_loss_terms(scores.top_k_per_position(df, 3), [1.0, 2.0]).orderBy("temperature").collect()
+    for a, b in zip(live, kept):
+        assert tuple(a) == pytest.approx(tuple(b))
+    # an id the student does not have is left out
+    extra = spark.createDataFrame([([0.0, LN3, 9.0], [0.0, 0.0], 1)], df.schema)
+    row = scores.stored_loss_terms(scores.top_k_per_position(extra, 3), [1.0]).first()
+    assert row.kl == pytest.approx(0.130812, abs=1e-6)
+
+
 def test_vocab_align(spark):
     a, b = A.align_vocab(F.col("a"), F.col("b"))
     df = spark.createDataFrame([([1, 2, 3, 4], [5, 6, 7])], ["a", "b"]).select(a.alias("a"), b.alias("b"))

@@ -107,10 +107,29 @@ def loss_terms(
                 lambda top: F.array(*[A.kl_top_k(top, student, t) for t in temperatures]),
             )
         ]
-    per_position = rows.select(
-        A.cross_entropy(student, F.col(label)).alias("ce"),
-        (kls[0] if k is not None else F.array(*kls)).alias("kl"),
-    )
+    kl = kls[0] if k is not None else F.array(*kls)
+    return _means(rows.select(A.cross_entropy(student, F.col(label)).alias("ce"), kl.alias("kl")), temperatures)
+
+
+def stored_loss_terms(
+    df: DataFrame,
+    temperatures: Sequence[float],
+    label: str = "label_id",
+    top: str = "top",
+    student: str = "student",
+) -> DataFrame:
+    """The same from stored top scores joined to the student's full scores.
+
+    Stored ids outside the student's vocabulary are left out.
+    """
+    scores = F.col(student)
+    shared = F.filter(F.col(top), lambda e: e["token_id"] < F.size(scores))
+    kl = A.let(shared, lambda kept: F.array(*[A.kl_top_k(kept, scores, t) for t in temperatures]))
+    rows = df.where(A.is_scored(F.col(label)))
+    return _means(rows.select(A.cross_entropy(scores, F.col(label)).alias("ce"), kl.alias("kl")), temperatures)
+
+
+def _means(per_position: DataFrame, temperatures: Sequence[float]) -> DataFrame:
     sums = per_position.agg(
         F.count(F.lit(1)).alias("positions"),
         F.sum("ce").alias("ce"),

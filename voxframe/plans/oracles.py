@@ -325,6 +325,9 @@ FROM aligned_top t JOIN student s ON s.vec_id = t.vec_id AND s.token_id = t.toke
     "kl_topk": f"WITH {LOSSES}, {_kl('aligned_top')} SELECT temperature, positions, round(kl, 6) AS kl FROM kl_all",
     "combined_loss": f"WITH {LOSSES}, {_kl('aligned_top')} {_COMBINED}",
     "combined_loss_full": f"WITH {LOSSES}, {_kl('aligned')} {_COMBINED}",
+    "stored_loss": f"""WITH {LOSSES}, {RANKED},
+kept AS (SELECT * REPLACE (CAST(CAST(logit AS FLOAT) AS DOUBLE) AS logit) FROM top WHERE token_id < 63),
+{_kl('kept')} {_COMBINED}""",
     "vector_mse": f"""WITH {VECTORS},
 per AS (
   SELECT t.example_pos, t.vec_id, avg(pow(t.logit - s.logit, 2)) AS mse

@@ -353,6 +353,14 @@ def combined_loss_full(spark, sf):
     return _loss(_terms(spark, sf, None))
 
 
+def stored_loss(spark, sf):
+    out = scratch_dir(spark, "teacher-scores")
+    stored.write_teacher_scores(scores.top_k_per_position(V.teacher_positions(spark, sf), TOP), out)
+    student = V.scores(spark, sf).select(*scores.POSITION, "student")
+    both = student.join(stored.read_teacher_scores(spark, out), scores.POSITION)
+    return _loss(scores.stored_loss_terms(both, TEMPERATURES))
+
+
 def vector_mse(spark, sf):
     layers = lambda c: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.slice(c, i * 21 + 1, 21))
     mse = A.vector_mse(layers(F.col("teacher")), layers(F.col("student")))
@@ -578,7 +586,7 @@ REGISTERED: dict[str, Query] = {
         build_vocab, encode_text, decode_ids, pad_batch, drop_common_start, training_batches, shift_right, pad_mask,
         topk_per_position, topk_wide, topk_long, softmax_t, log_softmax_t, topk_renorm, vocab_align, loss_mask,
         align_scores, align_packed, gather_topk, gather_topk_array, cross_entropy, kl_full, kl_topk, combined_loss,
-        combined_loss_full, vector_mse, storage_per_row, pad_or_trim, truncate_context,
+        combined_loss_full, stored_loss, vector_mse, storage_per_row, pad_or_trim, truncate_context,
         word_edits, wer_corpus, wer_by_model, wer_at_n, zip_pairs, vs_baseline,
         last_metric, best_step, final_vs_best, running_mean, throughput, rank_runs, grid,
         is_complete, retain_latest, latest_snapshot, state_or_name, label_of_run,
