@@ -49,20 +49,12 @@ def sql_rows(con, sql):
     return _rows([d[0] for d in result.description], result.fetchall())
 
 
-def same(a, b) -> bool:
-    if isinstance(a, float) or isinstance(b, float):
-        if a is None or b is None or isinstance(a, str) or isinstance(b, str):
-            return a == b
-        return a == b
-    return a == b
-
-
 def difference(got, want) -> str | None:
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
         return f"{len(got[1])} rows != {len(want[1])}"
-    bad = [(g, w) for g, w in zip(got[1], want[1]) if not all(map(same, g, w))]
+    bad = [(g, w) for g, w in zip(got[1], want[1]) if g != w]
     if bad:
         return f"{len(bad)} rows differ, first {got[0]}: {str(bad[0])[:600]}"
     return None

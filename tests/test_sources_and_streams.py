@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from voxframe.functions import audio
-from voxframe.operators import inference, order, rows, scores
+from voxframe.operators import inference, rows, scores
 from voxframe.session import scratch_dir
 from voxframe.sources import logs, snapshots, tables
 from voxframe.sources import scores as stored
