@@ -2,11 +2,12 @@
 
 Rows are told apart by a number of their own (`ROW`), never by doc_id, so NULL
 and repeated ids and rows that repeat in full keep their own results. The number
-is fixed by writing it to the checkpoint folder before anything reads it.
+is fixed by writing it to the shared folder before anything reads it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,19 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/voxframe-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read from there.
+    """The rows written as Parquet to the shared folder and read from there.
 
     Ends the lineage: later steps, or the loss of an executor, never run the
-    steps before again. Spark removes the files with the last reference if
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    steps before again. Unlike after checkpoint(), the optimiser then knows the
+    true size of what it reads. `clear_scratch` removes the files.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        folder = folder or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what `cut` wrote in this application; results not yet stored are then lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def identity(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
@@ -88,20 +99,24 @@ def _columns(schema: str) -> list[str]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node reached.
 
-    Each round maps every node to its smallest neighbour (or itself) and
-    contracts the edges by that map, so edges and nodes vanish fast; it ends when
-    none are left. A hub with any share of the edges is a plain aggregate, and
-    its join is split by Spark's skew join. Nothing goes to the driver but
-    whether edges are left. NULL ends and loops are ignored.
+    Each round maps every node to the neighbour (or itself) that comes first in an
+    order hashed anew, and contracts the edges by that map: a fixed share of the
+    nodes vanishes on average, whatever the shape, and it ends when no edge is
+    left. A hub with any share of the edges is a plain aggregate, and its join is
+    split by Spark's skew join. Nothing goes to the driver but whether edges are
+    left. NULL ends and loops are ignored.
     """
+    both_ways = lambda df: df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = cut(
         edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    roots = None
+    roots, turn = None, 0
     while roots is None or not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
+        turn += 1
+        place = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
+        to = both_ways(left).groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("m"))
+        to = cut(to.select("node", F.least("m", place("node"))["n"].alias("to")))
         if roots is None:
             roots = to.select("node", F.col("to").alias("root"))
         else:
@@ -113,4 +128,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             left.join(first, "a").join(second, "b").where("c <> d")
             .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
         )
-    return roots
+    smallest = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return roots.join(smallest, "root").select("node", F.col("least").alias("root"))
