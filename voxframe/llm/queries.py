@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import simhash
+from voxframe.llm import mixing, sharding, simhash
 from voxframe.llm.common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words the mix takes of them."""
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -19,7 +29,45 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op5_mixing": op5_mixing,
     "op8_simhash": op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5(concat_ws('-', '17', doc_id::VARCHAR, md5(text))) AS key
+  FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS cap,
+    [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+  FROM sums),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+      - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM levels),
+run AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+timed AS (
+  SELECT *, CASE WHEN target > 0 THEN upto::DOUBLE / target END AS first,
+    CASE WHEN target > 0 THEN (upto + source_size)::DOUBLE / target END AS second
+  FROM run),
+times AS (
+  SELECT t, sum(size) AS size
+  FROM (SELECT first AS t, size FROM timed UNION ALL SELECT second, size FROM timed) WHERE t IS NOT NULL AND size > 0 GROUP BY t),
+last AS (
+  SELECT max(t) AS t FROM (SELECT t, sum(size) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS upto FROM times)
+  WHERE upto <= 1.5 * (SELECT sum(size) FROM sized))
+SELECT doc_id, size, source_size, target,
+  (size * copies)::BIGINT AS taken, copies
+FROM (SELECT d.*, (coalesce((d.first <= l.t)::INT, 0) + coalesce((d.second <= l.t)::INT, 0)) * (size > 0)::INT AS copies
+      FROM timed d, last l)
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": MIXING_SQL}
