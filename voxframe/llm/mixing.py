@@ -84,7 +84,8 @@ def mix(
     docs: DataFrame, keep: list[str], weights: tuple = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, seed: int = SEED,
     doc_id: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """`keep` with size, source_size, target and copies (0 to `passes`), one row for each document.
+    """(kept, size, source_size, target, copies), one row for each document: `kept` is a struct
+    of the columns `keep`, so their names can't clash; copies is 0 to `passes`.
 
     The order hangs on seed, id and text alone, so reruns agree; rows equal in all
     of them are interchangeable. NULL ids and sources are values like any other,
@@ -92,26 +93,26 @@ def mix(
     empty table, or one without words, nothing is taken.
     """
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(doc_id).cast("string"), F.md5(F.col(text))))
-    named = docs.withColumns({"size": words_in(text), "key": key, "source": F.col(source)})
-    rows = cut(named.select(*dict.fromkeys([*keep, "source", "size", "key"])))
+    kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
+    rows = cut(docs.select(kept, F.col(source).alias("source"), words_in(text).alias("size"), key.alias("key")))
     targets = cut(source_targets(rows, weights, budget, passes))
     timed = cut(finish_times(rows, targets, passes))
     end = last_time(timed, budget, passes)
     inside = F.filter("finish", lambda t: (t <= F.lit(end)) & (F.col("size") > 0))
     copies = F.size(inside) if end is not None else F.lit(0)
-    return timed.withColumn("copies", copies).drop("finish", "key")
+    return timed.withColumn("copies", copies).drop("finish", "key", "source")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The given columns of the documents taken, each as often as it is taken."""
-    columns = docs.columns
-    taken = mix(docs, columns, **options).where("copies > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    taken = mix(docs, docs.columns, **options).where("copies > 0")
+    each = taken.select("kept", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return each.select("kept.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every document."""
     found = mix(docs, ["doc_id"])
     return found.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+        "kept.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
