@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import mixing, sharding, simhash
+from voxframe.llm import mixing, secrets, sharding, simhash
 from voxframe.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in all documents."""
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes of them."""
     return mixing.digest(table(spark, sf_dir, "documents"))
@@ -30,6 +35,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_secrets": op2_secrets,
     "op5_mixing": op5_mixing,
     "op8_simhash": op8_simhash,
 }
