@@ -10,9 +10,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 ROW = "__row"
 # White space between words: space and the characters 9 to 13
@@ -62,24 +66,39 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+CHUNK_BYTES = 4 << 20
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, whole texts as UTF-8, NULL as empty) in pieces of some megabytes, or one text if that is larger."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+        yield at, [t or b"" for t in texts.slice(at, upto - at).to_pylist()]
+        at = upto
+
+
 def map_texts(
-    df: DataFrame, text: str, keep: list[str], fn: Callable[[list[bytes]], dict[str, list | pa.Array]], schema: str
+    df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[list[bytes]], dict]], schema: str
 ) -> DataFrame:
     """`keep` unchanged, and one value per text in each column of `schema`.
 
-    `fn` gets the whole texts of an Arrow batch as UTF-8, NULL as empty. One map,
-    no shuffle; memory is that of a batch.
+    `make` runs once in each task and gives the function from texts to columns. One
+    map, no shuffle; memory is that of an Arrow batch and a few megabytes of texts.
     """
     names = [part.strip().split(" ")[0] for part in _columns(schema)]
+    types = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema)]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            made = fn(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *[made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names]],
-                [*keep, *names],
-            )
+            for at, texts in chunks(batch.column(0)):
+                made = fn(texts)
+                columns = [pa.array(made[n], type=t) for n, t in zip(names, types)]
+                kept = [c.slice(at, len(texts)) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], [*keep, *names])
 
     kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     return df.select(F.col(text).cast("string").alias("__text"), *keep).mapInArrow(apply, ", ".join([*kept, schema]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import mixing, secrets, sharding, simhash
+from voxframe.llm import decontamination, language_model, mixing, quality, secrets, sharding, simhash, toxicity
 from voxframe.llm.common import table
 
 
@@ -26,6 +26,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels that are not held out."""
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a benchmark item in all documents."""
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -33,11 +43,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    return language_model.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_language_model": op9_language_model,
+    "op10_toxicity": op10_toxicity,
 }
 
 MIXING_SQL = r"""

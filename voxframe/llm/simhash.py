@@ -47,9 +47,9 @@ def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text", words
     """`keep` and `fp` (the 64 bits as a signed long) of every row; a NULL text counts as empty."""
 
     def prints(texts: list[bytes]) -> dict:
-        return {"fp": np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64).tolist()}
+        return {"fp": np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)}
 
-    return map_texts(docs, text, keep, prints, "fp long")
+    return map_texts(docs, text, keep, lambda: prints, "fp long")
 
 
 def segments(radius: int, parts: int) -> list[tuple[int, int, int]]:
