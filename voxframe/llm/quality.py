@@ -14,41 +14,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import map_texts
-from voxframe.llm.words import Words, mixed, owners
+from voxframe.llm.words import Words, hashed, owners, shingled
 
 BUCKETS_LOG2 = 16
 GRAMS = (3, 5)
 DIM = 8
-EPOCHS = 12
+EPOCHS = 6
 RATE = 0.5
-FIT_ROWS = 4000
-FIT_CHARS = 4000
+FIT_ROWS = 3000
 SEED = 3
 
 
-def features(word: bytes, buckets_log2: int = BUCKETS_LOG2) -> np.ndarray:
-    """Buckets of the word and of its character n-grams between word edges, with repeats."""
-    marked = f"<{word.decode('utf-8', 'replace')}>"[:200]
-    points = np.frombuffer(marked.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    runs = [mixed(points, 1).sum(dtype=np.uint64)[None] * np.uint64(len(points)) + mixed(points[:2], 77)[:1]]
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every word and of its character n-grams between word edges, with repeats."""
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    word_of = owners(np.array([len(m) for m in marked], dtype=np.int64))
+    codes, places = [hashed(words, 13)], [np.arange(len(words))]
     for size in range(GRAMS[0], GRAMS[1] + 1):
-        n = len(points) - size + 1
-        if n > 0:
-            code = np.zeros(n, dtype=np.uint64)
-            for i in range(size):
-                code = code * np.uint64(0x100000001B3) + points[i:i + n]
-            runs.append(mixed(code, size))
-    return (np.concatenate(runs) >> np.uint64(64 - buckets_log2)).astype(np.int64)
+        whole = np.flatnonzero(word_of[size - 1:] == word_of[:max(0, len(word_of) - size + 1)])
+        codes.append(shingled(points, size)[whole])
+        places.append(word_of[whole])
+    return np.concatenate(places), (np.concatenate(codes) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
 
 
 def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, share of all the text's features) of a whole text."""
-    words = text.split()
-    if not words:
+    words, times = np.unique(np.array(text.split(), dtype=object), return_counts=True) if text.split() else ([], [])
+    if not len(words):
         return np.zeros(0, dtype=np.int64), np.zeros(0)
-    cached: dict[bytes, np.ndarray] = {}
-    found = [cached[w] if w in cached else cached.setdefault(w, features(w)) for w in words]
-    buckets, n = np.unique(np.concatenate(found), return_counts=True)
+    word, bucket = features(list(words))
+    buckets, place = np.unique(bucket, return_inverse=True)
+    n = np.bincount(place, times[word])
     return buckets, n / n.sum()
 
 
@@ -85,8 +82,8 @@ def scorer(weights: np.ndarray) -> Callable[[], Callable[[list[bytes]], dict]]:
 
     def make():
         def of_words(new: list[bytes]) -> list[np.ndarray]:
-            found = [features(w) for w in new]
-            return [np.array([weights[f].sum() for f in found], dtype=float), np.array([len(f) for f in found], dtype=float)]
+            word, bucket = features(new)
+            return [np.bincount(word, weights[bucket], len(new)), np.bincount(word, minlength=len(new)).astype(float)]
 
         vocab = Words(of_words)
 
@@ -104,12 +101,12 @@ def scorer(weights: np.ndarray) -> Callable[[], Callable[[list[bytes]], dict]]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: list[Column], rows: int, learn: Column, doc_id: str = "doc_id", text: str = "text") -> list:
     """(text, labels ...) of at most `rows` labelled rows, those with the smallest hash of the id: a bounded sample for a fit.
 
-    Only the texts of the chosen ids are read out; a text of over FIT_CHARS
-    characters gives its beginning, which bounds the driver's memory. Rows with a NULL label or id are left out.
+    Only the texts of the chosen ids are read out, whole, and only those rows reach the
+    driver. Rows with a NULL label or id are left out.
     """
     named = labels.select(doc_id, *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(label)]).dropna().where(learn)
     chosen = named.orderBy(F.xxhash64(doc_id), doc_id).limit(rows)
-    texts = docs.select(F.col(doc_id), F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, FIT_CHARS).alias("__t"))
+    texts = docs.select(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     got = texts.join(chosen, doc_id).select("__t", *[f"__y{i}" for i in range(len(label))], doc_id)
     return sorted((r[-1], r[0].encode(), *r[1:-1]) for r in got.toLocalIterator())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontamination, language_model, mixing, quality, secrets, sharding, simhash, toxicity
+from voxframe.llm import decontamination, language_model, mixing, quality, secrets, sharding, simhash, toxicity, vectors
 from voxframe.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes of them."""
     return mixing.digest(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
+    "op4_embeddings": op4_embeddings,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
@@ -100,4 +106,18 @@ FROM (SELECT d.*, (coalesce((d.first <= l.t)::INT, 0) + coalesce((d.second <= l.
       FROM timed d, last l)
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": MIXING_SQL}
+EMBEDDINGS_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, m.component_id, m.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) m USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_embeddings": EMBEDDINGS_SQL, "op5_mixing": MIXING_SQL}

@@ -21,18 +21,47 @@ from voxframe.llm.words import Words, hashed, normal, owners
 BUCKETS_LOG2 = 18
 FIT_ROWS = 6000
 FOLDS = 4
-EPOCHS = 8
+EPOCHS = 6
 RATE = 0.3
-SPARSE = 2e-4
+SPARSE = 0.05
+STEMS = (4, 5, 6, 7)
+SEEN_IN = 5
 THRESHOLD = 0.5
 
 
-def buckets_of(words: list[bytes]) -> np.ndarray:
-    return (hashed([normal(w) for w in words], 23) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+def features(words: list[bytes]) -> np.ndarray:
+    """(word, feature) buckets: the word without case and outer punctuation, and its beginnings.
+
+    Beginnings stand for stems, so that inflected and compound words of a stem count together.
+    A word no longer than a beginning repeats the whole word's bucket, which counts once.
+    """
+    known = [normal(w).decode() for w in words]
+    whole = hashed([w.encode() for w in known], 23)
+    stems = [np.where([len(w) > n for w in known], hashed([w[:n].encode() for w in known], 29 + n), whole) for n in STEMS]
+    return (np.stack([whole, *stems], axis=1).reshape(-1, 1 + len(STEMS)) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+
+
+def seen(text_of: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, log2 of 1 + the number of words with it) from the features of all words of all texts."""
+    repeats = np.zeros(found.shape, dtype=bool)
+    repeats[:, 1:] = found[:, 1:] == found[:, :1]
+    pairs, n = np.unique((text_of[:, None] << BUCKETS_LOG2 | found)[~repeats], return_counts=True)
+    return pairs >> BUCKETS_LOG2, pairs & ((1 << BUCKETS_LOG2) - 1), np.log2(1.0 + n)
+
+
+def texts_seen(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, values) of each text."""
+    vocab = Words(lambda new: [features(new)])
+    out = []
+    for t in texts:
+        places, lengths = vocab.places([t])
+        _, bucket, value = seen(owners(lengths), vocab.rows[0][places])
+        out.append((bucket, value))
+    return out
 
 
-def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Logistic model over the words present and the `extra` columns, by AdaGrad steps with a lasso.
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Logistic model over the features seen and the `extra` columns, by AdaGrad steps with a lasso.
 
     Returns bucket weights, then those of `extra`, then the offset. The lasso sets the weights
     of words without bearing to zero, so a long text does not gather noise.
@@ -46,9 +75,8 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, seed: i
     tail = np.arange(1 << BUCKETS_LOG2, size)
     for _ in range(EPOCHS):
         for i in random.permutation(len(rows)):
-            at = np.concatenate([rows[i], tail])
-            x = np.ones(len(at))
-            x[len(rows[i]):-1] = extra[i]
+            bucket, value = rows[i]
+            at, x = np.concatenate([bucket, tail]), np.concatenate([value, extra[i], [1.0]])
             p = 1 / (1 + np.exp(-np.clip(x @ weights[at], -30, 30)))
             g = (p - y[i]) * x * (min(rare, 10.0) ** 0.5 if y[i] else 1.0)
             grown[at] += g * g
@@ -59,15 +87,17 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, seed: i
     return weights
 
 
-def predict(weights: np.ndarray, rows: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
+def predict(weights: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray) -> np.ndarray:
     n = 1 << BUCKETS_LOG2
-    sums = np.array([weights[r].sum() for r in rows]) if rows else np.zeros(0)
+    sums = np.array([weights[b] @ v for b, v in rows]) if rows else np.zeros(0)
     return 1 / (1 + np.exp(-np.clip(sums + extra @ weights[n:-1] + weights[-1], -30, 30)))
 
 
 def fit_chain(texts: list[bytes], labels: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
     """A model for each category (column of `labels`); every text belongs to the fold of its place."""
-    rows = [np.unique(buckets_of(sorted(set(t.split())))) for t in texts]
+    rows = texts_seen(texts)
+    counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *[b for b, _ in rows]]), minlength=1 << BUCKETS_LOG2)
+    rows = [(b[k], v[k]) for b, v in rows for k in [counts[b] >= SEEN_IN]]
     fold, extra, models = np.arange(len(rows)) % folds, np.zeros((len(rows), 0)), []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
@@ -83,20 +113,19 @@ def fit_chain(texts: list[bytes], labels: np.ndarray, folds: int = FOLDS) -> lis
 
 
 def scorer(models: list[np.ndarray]) -> Callable[[], Callable[[list[bytes]], dict]]:
-    """The chain for `map_texts`: each different word of a whole text counts once."""
+    """The chain for `map_texts`, over whole texts."""
     n = 1 << BUCKETS_LOG2
     words, tails = np.array([m[:n] for m in models]), [m[n:] for m in models]
 
     def make():
-        vocab = Words(lambda new: [buckets_of(new)])
+        vocab = Words(lambda new: [features(new)])
 
         def score(texts: list[bytes]) -> dict:
             places, lengths = vocab.places(texts)
-            pairs = np.unique(owners(lengths) << BUCKETS_LOG2 | vocab.rows[0][places])
-            text_of, bucket = pairs >> BUCKETS_LOG2, pairs & (n - 1)
+            text_of, bucket, value = seen(owners(lengths), vocab.rows[0][places])
             found: list[np.ndarray] = []
             for weights, tail in zip(words, tails):
-                logit = np.bincount(text_of, weights[bucket], len(texts)) + tail[-1]
+                logit = np.bincount(text_of, weights[bucket] * value, len(texts)) + tail[-1]
                 logit += sum(p * w for p, w in zip(found, tail[:-1]))
                 found.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
             return {f"p{k}": p for k, p in enumerate(found)}
