@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontamination, language_model, mixing, quality, secrets, sharding, simhash, toxicity, vectors
+from voxframe.llm import decontamination, language_model, mixing, passages, quality, secrets, sharding, simhash, toxicity, vectors
 from voxframe.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of all documents that another document repeats."""
+    return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of all embeddings."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -61,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
+    "op3_passages": op3_passages,
     "op4_embeddings": op4_embeddings,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,

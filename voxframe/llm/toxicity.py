@@ -82,7 +82,8 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, y:
             grown[at] += g * g
             pace = RATE / np.sqrt(grown[at])
             moved = weights[at] - pace * g
-            moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - pace[:-1] * SPARSE, 0)
+            n = len(bucket)
+            moved[:n] = np.sign(moved[:n]) * np.maximum(np.abs(moved[:n]) - pace[:n] * SPARSE, 0)
             weights[at] = moved
     return weights
 
