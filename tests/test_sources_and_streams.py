@@ -203,10 +203,26 @@ def test_scoring_resumes(spark, tmp_path):
 def test_scoring_stops_at(spark, tmp_path):
     source, out, cp = (f"{tmp_path}/{d}" for d in ("in", "out", "cp"))
     clips(spark, 8).coalesce(1).write.parquet(source)
-    jobs.score_stream(stream(spark, source), score, 3, out, cp, {}, stop_at=5).awaitTermination()
-    got = spark.read.parquet(f"{out}/scores")
+    run = lambda **kw: jobs.await_scoring(jobs.score_stream(stream(spark, source), score, 3, out, cp, {}, **kw))
+    assert not run(stop_at=5)
+    got = stored.read_teacher_scores(spark, f"{out}/scores")
     assert sorted({r.example_pos for r in got.collect()}) == [0, 2, 3, 4]
     assert logs.read_progress(spark, f"{out}/progress")["next_idx"] == 5
+    clips(spark, 4, first=8).coalesce(1).write.mode("append").parquet(source)
+    assert not run(stop_at=8)  # at the edge of a file: that file ends here, the next one is not begun
+    assert run()  # stop and resume give what one run gives, in the one stored schema
+    whole = scores.top_k_per_position(score(rows.valid_rows(clips(spark, 12))), 3)
+    back = stored.read_teacher_scores(spark, f"{out}/scores")
+    assert content(back) == content(stored.stored_form(whole))
+    assert sorted({r.example_pos for r in stored.read_teacher_scores(spark, f"{out}/scores", 3, 9).collect()}) == list(range(3, 9))
+    assert logs.read_progress(spark, f"{out}/progress")["next_idx"] == 12
+
+
+def test_log_lines_with_text_and_broken_ones(spark, tmp_path):
+    lines = ['{"step": 2, "note": "hello", "eval_wer": 0.4}', '{"step": 3, "list": [1], "loss": "0.5"}', "no json"]
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(f"{tmp_path}/log")
+    got = {r.step: r.metrics for r in logs.read_run_log(spark, f"{tmp_path}/log").collect()}
+    assert got == {2: {"eval_wer": 0.4}, 3: {"loss": 0.5}, None: None}
 
 
 def test_stream_shuffle(spark, tmp_path):

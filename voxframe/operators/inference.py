@@ -46,7 +46,7 @@ def clip_features(
     (key, duration, n_frames, features, fill): `features` is bins by frames up
     to the last frame that touches the clip, `fill` the value of the silent
     frames after it; `fixed_frames` gives the fixed length. A clip at another
-    rate is resampled first. Clips are independent, so the job is one map
+    rate is resampled first; one without samples or rate has NULL features. Clips are independent, so the job is one map
     without a shuffle; Arrow batches are cut by size as well as by rows.
     """
 
@@ -55,6 +55,9 @@ def clip_features(
         for batch in batches:
             rows = []
             for row_key, samples, rate in zip(batch["k"], batch["a"], batch["r"]):
+                if samples is None or rate is None or rate != rate:
+                    rows.append((row_key, None, None, None, None))
+                    continue
                 if rate not in kernels:
                     kernels[rate] = sinc_phases(int(rate))
                 wave = resample(samples, int(rate), kernels[rate])

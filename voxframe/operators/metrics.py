@@ -69,9 +69,11 @@ def wer_by_model(df: DataFrame, seconds: str | None = None, model: str = "model"
 def wer_at_n(df: DataFrame, sizes: Sequence[int], pos: str = "pos", model: str = "model") -> DataFrame:
     """WER on the first n rows of each model for several n; 0 means all rows.
 
-    `pos` counts the rows of a model from 0. Every pair is aligned once, then
-    counted for each n it belongs to.
+    `pos` counts the rows of a model from 0. Every pair that some n needs is aligned
+    once, then counted for each n it belongs to.
     """
+    if 0 not in sizes:
+        df = df.where(F.col(pos) < max(sizes))
     counted = word_edits(df).withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes])))
     return (
         counted.where((F.col("n") == 0) | (F.col(pos) < F.col("n")))

@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Columns of the log and progress rows
-LOG_SCHEMA = "run STRING, step LONG, epoch DOUBLE, metrics MAP<STRING, DOUBLE>"
+from voxframe.sources.scores import absent
+
+# Columns of the progress rows
 PROGRESS_SCHEMA = (
     "teacher_model STRING, top_k INT, batch_size INT, next_idx LONG, examples_processed LONG, "
     "complete BOOLEAN, split STRING"
@@ -15,8 +16,13 @@ PROGRESS_SCHEMA = (
 
 
 def parse_log_line(line: Column) -> Column:
-    """JSON object with an open set of numeric keys, as a map."""
-    return F.from_json(line, "MAP<STRING, DOUBLE>")
+    """The numeric values of a JSON object with an open set of keys, as a map.
+
+    A key with another value (text, list) is left out, the others stay. A line that is no JSON
+    object gives NULL.
+    """
+    values = F.transform_values(F.from_json(line, "MAP<STRING, STRING>"), lambda _, v: v.try_cast("double"))
+    return F.map_filter(values, lambda _, v: v.isNotNull())
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +31,9 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
         lines = spark.read.text(path).select(
             F.col("_metadata.file_path").alias("path"), parse_log_line(F.col("value")).alias("m")
         )
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         return spark.createDataFrame([], "path STRING, step LONG, epoch DOUBLE, metrics MAP<STRING, DOUBLE>")
     return lines.select(
         "path",
@@ -64,11 +72,14 @@ def read_progress(spark: SparkSession, path: str, before: int | None = None) ->
         try:
             rows = spark.read.schema(PROGRESS_SCHEMA).json(f"{path}/batch_id={before - 1}")
             return rows.withColumn("batch_id", F.lit(before - 1)).first().asDict()
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if not absent(error):
+                raise
     try:
         rows = spark.read.schema(PROGRESS_SCHEMA + ", batch_id LONG").json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         return None
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)

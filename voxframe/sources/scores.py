@@ -46,13 +46,20 @@ def read_teacher_scores(
     spark: SparkSession, path: str, first: int | None = None, stop: int | None = None,
     per_folder: int = POSITIONS_PER_FOLDER,
 ) -> DataFrame:
-    """Stored scores, all or of the positions [first, stop)."""
+    """Stored scores, all or of the positions [first, stop).
+
+    Reads what `write_teacher_scores` and what the scoring stream wrote: folders of
+    positions are pruned where there are some, other folder columns are left out.
+    """
     df = spark.read.parquet(path)
+    folders = FOLDER in df.columns
     if first is not None:
-        df = df.where((F.col(FOLDER) >= first // per_folder) & (F.col("example_pos") >= first))
+        df = df.where(F.col("example_pos") >= first)
+        df = df.where(F.col(FOLDER) >= first // per_folder) if folders else df
     if stop is not None:
-        df = df.where((F.col(FOLDER) <= (stop - 1) // per_folder) & (F.col("example_pos") < stop))
-    return df.drop(FOLDER)
+        df = df.where(F.col("example_pos") < stop)
+        df = df.where(F.col(FOLDER) <= (stop - 1) // per_folder) if folders else df
+    return df.select("example_pos", "tok_pos", "label_id", "top")
 
 
 def write_bucketed(
@@ -72,10 +79,17 @@ def unscored(examples: DataFrame, scores: DataFrame, pos: str = "example_pos") -
     return examples.join(scores.select(pos).distinct(), pos, "left_anti")
 
 
+def absent(error: AnalysisException) -> bool:
+    """Whether the path is not there, or holds no file yet; any other fault is one."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def has_scores(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.parquet(path).isEmpty()
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         return False
 
 

@@ -9,17 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxframe.operators.order import BLOCK, resume_from, shuffle_bounded, with_position
+from voxframe.operators.order import resume_from, shuffle_full
 from voxframe.operators.rows import valid_rows
 from voxframe.operators.scores import top_k_per_position
 from voxframe.sources.logs import PROGRESS_SCHEMA, read_progress, write_progress
 from voxframe.sources.scores import stored_form
 
 
+LIMIT_REACHED = "scoring limit reached; the batch stays open for the next run"
+
+
 def prepare(clips: DataFrame, keep: list[str]) -> DataFrame:
     """Validity filter and projection; the same code for batch and stream."""
     return valid_rows(clips).select(*keep)
@@ -51,11 +55,21 @@ def score_stream(
     `score` turns valid rows into (example_pos, tok_pos, label_id, teacher). The
     totals of log and progress go on from those of the batch before, so they do
     not restart with the job, and a replayed batch arrives at the same numbers.
+
+    A batch that reaches past `stop_at` is scored up to it and not committed: the
+    query ends there, and the next run does that batch again as a whole, so no row is
+    lost. `await_scoring` waits for either end.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         due = resume_from(batch, 0, stop_at, "example_pos")
+        past = False
+        if stop_at is not None:
+            low, high = batch.agg(F.min("example_pos"), F.max("example_pos")).first()
+            past = high is not None and high >= stop_at
+            if past and low >= stop_at:
+                raise RuntimeError(LIMIT_REACHED)
         target = f"{path}/scores/batch_id={batch_id}"
         scored = stored_form(top_k_per_position(score(valid_rows(due)), k, vocab=vocab))
         scored.write.mode("overwrite").parquet(target)
@@ -81,6 +95,8 @@ def score_stream(
         )
         line.coalesce(1).write.mode("overwrite").json(f"{path}/log/batch_id={batch_id}")
         write_progress(progress, f"{path}/progress", batch_id)
+        if past:
+            raise RuntimeError(LIMIT_REACHED)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -90,6 +106,17 @@ def score_stream(
     )
 
 
+def await_scoring(query: StreamingQuery) -> bool:
+    """Wait for the end of a scoring job: True if all there was is scored, False at its limit."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as error:
+        if LIMIT_REACHED not in str(error):
+            raise
+        return False
+    return True
+
+
 def mark_complete(spark: SparkSession, path: str) -> None:
     """End the job: the newest progress row again, marked complete."""
     last = read_progress(spark, f"{path}/progress")
@@ -103,12 +130,11 @@ def mark_complete(spark: SparkSession, path: str) -> None:
 def shuffle_stream(
     stream: DataFrame, seed: int, key: str, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Seeded order within each micro-batch, which is the buffer."""
+    """Seeded order within each micro-batch, which is the buffer whatever its size."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        placed = with_position(batch, key, "pos")
-        rows = shuffle_bounded(placed, BLOCK, seed, "pos", key, "shuffle_pos")
-        rows.drop("pos").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = shuffle_full(batch, seed, key)
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)
