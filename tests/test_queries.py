@@ -26,7 +26,8 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"resampled_features"}
+    corpus = {n for n in queries() if n == "pipeline" or n.startswith("op")}
+    assert set(queries()) - set(oracle_sql()) - corpus == {"resampled_features"}
 
 
 def test_entry(spark):
