@@ -142,3 +142,12 @@ def test_context_jitter_bounds(spark):
 def test_grid(spark):
     got = sweep_grid(spark.range(2), alpha=[0.5, 0.7], temperature=[1.0, 2.0]).collect()
     assert len({tuple(r) for r in got}) == 8
+
+
+def test_flags_and_sources(spark):
+    df = spark.createDataFrame(
+        [(1, "a", True, None), (2, "b", False, False), (3, None, None, None), (4, "a", None, True)],
+        "id int, source string, noisy boolean, multiple_speakers boolean")
+    assert sorted(r.id for r in rows.quality_filter(df).collect()) == [2, 3]
+    skipped = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z")], "source string, reason string")
+    assert sorted(r.id for r in rows.skip_sources(df, skipped).collect()) == [2, 3]

@@ -226,3 +226,8 @@ def shift_right(labels: Column, start_id: int) -> Column:
 def pad_mask(labels: Column, pad_id: int) -> Column:
     """Padding ids become the ignored label."""
     return F.transform(labels, lambda v: F.when(v == pad_id, IGNORE).otherwise(v))
+
+
+def argmax_label(x: Column) -> Column:
+    """Id of the best score, the lowest on ties; NULL for an array without scores."""
+    return F.nullif(F.array_position(x, F.array_max(x)), F.lit(0).cast("long")) - 1

@@ -29,6 +29,18 @@ def drop_empty_reference(df: DataFrame, ref: str = "ref") -> DataFrame:
     return df.where(has_text(F.col(ref)))
 
 
+def quality_filter(df: DataFrame, flags: tuple[str, ...] = ("noisy", "multiple_speakers")) -> DataFrame:
+    """Drop rows with a raised flag; a flag that is NULL is not raised."""
+    for flag in flags:
+        df = df.where(~F.coalesce(F.col(flag), F.lit(False)))
+    return df
+
+
+def skip_sources(df: DataFrame, skipped: DataFrame, source: str = "source") -> DataFrame:
+    """Drop the rows of the sources listed in `skipped` (source, reason); a NULL source is never listed."""
+    return df.join(skipped.select(source).distinct(), source, "left_anti")
+
+
 def within_duration(
     df: DataFrame, seconds: float = MAX_CLIP_SECONDS, duration: str = "duration"
 ) -> DataFrame:

@@ -385,6 +385,10 @@ FROM rates b JOIN rates a USING (model) WHERE b.m = 3 AND a.m = 2""",
     "last_metric": f"WITH {RUNS} SELECT run, round(last, 6) AS last FROM run_ids LEFT JOIN finals USING (run)",
     "best_step": f"""WITH {RUNS}
 SELECT run, best_step, round(best, 6) AS best FROM run_ids LEFT JOIN bests USING (run)""",
+    "quality_filter": """SELECT doc_id, lang FROM documents LEFT JOIN labels USING (doc_id)
+WHERE NOT coalesce(quality = 0, false) AND NOT coalesce(toxic = 1, false)""",
+    "skip_sources": """SELECT doc_id, source FROM documents WHERE source IS NULL OR source NOT IN ('src3', 'src7')""",
+    "argmax_label": """SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS label_id FROM embeddings""",
     "final_vs_best": f"""WITH {RUNS}
 SELECT run, round(last, 6) AS last, round(best, 6) AS best, round(last - best, 6) AS regression
 FROM run_ids LEFT JOIN finals USING (run) LEFT JOIN bests USING (run)""",

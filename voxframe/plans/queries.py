@@ -447,6 +447,22 @@ def best_step(spark, sf):
     return runs.best_step(V.runs(spark, sf)).withColumn("best", r6("best"))
 
 
+def quality_filter(spark, sf):
+    marks = V.table(spark, sf, "labels").select(
+        "doc_id", (F.col("quality") == 0).alias("noisy"), (F.col("toxic") == 1).alias("multiple_speakers"))
+    flagged = V.table(spark, sf, "documents").select("doc_id", "lang").join(marks, "doc_id", "left")
+    return rows.quality_filter(flagged).select("doc_id", "lang")
+
+
+def skip_sources(spark, sf):
+    skipped = spark.createDataFrame([("src3", "machine text"), ("src7", "no licence")], "source string, reason string")
+    return rows.skip_sources(V.table(spark, sf, "documents").select("doc_id", "source"), skipped).select("doc_id", "source")
+
+
+def argmax_label(spark, sf):
+    return V.table(spark, sf, "embeddings").select("vec_id", A.argmax_label(F.col("embedding")).alias("label_id"))
+
+
 def final_vs_best(spark, sf):
     out = runs.final_vs_best(V.runs(spark, sf))
     return out.withColumns({c: r6(c) for c in ("last", "best", "regression")})
@@ -588,7 +604,7 @@ REGISTERED: dict[str, Query] = {
         align_scores, align_packed, gather_topk, gather_topk_array, cross_entropy, kl_full, kl_topk, combined_loss,
         combined_loss_full, stored_loss, vector_mse, storage_per_row, pad_or_trim, truncate_context,
         word_edits, wer_corpus, wer_by_model, wer_at_n, zip_pairs, vs_baseline,
-        last_metric, best_step, final_vs_best, running_mean, throughput, rank_runs, grid,
+        last_metric, best_step, final_vs_best, quality_filter, skip_sources, argmax_label, running_mean, throughput, rank_runs, grid,
         is_complete, retain_latest, latest_snapshot, state_or_name, label_of_run,
         context_size, map_rows, batch_predict, clip_seconds, clip_features, resampled_features,
     )
