@@ -189,6 +189,29 @@ def kl_top_k(top: Column, student: Column, temperature: float | Column = 1.0) ->
     return let(top, lambda kept: let(doubles(student), lambda s: with_norms(kept, s))) * t * t
 
 
+def js_divergence(teacher: Column, student: Column, temperature: float | Column = 1.0) -> Column:
+    """Mean KL of both sides to their mean over the shared vocabulary: symmetric, at most ln 2."""
+    a, b = align_vocab(doubles(teacher), doubles(student))
+    half = F.log(F.lit(0.5))
+
+    def term(lp: Column, lq: Column) -> Column:
+        top = F.greatest(lp, lq)
+        mean = half + top + F.log1p(F.exp(F.least(lp, lq) - top))
+        return (_kl_term(lp, mean) + _kl_term(lq, mean)) / 2
+
+    terms = F.zip_with(log_softmax(a, temperature), log_softmax(b, temperature), term)
+    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+
+def top_mass(scores: Column, ids: Column) -> Column:
+    """Share of the probability that the zero-based `ids` hold."""
+    def held(a: Column) -> Column:
+        return let(log_sum_exp(a), lambda z: F.aggregate(
+            ids, F.lit(0.0), lambda s, i: s + F.exp(F.element_at(a, i.cast("int") + 1) - z)))
+
+    return let(doubles(scores), held)
+
+
 def vector_mse(layers_a: Column, layers_b: Column) -> Column:
     """Mean squared difference over all layers (array<array<double>>) of one example."""
     a, b = doubles(F.flatten(layers_a)), doubles(F.flatten(layers_b))

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from voxframe.functions.arrays import let
+
 # The characters Python's str methods take for white space. Written
 # out, since a plain class is much faster than Java's Unicode mode.
 _SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,6 +38,23 @@ def wer_text(c: Column) -> Column:
     return F.regexp_replace(joined, f"^{_WS}+|{_WS}+$", "")
 
 
+def normalise_text(c: Column) -> Column:
+    """Lower case, without punctuation and symbols, words one space apart."""
+    bare = F.regexp_replace(F.lower(c), r"[\p{P}\p{S}]", "")
+    return F.regexp_replace(F.regexp_replace(bare, f"{_WS}+", " "), "^ | $", "")
+
+
+def repetition_score(c: Column, n: int = 3) -> Column:
+    """Share of a text's n-word sequences that repeat an earlier one; 0 with fewer than n words, NULL for NULL."""
+    def score(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        repeated = let(grams, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g))
+        return F.when(F.size(words) >= n, repeated).otherwise(0.0)
+
+    return F.when(c.isNotNull(), let(tokens(c), score))
+
+
 def edit_distance(ref: list[str], hyp: list[str]) -> int:
     """Least number of word substitutions, deletions and insertions.
 

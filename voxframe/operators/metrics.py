@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.text import word_alignment
+from voxframe.functions.text import has_text, normalise_text, word_alignment
 from voxframe.operators.rows import drop_empty_reference
 
 
@@ -66,6 +66,29 @@ def wer_by_model(df: DataFrame, seconds: str | None = None, model: str = "model"
     )
 
 
+def wer_normalised(df: DataFrame, ref: str = "ref", hyp: str = "hyp", model: str = "model") -> DataFrame:
+    """WER per model of the texts as they are and normalised, side by side.
+
+    Rows with a blank reference are left out; one that is blank only once it is normalised
+    counts on the raw side alone.
+    """
+    said = F.coalesce(F.col(hyp), F.lit(""))
+    plain = drop_empty_reference(df, ref).select(
+        model, F.col(ref).alias("__ref"), said.alias("__hyp"),
+        normalise_text(F.col(ref)).alias("__nref"), normalise_text(said).alias("__nhyp"),
+    )
+    aligned = plain.select(
+        model, word_alignment(F.col("__ref"), F.col("__hyp")).alias("raw"), has_text(F.col("__nref")).alias("some"),
+        word_alignment(F.col("__nref"), F.col("__nhyp")).alias("norm"),
+    )
+    counted = lambda c: F.when(F.col("some"), F.col(c))
+    return aligned.groupBy(model).agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.try_divide(F.sum("raw.edits"), F.sum("raw.ref_words")).alias("wer_raw"),
+        F.try_divide(F.sum(counted("norm.edits")), F.sum(counted("norm.ref_words"))).alias("wer_normalised"),
+    )
+
+
 def wer_at_n(df: DataFrame, sizes: Sequence[int], pos: str = "pos", model: str = "model") -> DataFrame:
     """WER on the first n rows of each model for several n; 0 means all rows.
 

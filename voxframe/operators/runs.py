@@ -176,3 +176,10 @@ def state_or_name(df: DataFrame, steps_per_epoch: int, name: str = "dir", state_
             "epoch": F.when(saved, F.coalesce(F.col(state_epoch), F.lit(0))).otherwise(epoch),
         }
     )
+
+
+def regression_alarm(log: DataFrame, baseline: DataFrame, run: str = "run", metric: str = "eval_wer", step: str = "step") -> DataFrame:
+    """(run, wer_start, first_wer): runs whose first evaluation is worse than the start given in `baseline` (run, wer)."""
+    first = log.where(F.col(metric).isNotNull()).groupBy(run).agg(F.min_by(metric, step).alias("first_wer"))
+    start = baseline.select(run, F.col("wer").alias("wer_start"))
+    return start.join(first, run).where("first_wer > wer_start")

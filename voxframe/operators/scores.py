@@ -179,3 +179,18 @@ def storage_per_row(
         ),
         (F.sum("positions") * (vocab * full_bytes) / F.count(F.lit(1))).alias("full_bytes_per_row"),
     )
+
+
+def top_k_mass(df: DataFrame, k: int, teacher: str = "teacher", student: str = "student") -> DataFrame:
+    """Teacher mass that the top k ids keep, and student mass outside of them, per position."""
+    both = vocab_aligned(df, teacher, student).withColumn("__ids", F.transform(A.top_k(F.col(teacher), k), lambda e: e["token_id"]))
+    return both.withColumns({
+        "kept": A.top_mass(F.col(teacher), F.col("__ids")), "outside": 1 - A.top_mass(F.col(student), F.col("__ids")),
+    }).drop("__ids", teacher, student)
+
+
+def loss_balance(losses: DataFrame) -> DataFrame:
+    """KL against cross-entropy, and the KL's share of the combined loss; NULL where the divisor is 0."""
+    return losses.withColumns({
+        "kl_to_ce": F.try_divide("kl", "ce"), "kl_share": F.try_divide((1 - F.col("alpha")) * F.col("kl"), F.col("loss")),
+    })

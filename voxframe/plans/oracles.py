@@ -93,6 +93,29 @@ pairs AS (
                ELSE n // 9 + n // 5 - n // 45 END AS edits
   FROM words, (SELECT unnest([1, 2, 3]) AS model))"""
 
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g'))"
+_USED = f"""WITH ours AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
+used AS (SELECT t FROM ours WHERE doc_id % 10 = 0 UNION ALL SELECT {_NORMAL} FROM benchmark)"""
+
+
+def _grams(text: str) -> str:
+    """Share of repeated sequences of three words, taken apart into rows."""
+    return rf"""split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({text}, '\s+'), lambda w: w <> '') AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_zip(w[:-3], w[2:-2], w[3:])) AS g FROM split WHERE len(w) >= 3),
+shares AS (SELECT doc_id, 1 - count(DISTINCT g)::DOUBLE / count(*) AS score FROM grams GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(score, 0) AS score FROM split LEFT JOIN shares USING (doc_id))"""
+
+
+_MARKED = "CASE WHEN doc_id % 19 = 0 THEN text || ' [BLANK_AUDIO]' ELSE text END"
+_OUTPUTS = f"""{_grams(_MARKED)},
+outputs AS (
+  SELECT doc_id AS clip_id, {_MARKED} AS text,
+    regexp_matches(text, '\\S') AND doc_id % 19 <> 0 AND score <= 0.5
+      AND coalesce(length({_MARKED}) / nullif(n_chars / 15.0::DOUBLE * CASE WHEN doc_id % 7 = 0 THEN 20 ELSE 1 END, 0) >= 1, true) AS fine
+  FROM documents JOIN scored USING (doc_id))"""
+
 RUNS = """runs AS (
   SELECT event_id, CAST(user_id % 6 AS INTEGER) AS run, event_type,
     list_extract([0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE], CAST((user_id % 6) // 2 + 1 AS INTEGER)) AS alpha,
@@ -382,6 +405,59 @@ SELECT b.model, round(b.wer, 6) AS wer_before, round(a.wer, 6) AS wer_after,
   round((b.wer - a.wer) / b.wer, 6) AS relative_reduction
 FROM rates b JOIN rates a USING (model) WHERE b.m = 3 AND a.m = 2""",
     # runs and files
+    "harmonise_union": """SELECT doc_id AS clip_id, text, lang, NULL::VARCHAR AS role FROM documents
+UNION ALL SELECT conv_id, text, NULL, role FROM conversations""",
+    "interleave": """WITH ranked AS (
+  SELECT doc_id, lang, CASE lang WHEN 'fr' THEN 0 ELSE 1 END AS n,
+    (2 * row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) * CASE lang WHEN 'fr' THEN 3 ELSE 7 END AS v
+  FROM documents WHERE lang IN ('fr', 'de')),
+ends AS (SELECT n, max(v) AS v FROM ranked GROUP BY n),
+last AS (SELECT v, n FROM ends WHERE (SELECT count(*) FROM ends) = 2 ORDER BY v, n LIMIT 1)
+SELECT doc_id, lang, row_number() OVER (ORDER BY r.v, r.n) - 1 AS place
+FROM ranked r, last l WHERE r.v < l.v OR r.v = l.v AND r.n <= l.n""",
+    "merge_labelled": """WITH every AS (
+  SELECT doc_id AS clip_id, text, 0 AS kind FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT conv_id, text, 1 FROM conversations),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY kind, text) AS r FROM every)
+SELECT clip_id, text, kind = 0 AS supervised FROM ranked WHERE r = 1""",
+    "only_new_rows": f"{_USED} SELECT doc_id FROM ours WHERE t NOT IN (SELECT t FROM used)",
+    "overlap_rows": f"{_USED} SELECT doc_id FROM ours WHERE t IN (SELECT t FROM used)",
+    "source_profile": f"""WITH {CLIPS}
+SELECT source, count(*) AS clips, round(sum(duration) / 3600, 6) AS hours, round(avg(duration), 6) AS mean_seconds
+FROM clips GROUP BY source""",
+    "wer_normalised": r"""WITH words AS (
+  SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
+counted AS (
+  SELECT lang, len(w) AS n, len(list_filter(w, lambda x: regexp_replace(x, '[\p{P}\p{S}]', '', 'g') <> '')) AS m FROM words WHERE len(w) > 0)
+SELECT lang AS model, count(*) AS samples,
+  round(sum(n // 7 + n // 5 - n // 35)::DOUBLE / sum(n), 6) AS wer_raw,
+  round(sum(CASE WHEN m > 0 THEN n // 7 END)::DOUBLE / sum(m), 6) AS wer_normalised
+FROM counted GROUP BY lang""",
+    "repetition_score": f"WITH {_grams('text')} SELECT doc_id, round(score, 6) AS score FROM scored",
+    "pseudo_filter": f"WITH {_OUTPUTS} SELECT clip_id FROM outputs WHERE fine",
+    "pseudo_label": f"""WITH {_OUTPUTS} SELECT clip_id, length(text)::INTEGER AS chars, clip_id % 3 <> 0 AS supervised
+FROM outputs WHERE clip_id % 3 <> 0 OR fine""",
+    "topk_mass": f"""WITH {VECTORS}, {ALIGNED},
+teacher_z AS (SELECT vec_id, ln(sum(exp(logit))) AS z FROM aligned GROUP BY vec_id),
+student_z AS (SELECT vec_id, ln(sum(exp(logit))) AS z FROM student GROUP BY vec_id)
+SELECT t.example_pos, t.tok_pos, round(sum(exp(t.logit - tz.z)), 6) AS kept, round(1 - sum(exp(s.logit - sz.z)), 6) AS outside
+FROM aligned_top t JOIN student s ON s.vec_id = t.vec_id AND s.token_id = t.token_id
+JOIN teacher_z tz ON tz.vec_id = t.vec_id JOIN student_z sz ON sz.vec_id = t.vec_id GROUP BY ALL""",
+    "loss_balance": f"""WITH {LOSSES}, {_kl('aligned_top')},
+board AS (SELECT alpha, temperature, ce, kl, alpha * ce + (1 - alpha) * kl AS loss
+  FROM kl_all, ce_all, (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE]) AS alpha))
+SELECT alpha, temperature, round(kl / ce, 6) AS kl_to_ce, round((1 - alpha) * kl / loss, 6) AS kl_share FROM board""",
+    "js_divergence": f"""WITH {VECTORS}, {ALIGNED},
+p AS (SELECT vec_id, example_pos, tok_pos, token_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS p FROM aligned),
+q AS (SELECT vec_id, token_id, exp(logit) / sum(exp(logit)) OVER (PARTITION BY vec_id) AS q FROM student)
+SELECT example_pos, tok_pos, round(sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2, 6) AS js
+FROM p JOIN q USING (vec_id, token_id) GROUP BY ALL""",
+    "regression_alarm": f"""WITH {RUNS},
+firsts AS (SELECT run, eval_wer AS first_wer FROM
+  (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS r FROM logged) WHERE r = 1),
+starts AS (SELECT run, avg(eval_wer) AS wer_start FROM runs GROUP BY run)
+SELECT run, round(wer_start, 6) AS wer_start, round(first_wer, 6) AS first_wer
+FROM starts JOIN firsts USING (run) WHERE first_wer > wer_start""",
     "last_metric": f"WITH {RUNS} SELECT run, round(last, 6) AS last FROM run_ids LEFT JOIN finals USING (run)",
     "best_step": f"""WITH {RUNS}
 SELECT run, best_step, round(best, 6) AS best FROM run_ids LEFT JOIN bests USING (run)""",

@@ -15,8 +15,9 @@ from pyspark.sql.types import DoubleType
 
 from voxframe.functions import arrays as A
 from voxframe.functions.audio import clip_duration, context_frames
+from voxframe.functions.text import repetition_score as repetition
 from voxframe.functions.text import run_label, tokens
-from voxframe.operators import inference, metrics, order, rows, runs, scores, sequences
+from voxframe.operators import combining, inference, metrics, order, pseudo, rows, runs, scores, sequences
 from voxframe.operators.grid import ALPHAS, TEMPERATURES, sweep_grid
 from voxframe.plans import views as V
 from voxframe.plans import training
@@ -592,6 +593,101 @@ def resampled_features(spark, sf):
     return _feature_rows(V.waves(spark, sf, 44_100))
 
 
+# --- several sources, generated labels
+
+
+def harmonise_union(spark, sf):
+    docs = V.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    turns = V.table(spark, sf, "conversations").select("conv_id", F.col("text").alias("content"), "role")
+    return combining.harmonise([(docs, {"doc_id": "clip_id"}), (turns, {"conv_id": "clip_id", "content": "text"})])
+
+
+def interleave(spark, sf):
+    docs = V.table(spark, sf, "documents").select("doc_id", "lang")
+    return combining.interleave(docs, {"fr": 7, "de": 3}, "doc_id", "lang")
+
+
+def merge_labelled(spark, sf):
+    docs = V.table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("clip_id"), "text")
+    turns = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("clip_id"), "text")
+    return combining.merge_labelled(docs, turns, "clip_id")
+
+
+def _used(spark, sf):
+    # every tenth document in another dress, and the benchmark
+    docs = V.table(spark, sf, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit(" "), "text", F.lit(" !?")).alias("text"))
+    return docs.unionByName(V.table(spark, sf, "benchmark").select("text"))
+
+
+def only_new_rows(spark, sf):
+    return combining.only_new_rows(V.table(spark, sf, "documents").select("doc_id", "text"), _used(spark, sf)).select("doc_id")
+
+
+def overlap_rows(spark, sf):
+    return combining.overlap_rows(V.table(spark, sf, "documents").select("doc_id", "text"), _used(spark, sf)).select("doc_id")
+
+
+def source_profile(spark, sf):
+    out = combining.source_profile(V.clips(spark, sf))
+    return out.withColumns({c: r6(c) for c in ("hours", "mean_seconds")})
+
+
+def wer_normalised(spark, sf):
+    """Every seventh word is wrong, every fifth of the others has marks that normalising takes away."""
+    words = F.transform("words", lambda w, i: F.when((i + 1) % 7 == 0, V.SUBSTITUTE)
+                        .when((i + 1) % 5 == 0, F.concat(w, F.lit("?!"))).otherwise(w))
+    pairs = V.table(spark, sf, "documents").select("lang", tokens(F.col("text")).alias("words")).select(
+        F.col("lang").alias("model"), F.array_join("words", " ").alias("ref"), F.array_join(words, " ").alias("hyp"))
+    out = metrics.wer_normalised(pairs)
+    return out.withColumns({c: r6(c) for c in ("wer_raw", "wer_normalised")})
+
+
+def repetition_score(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", r6(repetition(F.col("text"))).alias("score"))
+
+
+def _outputs(spark, sf):
+    marked = F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit(f" {pseudo.BLANK_AUDIO}"))).otherwise(F.col("text"))
+    slow = F.when(F.col("doc_id") % 7 == 0, 20.0).otherwise(1.0)
+    return V.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("clip_id"), marked.alias("text"), (F.col("n_chars") / 15.0 * slow).alias("duration"))
+
+
+def pseudo_filter(spark, sf):
+    return pseudo.pseudo_label_filter(_outputs(spark, sf)).select("clip_id")
+
+
+def pseudo_label(spark, sf):
+    """A third of the documents has no label; the model's output for it is its text with a mark at times."""
+    third = F.col("clip_id") % 3 == 0
+    clips = _outputs(spark, sf).select(
+        "clip_id", F.col("text").alias("heard"), F.when(~third, F.col("text")).alias("text"), "duration")
+    done = pseudo.pseudo_label(clips, lambda df: df.withColumn("text", F.col("heard")), scratch_dir(spark, "pseudo-labels"), "clip_id")
+    return done.select("clip_id", F.length("text").alias("chars"), "supervised")
+
+
+def topk_mass(spark, sf):
+    found = scores.top_k_mass(V.scores(spark, sf), TOP)
+    return found.select(*scores.POSITION, r6("kept").alias("kept"), r6("outside").alias("outside"))
+
+
+def loss_balance(spark, sf):
+    out = scores.loss_balance(scores.combined_loss(_terms(spark, sf, TOP), ALPHAS))
+    return out.select("alpha", "temperature", r6("kl_to_ce").alias("kl_to_ce"), r6("kl_share").alias("kl_share"))
+
+
+def js_divergence(spark, sf):
+    js = A.js_divergence(F.col("teacher"), F.col("student"))
+    return V.scores(spark, sf).select(*scores.POSITION, r6(js).alias("js"))
+
+
+def regression_alarm(spark, sf):
+    log = V.runs(spark, sf)
+    start = log.groupBy("run").agg(F.avg("eval_wer").alias("wer"))
+    out = runs.regression_alarm(log, start)
+    return out.withColumns({c: r6(c) for c in ("wer_start", "first_wer")})
+
+
 REGISTERED: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -607,5 +703,7 @@ REGISTERED: dict[str, Query] = {
         last_metric, best_step, final_vs_best, quality_filter, skip_sources, argmax_label, running_mean, throughput, rank_runs, grid,
         is_complete, retain_latest, latest_snapshot, state_or_name, label_of_run,
         context_size, map_rows, batch_predict, clip_seconds, clip_features, resampled_features,
+        harmonise_union, interleave, merge_labelled, only_new_rows, overlap_rows, source_profile, wer_normalised,
+        repetition_score, pseudo_filter, pseudo_label, topk_mass, loss_balance, js_divergence, regression_alarm,
     )
 }
