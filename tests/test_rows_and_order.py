@@ -19,15 +19,23 @@ def five(spark):
     return spark.createDataFrame([(i, " " if i == 1 else "t") for i in range(5)], "pos long, text string")
 
 
-def test_caps(five, monkeypatch):
+def test_caps(five):
     ok = rows.has_text(F.col("text"))
     got = lambda df: sorted(r.pos for r in df.collect())
     assert got(rows.cap_then_filter(five, 3, ok)) == [0, 2]
     assert got(rows.filter_then_cap(five, 3, ok)) == [0, 2, 3]
     assert got(rows.filter_then_cap(five, 0, ok)) == [0, 2, 3, 4]
-    monkeypatch.setattr(rows, "ONE_TASK_ROWS", 2)
-    assert got(rows.filter_then_cap(five, 3, ok)) == [0, 2, 3]
     assert rows.filter_then_cap(five, 3, ok).columns == five.columns
+    assert got(rows.filter_then_cap(five, 99, ok)) == [0, 2, 3, 4]
+    assert got(rows.filter_then_cap(five, 3, F.lit(False))) == []
+
+
+def test_cap_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(None, "d"), (0, "a"), (1, "b"), (1, "b"), (5, "c"), (-7, "e")], "pos long, text string")
+    got = lambda n: sorted(((r.pos, r.text) for r in rows.filter_then_cap(df, n, F.lit(True)).collect()), key=str)
+    assert got(2) == [(-7, "e"), (0, "a")]
+    assert got(3) == got(4) == [(-7, "e"), (0, "a"), (1, "b"), (1, "b")]
+    assert len(got(5)) == 5 and len(got(0)) == 6
 
 
 def test_valid_rows(spark):

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.audio import MAX_CLIP_SECONDS
 from voxframe.functions.text import has_text
-from voxframe.operators.order import with_position
-
-ONE_TASK_ROWS = 100_000
+from voxframe.operators.order import running_totals
 
 
 def is_valid(text: str = "text", audio: str = "audio") -> Column:
@@ -63,13 +61,16 @@ def cap_then_filter(df: DataFrame, n: int, keep: Column, pos: str = "pos") -> Da
 
 
 def filter_then_cap(df: DataFrame, n: int, keep: Column, pos: str = "pos") -> DataFrame:
-    """The filter, then the first n rows left; 0 means all.
+    """The filter, then the first n rows left in the order of `pos`, an integer; 0 means all.
 
-    A sorted limit ends in one task, so a large n is taken by position instead.
+    The n-th place is found on counts of the positions alone, in blocks; the rows are then
+    cut by a range and none is moved. Rows that share the n-th position are all kept, rows
+    without a position only if n is 0.
     """
     kept = df.where(keep)
     if not n:
         return kept
-    if n <= ONE_TASK_ROWS:
-        return kept.orderBy(pos).limit(n)
-    return with_position(kept, pos, "__place").where(F.col("__place") < n).drop("__place")
+    held = kept.where(F.col(pos).isNotNull()).groupBy(pos).agg(F.count(F.lit(1)).alias("__rows"))
+    upto = running_totals(held, pos, {"__upto": F.col("__rows")})
+    last = upto.where(F.col("__upto") - F.col("__rows") < n).agg(F.max(pos)).scalar()
+    return kept.where(F.col(pos) <= last)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,15 +33,10 @@ def build_session(app: str = "voxframe", master: str | None = None, **conf: str)
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below `spark.checkpoint.dir`.
 
-    A cluster has to name a shared folder. Only a local session without one
-    gets a temporary folder, since there driver and executors share the disk.
+    Without that setting it lies in the warehouse, which executors share too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="voxframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

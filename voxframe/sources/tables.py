@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from voxframe.session import small_side
-
 # Schemas of the clip tables
 AUDIO = "audio STRUCT<array: ARRAY<FLOAT>, sampling_rate: INT>"
 CLIP_SCHEMA = f"uuid STRING, {AUDIO}, orig_text STRING, text STRING, split STRING"
@@ -45,7 +43,7 @@ def read_in_file_order(spark: SparkSession, path: str, name: str = "pos") -> Dat
 
     The position is the row's index in its file plus the rows of the files
     before, so nothing is sorted and no row moves. Only the per-file counts
-    (one row each, and the number of files is known) meet in one task.
+    (one row each) meet in one task.
     """
     df = spark.read.parquet(path)
     located = df.select(
@@ -57,9 +55,8 @@ def read_in_file_order(spark: SparkSession, path: str, name: str = "pos") -> Dat
         .agg((F.max("__row") + 1).alias("n"))
         .select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     )
-    files = len(df.inputFiles())
     return (
-        located.join(small_side(starts, files), "__file")
+        located.join(starts, "__file")
         .withColumn(name, F.col("__start") + F.col("__row"))
         .drop("__file", "__row", "__start")
     )
