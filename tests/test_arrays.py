@@ -137,13 +137,16 @@ def test_row_form_equals_array_form(spark):
 
 def test_wide_top_k_equals_top_k(spark):
     rows = [(i, [float((i * 13 + j * j) % 17) for j in range(i * 5 % 40)]) for i in range(40)] + [(99, None)]
+    rows += [(100, [3.0, math.nan, 2.0, None, 2.0]), (101, [None, math.nan]), (102, [-math.inf, 1.0, math.inf])]
     df = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
     for k in (1, 4, 50):
         both = df.select("id", A.top_k(F.col("x"), k).alias("a"), A.top_k_wide(F.col("x"), k).alias("b"))
         assert all(r.a == r.b for r in both.collect())
-    wide = scores.top_k_per_position(df, 3, "x", vocab=50_000)
+    wide = scores.top_k_per_position(df, 3, "x")
     assert "ArrowEvalPython" in wide._jdf.queryExecution().executedPlan().toString()
-    assert wide.count() == 41
+    assert wide.count() == 44
+    kept = {r.id: [(e.token_id, e.logit) for e in r.top] for r in wide.where("id >= 100").collect()}
+    assert kept == {100: [(0, 3.0), (2, 2.0), (4, 2.0)], 101: [], 102: [(2, math.inf), (1, 1.0), (0, -math.inf)]}
 
 
 def test_packed_positions(spark):

@@ -59,15 +59,25 @@ def test_positions_for_any_block_size(spark, block):
     assert got == {i: n for n, i in enumerate(i for i in range(50) if i % 4 != 1)}
 
 
-def test_positions_of_sparse_ids(spark, monkeypatch):
+def test_positions_of_sparse_ids(spark):
     rng = random.Random(4)
     ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(200)} | {-(2**63), 2**63 - 1})
     df = spark.createDataFrame([(i,) for i in reversed(ids)], "id long").repartition(4)
-    monkeypatch.setattr(order, "MAX_BLOCKS", 8)
-    got = {r.id: r.pos for r in order.with_position(df, "id", dense=False).collect()}
+    got = {r.id: r.pos for r in order.with_position(df, "id", block=10).collect()}
     assert got == {i: n for n, i in enumerate(ids)}
-    assert df.select(order.block_of(df, "id", dense=False)).distinct().count() <= 9
-    assert order.with_position(df.where("id is null"), "id", dense=False).count() == 0
+    assert order.with_position(df.where("id is null"), "id").count() == 0
+
+
+@pytest.mark.parametrize("ids", [
+    list(range(3000)), [n * 10**12 - 10**15 for n in range(3000)], [2**60, *range(-1500, 1499)],
+    [*range(1000), *(10**9 + 7 * n for n in range(1000)), *(10**15 + n * n for n in range(1000))],
+], ids=["dense", "sparse", "outlier", "clusters"])
+def test_blocks_are_even_for_any_ids(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    sizes = [r["count"] for r in df.groupBy(order.block_of(df, "id", 100).alias("b")).count().collect()]
+    assert max(sizes) <= 300 and len(sizes) <= 62
+    got = {r.id: r.pos for r in order.with_position(df, "id", block=100).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(ids))}
 
 
 @pytest.mark.parametrize("block", [2, 5, 1000])

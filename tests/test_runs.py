@@ -37,6 +37,8 @@ def test_running_mean(spark):
     df = spark.createDataFrame([("a", s, float(s)) for s in range(1, 11)] + [("b", 1, 5.0)], "run string, step long, loss double")
     got = {(r.run, r.report_step): r["mean"] for r in runs.running_mean(df, 4).collect()}
     assert got == {("a", 4): 2.5, ("a", 8): 6.5}
+    gaps = df.where("run = 'a' AND step % 3 <> 0")  # 1 2 4 5 | 7 8 10
+    assert [(r.report_step, r["mean"]) for r in runs.running_mean(gaps, 4).collect()] == [(5, 3.0)]
 
 
 @pytest.mark.parametrize("block", [1, 2, 1 << 20])

@@ -1,7 +1,8 @@
 """voxframe: the table work around training and judging speech-to-text models, on Spark.
 
-Every operator takes DataFrames or Columns and returns DataFrames or Columns;
-nothing is computed until the caller runs an action.
+Every operator takes DataFrames or Columns and returns DataFrames or Columns.
+Results are computed when the caller runs an action; some plans need a figure first
+(quantiles of an ordering column, a copy that is read several times).
 """
 
 __version__ = "0.1.0"

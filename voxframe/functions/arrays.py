@@ -71,9 +71,10 @@ def align_vocab(a: Column, b: Column) -> tuple[Column, Column]:
 def top_k(x: Column, k: int) -> Column:
     """The k highest scores, descending, as array<struct<token_id, logit>>.
 
-    Equal scores are ordered by the lower token id. The k-th highest score is
-    found on the plain numbers, which Spark sorts without boxing them; only
-    entries that reach it are then ordered together with their ids.
+    Equal scores are ordered by the lower token id; NULL and NaN are no scores and are
+    never kept. The k-th highest score is found on the plain numbers, which Spark sorts
+    without boxing them; only entries that reach it are then ordered together with
+    their ids.
     """
 
     def reaching(a: Column) -> Callable[[Column], Column]:
@@ -81,14 +82,18 @@ def top_k(x: Column, k: int) -> Column:
             F.transform(
                 a,
                 lambda v, i: F.when(
-                    v >= cut, F.struct((-v).alias("down"), i.alias("token_id"))
+                    (v >= cut) & ~F.isnan(v), F.struct((-v).alias("down"), i.alias("token_id"))
                 ),
             )
         )
 
     def best(a: Column) -> Column:
-        place = -F.least(F.lit(k), F.greatest(F.size(a), F.lit(1)))
-        return let(F.try_element_at(F.sort_array(a), place), reaching(a))
+        def kth(clean: Column) -> Column:
+            place = -F.least(F.lit(k), F.greatest(F.size(clean), F.lit(1)))
+            return F.try_element_at(F.sort_array(clean), place)
+
+        clean = F.filter(a, lambda v: v.isNotNull() & ~F.isnan(v))
+        return let(let(clean, kth), reaching(a))
 
     return F.transform(
         F.slice(F.array_sort(let(doubles(x), best)), 1, k),
@@ -96,25 +101,24 @@ def top_k(x: Column, k: int) -> Column:
     )
 
 
-# From this width on an Arrow batch costs less than Spark's array functions,
-# which handle one boxed entry at a time (measured at 51,865 scores: 10 ms
-# against 39 ms a position).
-WIDE = 4_096
-
-
 def top_k_wide(x: Column, k: int) -> Column:
-    """`top_k` for arrays of a whole vocabulary, in Arrow batches."""
+    """`top_k` in Arrow batches, for arrays of a whole vocabulary.
+
+    Spark's array functions handle one boxed entry at a time (measured at 51,865
+    scores: 39 ms a position against 10 ms here).
+    """
 
     @F.arrow_udf(_TOP_TYPE)
     def select(scores: pa.Array) -> pa.Array:
         offsets, values = scores.offsets.to_numpy(), scores.values.to_numpy(zero_copy_only=False)
         ids, ends = [], [0]
         for lo, hi in zip(offsets[:-1], offsets[1:]):
-            row, kept = values[lo:hi], min(k, hi - lo)
-            if kept < len(row):
-                reach = np.flatnonzero(row >= np.partition(row, len(row) - kept)[len(row) - kept])
-            else:
-                reach = np.arange(len(row))
+            row = values[lo:hi]
+            reach = np.flatnonzero(~np.isnan(row))
+            kept = min(k, len(reach))
+            if kept < len(reach):
+                cut = np.partition(row[reach], len(reach) - kept)[len(reach) - kept]
+                reach = reach[row[reach] >= cut]
             ids.append(reach[np.lexsort((reach, -row[reach]))][:kept])
             ends.append(ends[-1] + int(kept))
         places = np.concatenate(ids) if ids else np.empty(0, dtype=np.int64)

@@ -14,11 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.functions.arrays import let
 from voxframe.functions.text import seeded_key
 from voxframe.session import whole_div
 
 BLOCK = 1 << 20
-MAX_BLOCKS = 1 << 20
+# Edges between blocks, looked up in two steps of SPAN
+SPAN = 32
+EDGES = SPAN * SPAN
 _BLOCK, _HEAD = "__block", "__head"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -62,18 +65,39 @@ def blocked_totals(
     )
 
 
-def block_of(df: DataFrame, order: str, block: int = BLOCK, dense: bool = True) -> Column:
-    """Block number of a row along a unique integer column.
+def block_of(df: DataFrame, order: str, block: int = BLOCK) -> Column:
+    """Block number of a row along an integer column, of about `block` rows for any ids.
 
-    Ids without large gaps give blocks of up to `block` rows. For sparse ids
-    (`dense=False`) the blocks are widened so that there are about MAX_BLOCKS at
-    most over the whole range, which takes one more scan of the column.
+    Cells of `block` consecutive values hold at most so many rows of a partition. One scan
+    of the column finds its quantiles in cells; between two of them neighbouring cells are
+    merged until they count for about `block` rows. Dense ids so keep their cells, and
+    sparse or clustered ids get no more blocks than rows div `block` and EDGES together.
+    NULL stays NULL.
     """
-    if dense:
-        return whole_div(F.col(order), block)
-    low, high = (whole_div(f(order), MAX_BLOCKS) for f in (F.min, F.max))
-    width = df.select(high - low + 2).scalar()
-    return whole_div(F.col(order), F.greatest(F.lit(block).cast("long"), width))
+    cell = whole_div(F.col(order), block)
+    shares = [i / EDGES for i in range(EDGES + 1)]
+    n, found = df.select(cell.alias("c")).agg(F.count("c"), F.percentile_approx("c", shares, 10 * EDGES)).first()
+    if not n:
+        return cell
+    parts = min(EDGES, -(-n // block))
+    inside = -(-n // (parts * block))
+    edges = sorted({found[i * EDGES // parts] for i in range(parts)})
+    ends = [*edges[1:], found[-1] + 1]
+    widths = [max(1, -(-(b - a) // inside)) for a, b in zip(edges, ends)]
+
+    def reached(values: Column, v: Column) -> Column:
+        return F.greatest(F.size(F.filter(values, lambda e: e <= v)), F.lit(1))
+
+    spans = [edges[i:i + SPAN] for i in range(0, len(edges), SPAN)]
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    span = reached(longs([s[0] for s in spans]), cell)
+    place = (span - 1) * SPAN + reached(F.element_at(F.array(*[longs(s) for s in spans]), span), cell)
+
+    def number(at: Column) -> Column:
+        within = whole_div(cell - F.element_at(longs(edges), at), F.element_at(longs(widths), at))
+        return at * F.lit(inside + 1).cast("long") + F.greatest(F.lit(0), F.least(within, F.lit(inside)))
+
+    return F.when(cell.isNotNull(), let(place, number))
 
 
 def running_totals(
@@ -82,29 +106,28 @@ def running_totals(
     totals: dict[str, Column],
     partition: Sequence[str] = (),
     block: int = BLOCK,
-    dense: bool = True,
 ) -> DataFrame:
     """Running sums along `order`, an integer column unique within `partition`."""
-    return blocked_totals(df, block_of(df, order, block, dense), [order], totals, partition)
+    return blocked_totals(df, block_of(df, order, block), [order], totals, partition)
 
 
 def number_within(
-    df: DataFrame, partition: Sequence[str], order: str, name: str, block: int = BLOCK, dense: bool = True
+    df: DataFrame, partition: Sequence[str], order: str, name: str, block: int = BLOCK
 ) -> DataFrame:
     """Row number from 1 within each group."""
     one = F.lit(1).cast("long")
-    return running_totals(df, order, {name: one}, partition, block, dense)
+    return running_totals(df, order, {name: one}, partition, block)
 
 
 def with_position(
-    df: DataFrame, order: str, name: str = "pos", block: int = BLOCK, dense: bool = True
+    df: DataFrame, order: str, name: str = "pos", block: int = BLOCK
 ) -> DataFrame:
     """Stream position from 0 over all rows, the invalid ones included.
 
     Only the ordering column is numbered; the rows themselves (texts, samples)
     join their position by it and so stay spread over all tasks.
     """
-    numbered = number_within(df.select(order), [], order, name, block, dense)
+    numbered = number_within(df.select(order), [], order, name, block)
     numbered = numbered.withColumn(name, F.col(name) - 1)
     return numbered if df.columns == [order] else df.join(numbered, order, "left")
 
@@ -137,15 +160,16 @@ def shuffle_filtered(
 
 
 def shuffle_full(
-    df: DataFrame, seed: int | Column, key: str, partition: Sequence[str] = (), name: str = "shuffle_pos"
+    df: DataFrame, seed: int | Column, key: str, partition: Sequence[str] = (), name: str = "shuffle_pos",
+    digits: int = 4,
 ) -> DataFrame:
     """Seeded permutation of all rows of each `partition`.
 
-    The first four digits of the key's hash cut the rows into 65,536 even
-    blocks, so neither the order nor the numbering passes through one task.
+    The first `digits` of the key's hash cut the rows into 16^digits even blocks (65,536),
+    so neither the order nor the numbering passes through one task.
     """
     keyed = df.withColumn("__key", seeded_key(seed, F.col(key)))
-    block = F.conv(F.substring("__key", 1, 4), 16, 10).cast("long")
+    block = F.conv(F.substring("__key", 1, digits), 16, 10).cast("long")
     counted = blocked_totals(
         keyed, block, ["__key", key], {name: F.lit(1).cast("long")}, partition
     )
@@ -177,6 +201,8 @@ def step_plan(
     `max_steps` and later are not used; 0 means no end.
     """
     per_epoch = df.select(whole_div(F.max(pos) + batch, batch)).scalar()
+    if max_steps > 0:  # what the first epoch does not use, no later one does
+        df = df.where(F.col(pos) < max_steps * accum * batch)
     plan = df.withColumn(
         "epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     ).withColumn("micro_batch", F.col("epoch") * per_epoch + whole_div(F.col(pos), batch))

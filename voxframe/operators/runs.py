@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import step_number
-from voxframe.operators.order import BLOCK, running_totals
+from voxframe.operators.order import BLOCK, number_within, running_totals
 from voxframe.session import small_side, whole_div
 
 # The files a finished model folder holds
@@ -76,18 +76,18 @@ def final_vs_best(df: DataFrame, metric: str = "eval_wer", run: str = "run", ste
 
 
 def running_mean(df: DataFrame, n: int, value: str = "loss", run: str = "run", step: str = "step") -> DataFrame:
-    """Mean of the last n values, reported at every n-th step.
+    """Mean of the last n values, reported at every n-th row of a run.
 
-    `step` counts the rows of a run from 1. A report then covers exactly the n
-    rows since the one before, so a grouped mean replaces a sliding window and
-    is combined before the shuffle.
+    Rows count in the order of `step`, which may have gaps and is unique in a run. A
+    report covers exactly the n rows since the one before, so a grouped mean replaces
+    a sliding window and is combined before the shuffle.
     """
-    report = (whole_div(F.col(step) + (n - 1), n) * n).alias("report_step")
+    rows = number_within(df.select(run, step, value), [run], step, "__row")
     return (
-        df.groupBy(run, report)
-        .agg(F.avg(value).alias("mean"), F.max(step).alias("__last"))
-        .where(F.col("__last") == F.col("report_step"))
-        .drop("__last")
+        rows.groupBy(run, whole_div(F.col("__row") + (n - 1), n).alias("__report"))
+        .agg(F.max(step).alias("report_step"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") == n)
+        .drop("__report", "__n")
     )
 
 

@@ -13,15 +13,9 @@ from voxframe.operators.grid import sweep_grid
 POSITION = ["example_pos", "tok_pos"]
 
 
-def top_k_per_position(
-    df: DataFrame, k: int, scores: str = "teacher", vocab: int | None = None
-) -> DataFrame:
-    """Replace the score array of each position by its k best entries.
-
-    `vocab` is the width of the arrays, where it is known to be large.
-    """
-    pick = A.top_k_wide if vocab is not None and vocab >= A.WIDE else A.top_k
-    return df.withColumn("top", pick(F.col(scores), k)).drop(scores)
+def top_k_per_position(df: DataFrame, k: int, scores: str = "teacher") -> DataFrame:
+    """Replace the score array of each position by its k best entries, in one way for every width."""
+    return df.withColumn("top", A.top_k_wide(F.col(scores), k)).drop(scores)
 
 
 def top_k_long(df: DataFrame, k: int, score: str = "logit") -> DataFrame:

@@ -47,13 +47,16 @@ def encode_text(
 
     Words past the cut cannot reach the result, so they are left out before
     the join; every text then holds at most `max_len` of them. `wrap` sets the
-    start and end ids around the words, inside the same limit.
+    start and end ids around the words, inside the same limit. `keys` tell the texts
+    apart: each text is moved once, whole, and its words meet again without a shuffle
+    of their own while the vocabulary is small enough to be sent to all tasks.
     """
     words = tokens(F.col(text))
     if wrap:  # NULL marks an edge, and the place tells which one
         edge = F.array(F.lit(None).cast("string"))
         words = F.concat(edge, words, edge)
-    spread = df.select(*keys, F.posexplode_outer(F.slice(words, 1, max_len)).alias("__i", "__word"))
+    whole = df.select(*keys, F.slice(words, 1, max_len).alias("__words")).repartition(*keys)
+    spread = whole.select(*keys, F.posexplode_outer("__words").alias("__i", "__word"))
     ids = small_side(
         vocab.select(F.col("token").alias("__word"), F.col("token_id").alias("__id")), vocab_size
     )
@@ -78,7 +81,8 @@ def decode_ids(
 ) -> DataFrame:
     """(keys, decoded): words joined by spaces, ignored and special ids left out."""
     ids = F.transform(F.col(labels), lambda v: F.when(v == IGNORE, PAD).otherwise(v))
-    spread = df.select(*keys, F.posexplode_outer(ids).alias("__i", "__id"))
+    whole = df.select(*keys, ids.alias("__ids")).repartition(*keys)
+    spread = whole.select(*keys, F.posexplode_outer("__ids").alias("__i", "__id"))
     words = small_side(
         vocab.select(F.col("token_id").alias("__id"), F.col("token").alias("__word")), vocab_size
     )

@@ -169,8 +169,8 @@ def build_vocab(spark, sf):
 
 
 def _encoded(spark, sf, wrap=False, cut=sequences.MAX_LABELS):
-    clips = V.clips(spark, sf, wide=True).select("clip_id", "text")
-    vocab = sequences.build_vocab(clips, VOCAB)
+    clips = V.clips(spark, sf).select("clip_id", "text")
+    vocab = sequences.build_vocab(V.clips(spark, sf, wide=True), VOCAB)
     return vocab, sequences.encode_text(clips, vocab, ["clip_id"], "text", cut, VOCAB, wrap)
 
 
@@ -186,8 +186,8 @@ def decode_ids(spark, sf):
 
 
 def _batched(spark, sf):
-    clips = V.clips(spark, sf, wide=True).select("clip_id", "text")
-    vocab = sequences.build_vocab(clips, VOCAB)
+    clips = V.clips(spark, sf).select("clip_id", "text")
+    vocab = sequences.build_vocab(V.clips(spark, sf, wide=True), VOCAB)
     encoded = sequences.encode_text(clips, vocab, ["clip_id"], vocab_size=VOCAB, wrap=True)
     placed = order.assign_batches(order.with_position(clips.select("clip_id"), "clip_id"), 16)
     batches = encoded.join(placed, "clip_id")
@@ -239,7 +239,7 @@ def topk_per_position(spark, sf):
 
 
 def topk_wide(spark, sf):
-    top = scores.top_k_per_position(V.teacher_positions(spark, sf), TOP, vocab=A.WIDE)
+    top = scores.top_k_per_position(V.teacher_positions(spark, sf), TOP)
     return scores.explode_top(top).withColumn("logit", r6("logit"))
 
 

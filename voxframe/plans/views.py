@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.text import has_text, wer_text
 from voxframe.operators.order import number_within
-from voxframe.session import spread, whole_div
+from voxframe.session import whole_div
 
 STUDENT_VOCAB = 63
 SUBSTITUTE = "<unk>"  # a word no text of the tables contains
@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clips(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """Clips from documents; some texts are blank and some have no audio.
 
-    `wide` spreads them over all cores, for work on every word.
+    `wide` spreads them over all tasks, for work on every word.
     """
     docs = table(spark, sf_dir, "documents")
-    return (spread(docs, "doc_id") if wide else docs).select(
+    return (docs.repartition("doc_id") if wide else docs).select(
         F.col("doc_id").alias("clip_id"),
         F.col("doc_id").alias("pos"),
         F.when(F.col("doc_id") % 17 == 0, "  ").otherwise(F.col("text")).alias("text"),
@@ -43,7 +43,7 @@ def clips(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
 def waves(spark: SparkSession, sf_dir: str, rate: int = 16_000) -> DataFrame:
     """One sample per character of the whole text."""
     sample = lambda c: ((F.ascii(c) % 64 - 32) / F.lit(32.0)).cast("float")
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").repartition("doc_id").select(
         F.col("doc_id").alias("clip_id"),
         F.struct(
             F.transform(F.split("text", ""), sample).alias("array"),

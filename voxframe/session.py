@@ -62,14 +62,3 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     Above the limit the side is left as it is and the join shuffles.
     """
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores, if the table comes in fewer parts than there are cores.
-
-    For work that costs far more than moving a row, on a table read from few
-    files. A table of many files is left as it is: no shuffle. Takes a plan
-    without shuffles, whose number of parts is known without running it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)

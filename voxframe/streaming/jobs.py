@@ -7,6 +7,7 @@ a batch that is replayed after a failure leaves one copy.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -48,7 +49,6 @@ def score_stream(
     checkpoint: str,
     settings: dict,
     stop_at: int | None = None,
-    vocab: int | None = None,
 ) -> StreamingQuery:
     """Per micro-batch: score, keep the k best, write them, the log and the progress.
 
@@ -58,11 +58,14 @@ def score_stream(
 
     A batch that reaches past `stop_at` is scored up to it and not committed: the
     query ends there, and the next run does that batch again as a whole, so no row is
-    lost. `await_scoring` waits for either end.
+    lost. `await_scoring` waits for either end. The log's times are those of this run.
     """
+    begun = time.monotonic()
+    rows_of_run = 0
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        nonlocal rows_of_run
+        spark, batch_begun = batch.sparkSession, time.monotonic()
         due = resume_from(batch, 0, stop_at, "example_pos")
         past = False
         if stop_at is not None:
@@ -71,7 +74,7 @@ def score_stream(
             if past and low >= stop_at:
                 raise RuntimeError(LIMIT_REACHED)
         target = f"{path}/scores/batch_id={batch_id}"
-        scored = stored_form(top_k_per_position(score(valid_rows(due)), k, vocab=vocab))
+        scored = stored_form(top_k_per_position(score(valid_rows(due)), k))
         scored.write.mode("overwrite").parquet(target)
         # two numbers: rows in the folder just written, and how far the batch reaches
         done = spark.read.parquet(target).select(F.count_distinct("example_pos")).first()[0]
@@ -87,11 +90,17 @@ def score_stream(
             "split": settings.get("split"),
         }
         progress = spark.createDataFrame([row], PROGRESS_SCHEMA)
+        now = time.monotonic()
+        rows_of_run += done
+        elapsed = (now - begun) / 60
         line = progress.select(
             "examples_processed",
             F.col("next_idx").alias("example_idx"),
             F.lit(done).alias("examples"),
             (F.unix_micros(F.current_timestamp()) / 1e6).alias("seconds"),
+            F.lit((now - batch_begun) / done if done else None).cast("double").alias("s_per_example"),
+            F.lit(elapsed).alias("elapsed_min"),
+            F.lit(rows_of_run / elapsed if elapsed > 0 else None).cast("double").alias("throughput_ex_per_min"),
         )
         line.coalesce(1).write.mode("overwrite").json(f"{path}/log/batch_id={batch_id}")
         write_progress(progress, f"{path}/progress", batch_id)
