@@ -188,10 +188,28 @@ def _key(seed: int | str, key: str = "clip_id") -> str:
 _WEIGHTS = "[" + ", ".join(str((i % 7 - 3) / 4.0) for i in range(64)) + "]"
 
 
+_SAMPLES = "list_transform(string_split(text, ''), lambda c: (unicode(c) % 64 - 32) / 32.0::DOUBLE)"
+_WAVES = f"waves AS (SELECT doc_id AS clip_id, {_SAMPLES} AS x FROM documents)"
+# From 44.1 to 16 kHz: output o stands at sample o * 441 / 160, 178 taps of a Hann-windowed sinc around it
+_RESAMPLED = f"""raw AS (
+  SELECT doc_id AS clip_id, list_concat(list_resize([]::DOUBLE[], 88, 0.0::DOUBLE), x, list_resize([]::DOUBLE[], 356, 0.0::DOUBLE)) AS x,
+    (len(x) * 160 + 440) // 441 AS n
+  FROM (SELECT doc_id, {_SAMPLES} AS x FROM documents)),
+gaps AS (SELECT p, i, p / 160.0::DOUBLE - i AS g FROM (SELECT unnest(range(160)) AS p), (SELECT unnest(range(-88, 90)) AS i)),
+taps AS (
+  SELECT p, list(CASE WHEN abs(g) > 89 THEN 0 ELSE 160 / 441.0::DOUBLE * (0.5 + 0.5 * cos(pi() * g / 89))
+      * CASE WHEN g = 0 THEN 1 ELSE sin(pi() * g * 160 / 441.0::DOUBLE) / (pi() * g * 160 / 441.0::DOUBLE) END END ORDER BY i) AS w
+  FROM gaps GROUP BY p),
+blocks AS (
+  SELECT clip_id, n, b, list_slice(x, b * 441 + 1, b * 441 + 619) AS x
+  FROM (SELECT clip_id, n, x, unnest(range((n + 159) // 160)) AS b FROM raw)),
+around AS (
+  SELECT clip_id, b * 160 + j AS o, (j * 441) % 160 AS p, list_slice(x, j * 441 // 160 + 1, j * 441 // 160 + 178) AS s
+  FROM (SELECT *, unnest(range(160)) AS j FROM blocks) WHERE b * 160 + j < n),
+waves AS (SELECT clip_id, list(list_dot_product(s, w) ORDER BY o) AS x FROM around JOIN taps USING (p) GROUP BY clip_id)"""
+
 # Log-mel features by a plain Fourier sum per frame.
-_FEATURES = """WITH waves AS (
-  SELECT doc_id AS clip_id, list_transform(string_split(text, ''), lambda c: (unicode(c) % 64 - 32) / 32.0::DOUBLE) AS x
-  FROM documents),
+_FEATURES = """,
 mels AS (
   SELECT m, CASE WHEN mel < 15 THEN mel * 200.0 / 3.0 ELSE 1000.0 * exp((mel - 15) * ln(6.4) / 27.0) END AS hz
   FROM (SELECT m, m * (15 + 27.0 * ln(8.0) / ln(6.4)) / 81.0 AS mel FROM (SELECT unnest(range(82)) AS m))),
@@ -536,5 +554,6 @@ FROM split JOIN clips USING (clip_id) WHERE has_text""",
   SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest({_WEIGHTS}::DOUBLE[]) AS w FROM embeddings)
 SELECT vec_id, round(sum(v * w), 6) + 0.0::DOUBLE AS score FROM cells GROUP BY vec_id""",
     "clip_seconds": "SELECT doc_id AS clip_id, round(length(text) / 16000.0::DOUBLE, 7) AS duration FROM documents",
-    "clip_features": _FEATURES,
+    "clip_features": f"WITH {_WAVES}{_FEATURES}",
+    "resampled_features": f"WITH {_RESAMPLED}{_FEATURES}",
 }
