@@ -243,12 +243,37 @@ SELECT l.clip_id, round(any_value(n) / 16000.0::DOUBLE, 7) AS duration, CAST(any
 FROM logs l JOIN peaks USING (clip_id) JOIN tracks USING (clip_id) GROUP BY l.clip_id"""
 
 
+_FULL_SHUFFLE = f"""WITH {CLIPS}
+SELECT clip_id, row_number() OVER (ORDER BY {_key(42)}, clip_id) - 1 AS shuffle_pos FROM clips"""
+
+_RANK_RUNS = f"""WITH {RUNS},
+ranked AS (
+  SELECT run, alpha, temperature, last AS wer,
+    row_number() OVER (ORDER BY last ASC NULLS LAST, alpha, temperature) AS rank
+  FROM run_ids LEFT JOIN finals USING (run))
+SELECT run, alpha, temperature, round(wer, 6) AS wer, CAST(rank AS INTEGER) AS rank,
+  rank = 1 AND wer IS NOT NULL AS is_best FROM ranked"""
+
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "scan_split": "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'fr'",
     "stream_valid_clips": f"WITH {CLIPS} SELECT clip_id, text, lang FROM clips WHERE has_text AND has_audio",
     "topk_roundtrip": f"""WITH {VECTORS}, {RANKED}
 SELECT example_pos, tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit FROM top""",
+    "optional_split": "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'de'",
+    "stream_scores": f"""WITH {VECTORS}, {RANKED}
+SELECT vec_id AS example_pos, 0 AS tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit
+FROM top WHERE vec_id % 17 <> 0""",
+    "stream_progress": f"""SELECT {TOP} AS top_k, max(vec_id) + 1 AS next_idx,
+  count(*) FILTER (WHERE vec_id % 17 <> 0) AS examples_processed, true AS complete FROM embeddings""",
+    "score_source": f"""WITH {VECTORS}, {RANKED}
+SELECT example_pos, tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit,
+  unnest(['live', 'stored']) AS source FROM top""",
+    "run_log": f"""WITH {RUNS}
+SELECT event_id AS step, CAST(run AS DOUBLE) AS epoch, round(loss, 6) AS loss, round(eval_wer, 6) AS eval_wer FROM runs""",
+    "snapshot_listing": f"""WITH {FILES}
+SELECT 'run=' || run AS run, 'file_name=' || file_name AS dir, true AS has_bytes FROM files GROUP BY run, file_name""",
     "log_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events",
     "artifact_size": f"WITH {FILES} SELECT run, dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY run, dir",
     # rows
@@ -267,8 +292,8 @@ SELECT clip_id, lang FROM (SELECT * FROM clips ORDER BY pos LIMIT 500) WHERE has
     "seeded_shuffle": f"""WITH {CLIPS},
 placed AS (SELECT clip_id, row_number() OVER (ORDER BY clip_id) - 1 AS pos FROM clips)
 SELECT clip_id, pos, row_number() OVER (ORDER BY pos // 256, {_key(42)}, clip_id) - 1 AS shuffle_pos FROM placed""",
-    "full_shuffle": f"""WITH {CLIPS}
-SELECT clip_id, row_number() OVER (ORDER BY {_key(42)}, clip_id) - 1 AS shuffle_pos FROM clips""",
+    "full_shuffle": _FULL_SHUFFLE,
+    "stream_shuffle": _FULL_SHUFFLE,
     "repeat_epochs": f"""WITH {CLIPS}, epochs AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS epoch)
 SELECT clip_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY {_key('CAST(42 + epoch AS VARCHAR)')}, clip_id) - 1
   AS epoch_pos FROM clips, epochs""",
@@ -500,13 +525,8 @@ ends AS (SELECT *, row_number() OVER (PARTITION BY run, batch ORDER BY step DESC
 SELECT run, batch, step AS next_pos, rows_done, round(elapsed / nullif(rows_done, 0), 6) AS s_per_row,
   round(CASE WHEN elapsed = 0 THEN 0 ELSE rows_done * 60.0::DOUBLE / elapsed END, 6) AS rows_per_min
 FROM ends WHERE r = 1""",
-    "rank_runs": f"""WITH {RUNS},
-ranked AS (
-  SELECT run, alpha, temperature, last AS wer,
-    row_number() OVER (ORDER BY last ASC NULLS LAST, alpha, temperature) AS rank
-  FROM run_ids LEFT JOIN finals USING (run))
-SELECT run, alpha, temperature, round(wer, 6) AS wer, CAST(rank AS INTEGER) AS rank,
-  rank = 1 AND wer IS NOT NULL AS is_best FROM ranked""",
+    "rank_runs": _RANK_RUNS,
+    "results_table": _RANK_RUNS,
     "grid": """WITH cells AS (
   SELECT alpha, temperature, CAST(i * 2 + j AS INTEGER) AS run
   FROM (VALUES (0.5::DOUBLE, 0), (0.7::DOUBLE, 1), (0.9::DOUBLE, 2)) a(alpha, i),

@@ -22,7 +22,7 @@ from voxframe.operators.grid import ALPHAS, TEMPERATURES, sweep_grid
 from voxframe.plans import views as V
 from voxframe.plans import training
 from voxframe.session import scratch_dir, whole_div
-from voxframe.sources import logs, tables
+from voxframe.sources import logs, snapshots, tables
 from voxframe.sources import scores as stored
 from voxframe.streaming import jobs
 
@@ -70,6 +70,87 @@ def topk_roundtrip(spark, sf):
     return long.withColumn("logit", r6(F.col("logit").cast("double")))
 
 
+def optional_split(spark, sf):
+    return tables.read_optional_split(spark, f"{sf}/documents.parquet", "de", "lang").select("doc_id", "lang", "n_chars")
+
+
+def _scored_stream(spark, sf):
+    """Every vector is an example of one token; the first run stops in the middle, the second one does the rest."""
+    out = scratch_dir(spark, "scored")
+    vectors = V.table(spark, sf, "embeddings")
+    examples = tables.read_stream_source(spark, sf, vectors.schema, glob="embeddings*.parquet").select(
+        F.col("vec_id").alias("example_pos"), "label", "embedding",
+        F.when(F.col("vec_id") % 17 == 0, " ").otherwise("a").alias("text"), F.struct(F.lit(1).alias("array")).alias("audio"),
+    )
+
+    def score(valid: DataFrame) -> DataFrame:
+        teacher = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 10)
+        return valid.select("example_pos", F.lit(0).alias("tok_pos"), F.col("label").alias("label_id"), teacher.alias("teacher"))
+
+    half = vectors.select(whole_div(F.count(F.lit(1)), 2)).first()[0]
+    for stop_at in (half, None):
+        jobs.await_scoring(jobs.score_stream(examples, score, TOP, out, f"{out}/checkpoint", {}, stop_at=stop_at))
+    return out
+
+
+def stream_scores(spark, sf):
+    back = stored.read_teacher_scores(spark, f"{_scored_stream(spark, sf)}/scores")
+    return scores.explode_top(back).withColumn("logit", r6(F.col("logit").cast("double")))
+
+
+def stream_progress(spark, sf):
+    out = _scored_stream(spark, sf)
+    jobs.mark_complete(spark, out)
+    last = logs.read_progress(spark, f"{out}/progress")
+    last.pop("batch_id")
+    row = spark.createDataFrame([last], logs.PROGRESS_SCHEMA)
+    return row.select("top_k", "next_idx", "examples_processed", "complete")
+
+
+def stream_shuffle(spark, sf):
+    out = scratch_dir(spark, "shuffled")
+    docs = tables.read_stream_source(spark, sf, V.table(spark, sf, "documents").schema, glob="documents*.parquet")
+    clips = docs.select(F.col("doc_id").alias("clip_id"))
+    jobs.shuffle_stream(clips, 42, "clip_id", f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("clip_id", "shuffle_pos")
+
+
+def score_source(spark, sf):
+    """Without a table the scores are live; written, they are found at the default path."""
+    out = scratch_dir(spark, "teacher-scores")
+    live = lambda: scores.top_k_per_position(V.teacher_positions(spark, sf), TOP)
+    found = [stored.choose_score_source(spark, None, out, live)]
+    stored.write_teacher_scores(found[0][1], out)
+    found.append(stored.choose_score_source(spark, None, out, live))
+    first, second = (scores.explode_top(df).withColumn("source", F.lit(name)) for name, df in found)
+    return first.unionByName(second).withColumn("logit", r6(F.col("logit").cast("double")))
+
+
+def run_log(spark, sf):
+    out = scratch_dir(spark, "log")
+    log = V.runs(spark, sf)
+    metrics_of = F.create_map(F.lit("loss"), F.col("loss"), F.lit("eval_wer"), F.col("eval_wer"))
+    events = log.select(F.col("event_id").alias("step"), F.col("run").alias("epoch"), metrics_of.alias("metrics"))
+    for odd in (0, 1):
+        logs.append_log(events.where(F.col("step") % 2 == odd), out)
+    value = lambda name: r6(F.try_element_at("metrics", F.lit(name))).alias(name)
+    return logs.read_run_log(spark, out).select("step", "epoch", value("loss"), value("eval_wer"))
+
+
+def results_table(spark, sf):
+    out, ranked = scratch_dir(spark, "results"), rank_runs(spark, sf)
+    logs.write_results(ranked, out)
+    return spark.read.schema(ranked.schema).json(out)
+
+
+def snapshot_listing(spark, sf):
+    out = scratch_dir(spark, "snapshots")
+    files = V.files(spark, sf).select("run", "file_name", F.col("size").cast("string").alias("value"))
+    files.repartition("run", "file_name").write.partitionBy("run", "file_name").text(out)
+    found = snapshots.list_snapshots(spark, out)
+    return found.groupBy("run", "dir").agg((F.sum("size") > 0).alias("has_bytes"))
+
+
 def log_parse(spark, sf):
     parsed = logs.parse_log_line(F.col("props"))
     return V.table(spark, sf, "events").select("event_id", parsed["k"].alias("k"))
@@ -692,6 +773,8 @@ REGISTERED: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_split, stream_valid_clips, topk_roundtrip, log_parse, artifact_size,
+        optional_split, stream_scores, stream_progress, stream_shuffle, score_source, run_log, results_table,
+        snapshot_listing,
         valid_rows, valid_text, duration_filter, project_prepared, cap_then_filter, filter_then_cap,
         with_position, file_position, position_in_source, seeded_shuffle, full_shuffle, repeat_epochs,
         assign_batches, step_plan, steps_per_epoch, resume_window,
