@@ -149,6 +149,31 @@ def test_wide_top_k_equals_top_k(spark):
     assert kept == {100: [(0, 3.0), (2, 2.0), (4, 2.0)], 101: [], 102: [(2, math.inf), (1, 1.0), (0, -math.inf)]}
 
 
+@pytest.mark.parametrize("k", [None, 100])
+def test_position_losses_at_vocabulary_width(spark, k):
+    score = lambda seed: F.transform(F.sequence(F.lit(1), F.lit(51_866)), lambda i: F.sin(i * F.col("id") * seed) * 8)
+    df = spark.range(1, 5).select(score(0.37).alias("t"), F.slice(score(0.91), 1, 51_865).alias("s"), F.col("id").cast("int").alias("y"))
+    t, s = A.align_vocab(F.col("t"), F.col("s"))
+    kl = lambda temp: A.kl_full(t, s, temp) if k is None else A.kl_top_k(A.top_k(t, k), s, temp)
+    both = df.select(A.position_losses(F.col("s"), F.col("y"), [1.0, 2.0], F.col("t"), k).alias("l"),
+                     A.cross_entropy(s, F.col("y")).alias("ce"), kl(1.0).alias("a"), kl(2.0).alias("b"))
+    for r in both.collect():
+        assert (r.l.ce, *r.l.kl) == pytest.approx((r.ce, r.a, r.b), rel=1e-9)
+
+
+def test_position_losses_of_missing_scores(spark):
+    rows = [([1.0, None], [1.0, 2.0]), ([1.0, 2.0], [1.0, math.nan]), (None, [1.0, 2.0]), ([1.0], None), ([math.nan], [0.0])]
+    df = spark.createDataFrame(rows, "t array<double>, s array<double>").withColumn("y", F.lit(0)).coalesce(1)
+    full, best = (
+        [r.l for r in df.select(A.position_losses(F.col("s"), F.col("y"), [1.0], F.col("t"), k).alias("l")).collect()]
+        for k in (None, 1)
+    )
+    assert math.isnan(full[0].kl[0]) and best[0].kl == [pytest.approx(1.313262, abs=1e-6)]
+    assert math.isnan(full[1].ce) and math.isnan(best[1].kl[0])
+    assert full[2].kl is best[2].kl is None and full[2].ce == pytest.approx(1.313262, abs=1e-6)
+    assert tuple(full[3]) == (None, None) and best[4].kl is None and best[4].ce == 0.0
+
+
 def test_packed_positions(spark):
     df = spark.createDataFrame([(1, 1, "b"), (0, 0, "c"), (1, 0, "a")], "example_pos long, tok_pos int, v string")
     got = {r.example_pos: [(p.tok_pos, p.v) for p in r.positions] for r in scores.pack_positions(df).collect()}

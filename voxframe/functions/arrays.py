@@ -7,7 +7,7 @@ otherwise be evaluated again for every element.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,14 +113,8 @@ def top_k_wide(x: Column, k: int) -> Column:
         offsets, values = scores.offsets.to_numpy(), scores.values.to_numpy(zero_copy_only=False)
         ids, ends = [], [0]
         for lo, hi in zip(offsets[:-1], offsets[1:]):
-            row = values[lo:hi]
-            reach = np.flatnonzero(~np.isnan(row))
-            kept = min(k, len(reach))
-            if kept < len(reach):
-                cut = np.partition(row[reach], len(reach) - kept)[len(reach) - kept]
-                reach = reach[row[reach] >= cut]
-            ids.append(reach[np.lexsort((reach, -row[reach]))][:kept])
-            ends.append(ends[-1] + int(kept))
+            ids.append(_best(values[lo:hi], k))
+            ends.append(ends[-1] + len(ids[-1]))
         places = np.concatenate(ids) if ids else np.empty(0, dtype=np.int64)
         rows = np.repeat(offsets[:-1], np.diff(ends))
         entries = pa.StructArray.from_arrays(
@@ -193,6 +187,88 @@ def kl_top_k(top: Column, student: Column, temperature: float | Column = 1.0) ->
     return let(top, lambda kept: let(doubles(student), lambda s: with_norms(kept, s))) * t * t
 
 
+def _rows(lists: pa.Array) -> list[np.ndarray | None]:
+    """The lists as views of one array of doubles; a NULL entry is NaN, a NULL list None."""
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
+
+
+def _best(row: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest values, descending, the lower place first on ties; NaN is none."""
+    reach = np.flatnonzero(~np.isnan(row))
+    kept = min(k, len(reach))
+    if kept < len(reach):
+        cut = np.partition(row[reach], len(reach) - kept)[len(reach) - kept]
+        reach = reach[row[reach] >= cut]
+    return reach[np.lexsort((reach, -row[reach]))][:kept]
+
+
+def _log_norm(x: np.ndarray) -> float:
+    top = x.max()
+    return top + np.log(np.exp(x - top).sum())
+
+
+_LOSS_TYPE = StructType([StructField("ce", DoubleType()), StructField("kl", ArrayType(DoubleType()))])
+
+
+def position_losses(
+    student: Column, label: Column, temperatures: Sequence[float], teacher: Column | None = None,
+    k: int | None = None, top: Column | None = None,
+) -> Column:
+    """struct<ce, kl array<double>>: both losses of a position, the KL at each temperature, in Arrow batches.
+
+    The teacher comes as full scores, cut to its `k` best if given, or as stored `top`
+    entries. One pass in double precision over the vocabulary for every width; the results
+    are those of `cross_entropy`, `kl_full` and `kl_top_k`. A NaN or NULL score makes a loss
+    NaN that needs it; a missing array makes it NULL.
+    """
+
+    def losses(ids: np.ndarray | None, logits: np.ndarray | None, scores: np.ndarray | None, target: int) -> dict:
+        if scores is None:
+            return {"ce": None, "kl": None}
+        if not 0 <= target < len(scores):
+            raise ValueError(f"label {target} outside of {len(scores)} scores")
+        ce, kl = _log_norm(scores) - scores[target], None
+        if logits is not None and len(logits):
+            held, kl = scores if ids is None else scores[ids], []
+            for t in temperatures:
+                log_p = logits / t - _log_norm(logits / t)
+                log_q = held / t - _log_norm(scores / t)
+                terms = np.where(log_p <= -746.0, 0.0, np.exp(log_p) * (log_p - log_q))
+                kl.append(float(terms.sum() * t * t))
+        return {"ce": float(ce), "kl": kl}
+
+    if top is None:
+        inputs = [*align_vocab(doubles(teacher), doubles(student)), label.cast("int")]
+
+        @F.arrow_udf(_LOSS_TYPE)
+        def measure(teachers: pa.Array, students: pa.Array, labels: pa.Array) -> pa.Array:
+            out = []
+            with np.errstate(all="ignore"):
+                for t, s, target in zip(_rows(teachers), _rows(students), labels.to_pylist()):
+                    ids = None if k is None or t is None else _best(t, k)
+                    out.append(losses(ids, t if ids is None else t[ids], s, target))
+            return pa.array(out, _ARROW_LOSS)
+    else:
+        inputs = [F.transform(top, lambda e: e["token_id"].cast("double")), F.transform(top, lambda e: e["logit"].cast("double")),
+                  doubles(student), label.cast("int")]
+
+        @F.arrow_udf(_LOSS_TYPE)
+        def measure(ids: pa.Array, logits: pa.Array, students: pa.Array, labels: pa.Array) -> pa.Array:
+            out = []
+            with np.errstate(all="ignore"):
+                for i, t, s, target in zip(_rows(ids), _rows(logits), _rows(students), labels.to_pylist()):
+                    if i is not None and s is not None:  # ids that the student does not have are left out
+                        i, t = i[i < len(s)].astype(np.int64), t[i < len(s)]
+                    out.append(losses(i, t, s, target))
+            return pa.array(out, _ARROW_LOSS)
+
+    return measure(*inputs)
+
+
+_ARROW_LOSS = pa.struct([("ce", pa.float64()), ("kl", pa.list_(pa.float64()))])
+
+
 def js_divergence(teacher: Column, student: Column, temperature: float | Column = 1.0) -> Column:
     """Mean KL of both sides to their mean over the shared vocabulary: symmetric, at most ln 2."""
     a, b = align_vocab(doubles(teacher), doubles(student))

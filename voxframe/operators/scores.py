@@ -85,24 +85,11 @@ def loss_terms(
     """One row per temperature: mean cross-entropy and mean KL over scored positions.
 
     `k` picks the top-K form, None the full vocabulary. All temperatures are
-    computed in one pass without copying the score arrays, and only partial
-    sums are shuffled.
+    computed in one pass over the scores of a position, and only partial sums
+    are shuffled.
     """
-    scored = A.is_scored(F.col(label))
-    rows = vocab_aligned(df).where(scored)
-    teacher, student = F.col("teacher"), F.col("student")
-    if k is None:
-        kls = [A.kl_full(teacher, student, t) for t in temperatures]
-    else:
-        # the kept ids do not depend on the temperature
-        kls = [
-            A.let(
-                A.top_k(teacher, k),
-                lambda top: F.array(*[A.kl_top_k(top, student, t) for t in temperatures]),
-            )
-        ]
-    kl = kls[0] if k is not None else F.array(*kls)
-    return _means(rows.select(A.cross_entropy(student, F.col(label)).alias("ce"), kl.alias("kl")), temperatures)
+    losses = A.position_losses(F.col("student"), F.col(label), temperatures, F.col("teacher"), k)
+    return _means(df.where(A.is_scored(F.col(label))).select(losses.alias("l")).select("l.*"), temperatures)
 
 
 def stored_loss_terms(
@@ -116,11 +103,8 @@ def stored_loss_terms(
 
     Stored ids outside the student's vocabulary are left out.
     """
-    scores = F.col(student)
-    shared = F.filter(F.col(top), lambda e: e["token_id"] < F.size(scores))
-    kl = A.let(shared, lambda kept: F.array(*[A.kl_top_k(kept, scores, t) for t in temperatures]))
-    rows = df.where(A.is_scored(F.col(label)))
-    return _means(rows.select(A.cross_entropy(scores, F.col(label)).alias("ce"), kl.alias("kl")), temperatures)
+    losses = A.position_losses(F.col(student), F.col(label), temperatures, top=F.col(top))
+    return _means(df.where(A.is_scored(F.col(label))).select(losses.alias("l")).select("l.*"), temperatures)
 
 
 def _means(per_position: DataFrame, temperatures: Sequence[float]) -> DataFrame:
