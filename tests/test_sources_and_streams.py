@@ -70,6 +70,11 @@ def test_scores_by_position(spark, tmp_path):
     stored.write_teacher_scores(top, str(tmp_path), per_folder=2)
     back = stored.read_teacher_scores(spark, str(tmp_path), per_folder=2)
     assert content(back) == content(stored.stored_form(top))
+    wide = tmp_path.with_name(tmp_path.name + "-wide")
+    stored.write_teacher_scores(top.repartition(9), str(wide), per_folder=4, per_file=2)
+    assert len(list(wide.glob("pos_block=*"))) == 2
+    for folder in wide.glob("pos_block=*"):
+        assert len(list(folder.glob("*.parquet"))) <= 2
     aligned = scores.align_scores(rows.valid_rows(clips(spark, 6)), back)
     assert sorted({r.example_pos for r in aligned.collect()}) == [0, 2, 3, 4, 5]
     some = stored.read_teacher_scores(spark, str(tmp_path), 3, 5, per_folder=2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.text import step_number
 from voxframe.operators.order import BLOCK, number_within, running_totals
-from voxframe.session import small_side, whole_div
+from voxframe.session import whole_div
 
 # The files a finished model folder holds
 REQUIRED_FILES = ["config.json", "model.safetensors", "tokenizer.json"]
@@ -117,13 +117,12 @@ def artifact_size(df: DataFrame, keys: Sequence[str] = (), size: str = "size") -
 
 
 def retain_latest(df: DataFrame, n: int, run: str = "run", name: str = "dir",
-                  prefix: str = "checkpoint", runs_at_most: int | None = None) -> DataFrame:
+                  prefix: str = "checkpoint") -> DataFrame:
     """Snapshots with a `keep` flag for the n newest of each run; nothing is deleted.
 
     The n-th newest step of a run decides. It comes from a row number limited
     to n, which Spark applies in every task before the shuffle, and one row per
-    run goes back to the listing. `runs_at_most` allows that row to be
-    broadcast when the number of runs is known to be small.
+    run goes back to the listing.
     """
     snaps = (
         df.select(run, name, step_number(F.col(name), prefix).alias("step"))
@@ -137,8 +136,6 @@ def retain_latest(df: DataFrame, n: int, run: str = "run", name: str = "dir",
         .groupBy(run)
         .agg(F.min("step").alias("__from"))
     )
-    if runs_at_most is not None:
-        cutoff = small_side(cutoff, runs_at_most)
     return snaps.join(cutoff, run).select(
         run, name, "step", (F.col("step") >= F.col("__from")).alias("keep")
     )

@@ -589,7 +589,7 @@ def is_complete(spark, sf):
 
 
 def retain_latest(spark, sf):
-    return runs.retain_latest(V.files(spark, sf), 3, runs_at_most=6)
+    return runs.retain_latest(V.files(spark, sf), 3)
 
 
 def latest_snapshot(spark, sf):

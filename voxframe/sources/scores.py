@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from voxframe.session import whole_div
 
 POSITIONS_PER_FOLDER = 1 << 20
+POSITIONS_PER_FILE = 1 << 10
 FOLDER = "pos_block"
 
 
@@ -31,15 +32,18 @@ def stored_form(df: DataFrame) -> DataFrame:
 
 
 def write_teacher_scores(
-    df: DataFrame, path: str, mode: str = "overwrite", per_folder: int = POSITIONS_PER_FOLDER
+    df: DataFrame, path: str, mode: str = "overwrite", per_folder: int = POSITIONS_PER_FOLDER,
+    per_file: int = POSITIONS_PER_FILE,
 ) -> None:
     """Write the top entries, one folder per block of positions.
 
-    No repartitioning: rows go out from the tasks that made them. A later
-    read of a position range opens only its folders.
+    Slices of `per_file` positions are moved to one task each, so a folder has at most
+    per_folder div per_file files however many tasks made the rows, and a large folder is
+    still written by many. A later read of a position range opens only its folders.
     """
-    folder = whole_div(F.col("example_pos"), per_folder)
-    stored_form(df).withColumn(FOLDER, folder).write.mode(mode).partitionBy(FOLDER).parquet(path)
+    rows = stored_form(df).withColumn(FOLDER, whole_div(F.col("example_pos"), per_folder))
+    rows = rows.repartition(FOLDER, whole_div(F.col("example_pos"), per_file))
+    rows.write.mode(mode).partitionBy(FOLDER).parquet(path)
 
 
 def read_teacher_scores(
