@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm import resemblance
 from voxframe.llm.common import components, cut, identity, map_texts
 
 BITS = 64
@@ -130,8 +131,13 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, parts: int = 3) -> D
     return known.join(merged, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
+def _similarity(words: int, similarity: float | None) -> float | None:
+    return resemblance.SIMILARITY if similarity is None and words != WORDS else similarity
+
+
 def near_duplicates(
-    docs: DataFrame, radius: int = RADIUS, words: int = WORDS, parts: int = 3, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, radius: int = RADIUS, words: int = WORDS, parts: int = 3, doc_id: str = "doc_id", text: str = "text",
+    similarity: float | None = None,
 ) -> DataFrame:
     """(doc_id, k1, k2, fp, root, component_id, kept), one row for each document.
 
@@ -141,7 +147,17 @@ def near_duplicates(
     without words have fingerprint zero and are linked like any other. Equal
     fingerprints are one node of the graph, so a group of copies of any size is
     one aggregate. The texts are read once and not returned.
+
+    The contract of `radius` bits is that of four-word shingles. Other widths, or a given
+    `similarity` (0.8 by default there), link texts by the exact Jaccard similarity of their
+    shingles instead; `radius` and `parts` have no part in it and `fp` is only shown.
     """
+    similarity = _similarity(words, similarity)
+    if similarity is not None:
+        k1, k2 = identity(doc_id, text)
+        prints = with_fingerprint(docs.select(k1, k2, F.col(text).alias("text")), ["k1", "k2"], words=words).distinct()
+        found = resemblance.near_texts(docs, words, similarity, doc_id=doc_id, text=text)
+        return found.join(prints, ["k1", "k2"]).select("doc_id", "k1", "k2", "fp", "root", "component_id", "kept")
     rows = docs.select(F.col(doc_id).alias("doc_id"), *identity(doc_id, text), F.col(text).alias("text"))
     rows = cut(with_fingerprint(rows, ["doc_id", "k1", "k2"], words=words))
     roots = cut(link_fingerprints(rows, radius, parts))
@@ -155,12 +171,14 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similarity: float | None = None) -> DataFrame:
     """The given columns of one document of each class: that with the smallest doc_id.
 
     Of rows that repeat in doc_id and text one stays, whichever. One shuffle of the texts.
     """
-    kept = near_duplicates(docs, radius, words).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    similarity = _similarity(words, similarity)
+    found = near_duplicates(docs, radius, words) if similarity is None else resemblance.near_texts(docs, words, similarity)
+    kept = found.where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     k1, k2 = identity("doc_id", "text")
     keyed = docs.withColumns({"__k1": k1, "__k2": k2})
     return keyed.join(kept.distinct(), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
