@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import decontamination, language_model, mixing, passages, quality, secrets, sharding, simhash, toxicity, vectors
+from voxframe.llm import (
+    decontamination, divergence, language_model, mixing, negatives, passages, quality, secrets, sharding, simhash, toxicity,
+    vectors,
+)
 from voxframe.llm.common import table
 
 
@@ -63,6 +66,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of all documents, and their typical terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the positives of every anchor among all embeddings."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secrets": op2_secrets,
@@ -74,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language_model": op9_language_model,
     "op10_toxicity": op10_toxicity,
+    "op12_divergence": op12_divergence,
+    "op13_negatives": op13_negatives,
 }
 
 MIXING_SQL = r"""
@@ -126,4 +141,58 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) m USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op4_embeddings": EMBEDDINGS_SQL, "op5_mixing": MIXING_SQL}
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT lang, source, rid, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+vocab AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM vocab GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+cells AS (
+  SELECT lang, g.source, term, coalesce(c.n, 0) AS n, v.total
+  FROM groups g JOIN vocab v USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (SELECT lang, source, sum(n) AS here FROM cells GROUP BY lang, source),
+shares AS (
+  SELECT lang, source, term, c.n,
+    1 + (1000000000 * (c.n::HUGEINT + 2)) // (here + 2 * v) AS p, 1 + (1000000000 * (total::HUGEINT + 2)) // (l.n + 2 * v) AS q
+  FROM cells c JOIN sums USING (lang, source) JOIN langs l USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+NEGATIVES_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE same)
+  WHERE place <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND n.score * 100 BETWEEN 50 * p.score AND 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_embeddings": EMBEDDINGS_SQL,
+    "op5_mixing": MIXING_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
+    "op13_negatives": NEGATIVES_SQL,
+}
