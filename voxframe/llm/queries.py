@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm import (
     decontamination, divergence, language_model, mixing, negatives, passages, quality, secrets, sharding, simhash, toxicity,
-    vectors,
+    vectors, warc,
 )
 from voxframe.llm.common import table
 
@@ -66,6 +66,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back."""
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of the sources of all documents, and their typical terms."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language_model": op9_language_model,
     "op10_toxicity": op10_toxicity,
+    "op11_warc": op11_warc,
     "op12_divergence": op12_divergence,
     "op13_negatives": op13_negatives,
 }
@@ -141,6 +147,14 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) m USING (vec_id)
 """
 
+WARC_SQL = """
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN strlen(body) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(body) >= 100 AND page_id > first THEN first END AS refers_to
+FROM (SELECT page_id, body, min(page_id) OVER (PARTITION BY body) AS first
+      FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))
+"""
+
 DIVERGENCE_SQL = r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
@@ -193,6 +207,7 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 ORACLES: dict[str, str] = {
     "op4_embeddings": EMBEDDINGS_SQL,
     "op5_mixing": MIXING_SQL,
+    "op11_warc": WARC_SQL,
     "op12_divergence": DIVERGENCE_SQL,
     "op13_negatives": NEGATIVES_SQL,
 }
