@@ -14,8 +14,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: Jaccard 0.8 or more of five-word shingles, verified exactly."""
-    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
+    """One document of each class of near-duplicates: fingerprints of four-word shingles at most four bits apart."""
+    return simhash.drop_near_duplicates(docs, radius=4, words=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
