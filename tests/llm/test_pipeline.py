@@ -23,7 +23,7 @@ def test_stages_one_by_one(spark, tmp_path):
             bad = {r.doc_id for r in toxicity.digest(at, labels).collect() if r.toxic}
             want = collections.Counter(r.doc_id for r in before if r.doc_id not in bad)
         elif name == "simhash":
-            want = collections.Counter({r.component_id: 1 for r in simhash.near_duplicates(at, words=5).collect()})
+            want = collections.Counter({r.component_id: 1 for r in simhash.near_duplicates(at).collect()})
         elif name == "decontamination":
             bad = {r.doc_id for r in decontamination.digest(at, bench).collect()}
             want = collections.Counter(r.doc_id for r in before if r.doc_id not in bad)
