@@ -205,22 +205,83 @@ def test_scoring_resumes(spark, tmp_path):
     assert logs.read_progress(spark, f"{out}/progress")["complete"] is True
 
 
-def test_scoring_stops_at(spark, tmp_path):
-    source, out, cp = (f"{tmp_path}/{d}" for d in ("in", "out", "cp"))
+def counted(calls):
+    """The model, and the positions it was called with."""
+
+    def model(valid):
+        calls.extend(r.example_pos for r in valid.select("example_pos").collect())
+        return score(valid)
+
+    return model
+
+
+def test_table_is_scored_in_parts(spark, tmp_path):
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
     clips(spark, 8).coalesce(1).write.parquet(source)
-    run = lambda **kw: jobs.await_scoring(jobs.score_stream(stream(spark, source), score, 3, out, cp, {}, **kw))
+    calls = []
+    run = lambda **kw: jobs.score_table(spark.read.parquet(source), counted(calls), 3, out, {}, **kw)
     assert not run(stop_at=5)
     got = stored.read_teacher_scores(spark, f"{out}/scores")
-    assert sorted({r.example_pos for r in got.collect()}) == [0, 2, 3, 4]
+    assert sorted({r.example_pos for r in got.collect()}) == [0, 2, 3, 4] == sorted(calls)
     assert logs.read_progress(spark, f"{out}/progress")["next_idx"] == 5
+    assert not run(stop_at=5) and len(calls) == 4  # nothing to do up to there
     clips(spark, 4, first=8).coalesce(1).write.mode("append").parquet(source)
-    assert not run(stop_at=8)  # at the edge of a file: that file ends here, the next one is not begun
-    assert run()  # stop and resume give what one run gives, in the one stored schema
+    assert not run(stop_at=8, part=2)
+    assert run(part=3)  # stop and resume give what one run gives, in the one stored schema
+    assert run()
+    assert len(calls) == len(set(calls))  # no position went to the model twice
     whole = scores.top_k_per_position(score(rows.valid_rows(clips(spark, 12))), 3)
     back = stored.read_teacher_scores(spark, f"{out}/scores")
     assert content(back) == content(stored.stored_form(whole))
     assert sorted({r.example_pos for r in stored.read_teacher_scores(spark, f"{out}/scores", 3, 9).collect()}) == list(range(3, 9))
-    assert logs.read_progress(spark, f"{out}/progress")["next_idx"] == 12
+    last = logs.read_progress(spark, f"{out}/progress")
+    assert (last["next_idx"], last["examples_processed"]) == (12, 11)
+
+
+def test_table_run_is_killed(spark, tmp_path):
+    """A run that dies between scores and progress, or inside the model, leaves nothing to be scored twice."""
+    source, out, calls = clips(spark, 10), f"{tmp_path}/out", []
+    model = counted(calls)
+
+    def dies_after(n):
+        def step(valid):
+            if len(calls) >= n:
+                raise RuntimeError("killed")
+            return model(valid)
+        return step
+
+    with pytest.raises(RuntimeError, match="killed"):
+        jobs.score_table(source, dies_after(6), 3, out, {}, part=4)
+    # the second part's scores are stored, but its progress is lost
+    spark.createDataFrame([], logs.PROGRESS_SCHEMA).write.mode("overwrite").json(f"{out}/progress/batch_id=1")
+    assert jobs.score_table(source, model, 3, out, {}, part=4)
+    assert len(calls) == len(set(calls)) == 9
+    want = stored.stored_form(scores.top_k_per_position(score(rows.valid_rows(source)), 3))
+    assert content(stored.read_teacher_scores(spark, f"{out}/scores")) == content(want)
+    last = logs.read_progress(spark, f"{out}/progress")
+    assert (last["next_idx"], last["examples_processed"]) == (10, 9)
+
+
+def test_table_with_gaps_and_without_rows(spark, tmp_path):
+    far = clips(spark, 3).withColumn("example_pos", F.when(F.col("example_pos") == 2, 5_000_000_000).otherwise(F.col("example_pos")))
+    none = far.limit(1).withColumn("example_pos", F.lit(None).cast("long"))
+    assert jobs.score_table(far.unionByName(none), score, 3, f"{tmp_path}/a", {}, part=10)
+    got = stored.read_teacher_scores(spark, f"{tmp_path}/a/scores")
+    assert {r.example_pos for r in got.collect()} == {0, 5_000_000_000}
+    assert logs.read_progress(spark, f"{tmp_path}/a/progress")["batch_id"] == 1
+    assert jobs.score_table(far.limit(0), score, 3, f"{tmp_path}/b", {})
+    assert logs.read_progress(spark, f"{tmp_path}/b/progress") is None
+
+
+def test_stream_without_its_checkpoint(spark, tmp_path):
+    """A replay of everything scores nothing again."""
+    source, out, calls = f"{tmp_path}/in", f"{tmp_path}/out", []
+    clips(spark, 9).repartition(3).write.parquet(source)
+    for turn in range(2):
+        jobs.score_stream(stream(spark, source), counted(calls), 3, out, f"{tmp_path}/cp{turn}", {}).awaitTermination()
+    assert len(calls) == len(set(calls)) == 8
+    want = stored.stored_form(scores.top_k_per_position(score(rows.valid_rows(clips(spark, 9))), 3))
+    assert content(stored.read_teacher_scores(spark, f"{out}/scores")) == content(want)
 
 
 def test_log_lines_with_text_and_broken_ones(spark, tmp_path):

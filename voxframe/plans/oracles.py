@@ -255,6 +255,10 @@ SELECT run, alpha, temperature, round(wer, 6) AS wer, CAST(rank AS INTEGER) AS r
   rank = 1 AND wer IS NOT NULL AS is_best FROM ranked"""
 
 
+_SCORED = f"""WITH {VECTORS}, {RANKED}
+SELECT vec_id AS example_pos, 0 AS tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit
+FROM top WHERE vec_id % 17 <> 0"""
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "scan_split": "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'fr'",
@@ -262,9 +266,8 @@ ORACLES: dict[str, str] = {
     "topk_roundtrip": f"""WITH {VECTORS}, {RANKED}
 SELECT example_pos, tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit FROM top""",
     "optional_split": "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'de'",
-    "stream_scores": f"""WITH {VECTORS}, {RANKED}
-SELECT vec_id AS example_pos, 0 AS tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit
-FROM top WHERE vec_id % 17 <> 0""",
+    "stream_scores": _SCORED,
+    "scores_in_parts": _SCORED,
     "stream_progress": f"""SELECT {TOP} AS top_k, max(vec_id) + 1 AS next_idx,
   count(*) FILTER (WHERE vec_id % 17 <> 0) AS examples_processed, true AS complete FROM embeddings""",
     "score_source": f"""WITH {VECTORS}, {RANKED}

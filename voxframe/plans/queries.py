@@ -74,22 +74,25 @@ def optional_split(spark, sf):
     return tables.read_optional_split(spark, f"{sf}/documents.parquet", "de", "lang").select("doc_id", "lang", "n_chars")
 
 
-def _scored_stream(spark, sf):
-    """Every vector is an example of one token; the first run stops in the middle, the second one does the rest."""
-    out = scratch_dir(spark, "scored")
-    vectors = V.table(spark, sf, "embeddings")
-    examples = tables.read_stream_source(spark, sf, vectors.schema, glob="embeddings*.parquet").select(
+def _examples(vectors):
+    return vectors.select(
         F.col("vec_id").alias("example_pos"), "label", "embedding",
         F.when(F.col("vec_id") % 17 == 0, " ").otherwise("a").alias("text"), F.struct(F.lit(1).alias("array")).alias("audio"),
     )
 
-    def score(valid: DataFrame) -> DataFrame:
-        teacher = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 10)
-        return valid.select("example_pos", F.lit(0).alias("tok_pos"), F.col("label").alias("label_id"), teacher.alias("teacher"))
 
-    half = vectors.select(whole_div(F.count(F.lit(1)), 2)).first()[0]
-    for stop_at in (half, None):
-        jobs.await_scoring(jobs.score_stream(examples, score, TOP, out, f"{out}/checkpoint", {}, stop_at=stop_at))
+def _score(valid: DataFrame) -> DataFrame:
+    teacher = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 10)
+    return valid.select("example_pos", F.lit(0).alias("tok_pos"), F.col("label").alias("label_id"), teacher.alias("teacher"))
+
+
+def _scored_stream(spark, sf):
+    """Every vector is an example of one token; the second run has lost its checkpoint and finds everything stored."""
+    out = scratch_dir(spark, "scored")
+    vectors = V.table(spark, sf, "embeddings")
+    examples = _examples(tables.read_stream_source(spark, sf, vectors.schema, glob="embeddings*.parquet"))
+    for turn in (1, 2):
+        jobs.score_stream(examples, _score, TOP, out, f"{out}/checkpoint-{turn}", {}).awaitTermination()
     return out
 
 
@@ -98,6 +101,16 @@ def stream_scores(spark, sf):
     return scores.explode_top(back).withColumn("logit", r6(F.col("logit").cast("double")))
 
 
+def scores_in_parts(spark, sf):
+    """The first run ends in the middle of a part, the second one goes on there."""
+    out, vectors = scratch_dir(spark, "scored"), V.table(spark, sf, "embeddings")
+    n = vectors.select(F.max("vec_id") + 1).first()[0]
+    for stop_at in (n // 2, None):
+        jobs.score_table(_examples(vectors), _score, TOP, out, {}, stop_at, max(1, n // 3))
+    back = stored.read_teacher_scores(spark, f"{out}/scores")
+    return scores.explode_top(back).withColumn("logit", r6(F.col("logit").cast("double")))
+
+
 def stream_progress(spark, sf):
     out = _scored_stream(spark, sf)
     jobs.mark_complete(spark, out)
@@ -773,7 +786,7 @@ REGISTERED: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_split, stream_valid_clips, topk_roundtrip, log_parse, artifact_size,
-        optional_split, stream_scores, stream_progress, stream_shuffle, score_source, run_log, results_table,
+        optional_split, stream_scores, scores_in_parts, stream_progress, stream_shuffle, score_source, run_log, results_table,
         snapshot_listing,
         valid_rows, valid_text, duration_filter, project_prepared, cap_then_filter, filter_then_cap,
         with_position, file_position, position_in_source, seeded_shuffle, full_shuffle, repeat_epochs,

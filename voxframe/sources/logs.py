@@ -71,7 +71,8 @@ def read_progress(spark: SparkSession, path: str, before: int | None = None) ->
     if before is not None:
         try:
             rows = spark.read.schema(PROGRESS_SCHEMA).json(f"{path}/batch_id={before - 1}")
-            return rows.withColumn("batch_id", F.lit(before - 1)).first().asDict()
+            if row := rows.withColumn("batch_id", F.lit(before - 1)).first():
+                return row.asDict()
         except AnalysisException as error:
             if not absent(error):
                 raise

@@ -88,6 +88,17 @@ def absent(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at the path, with or without rows; only its schema is read."""
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException as error:
+        if not absent(error):
+            raise
+        return False
+
+
 def has_scores(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.parquet(path).isEmpty()

@@ -1,8 +1,8 @@
 """Preparation, scoring and shuffling of unbounded clip tables.
 
-Nothing here keeps streaming state: a stream knows only its offsets. Output of
-a micro-batch goes to a folder named after the batch id and overwrites it, so
-a batch that is replayed after a failure leaves one copy.
+Output of a micro-batch goes to a folder named after the batch id, so a batch that is
+replayed after a failure leaves one copy: scores add only positions that are not stored yet,
+other output overwrites the folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,10 +18,7 @@ from voxframe.operators.order import resume_from, shuffle_full
 from voxframe.operators.rows import valid_rows
 from voxframe.operators.scores import top_k_per_position
 from voxframe.sources.logs import PROGRESS_SCHEMA, read_progress, write_progress
-from voxframe.sources.scores import stored_form
-
-
-LIMIT_REACHED = "scoring limit reached; the batch stays open for the next run"
+from voxframe.sources.scores import POSITIONS_PER_FOLDER, has_files, read_teacher_scores, stored_form, unscored
 
 
 def prepare(clips: DataFrame, keep: list[str]) -> DataFrame:
@@ -41,58 +37,35 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def score_stream(
-    stream: DataFrame,
-    score: Callable[[DataFrame], DataFrame],
-    k: int,
-    path: str,
-    checkpoint: str,
-    settings: dict,
-    stop_at: int | None = None,
-) -> StreamingQuery:
-    """Per micro-batch: score, keep the k best, write them, the log and the progress.
-
-    `score` turns valid rows into (example_pos, tok_pos, label_id, teacher). The
-    totals of log and progress go on from those of the batch before, so they do
-    not restart with the job, and a replayed batch arrives at the same numbers.
+class _Scoring:
+    """What a batch of either scoring job does: score what is not stored yet, keep the k best, write log and progress."""
 
-    A batch that reaches past `stop_at` is scored up to it and not committed: the
-    query ends there, and the next run does that batch again as a whole, so no row is
-    lost. `await_scoring` waits for either end. The log's times are those of this run.
-    """
-    begun = time.monotonic()
-    rows_of_run = 0
+    def __init__(self, score: Callable[[DataFrame], DataFrame], k: int, path: str, settings: dict):
+        self.score, self.k, self.path, self.settings = score, k, path, settings
+        self.begun, self.rows_of_run = time.monotonic(), 0
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        nonlocal rows_of_run
-        spark, batch_begun = batch.sparkSession, time.monotonic()
-        due = resume_from(batch, 0, stop_at, "example_pos")
-        past = False
-        if stop_at is not None:
-            low, high = batch.agg(F.min("example_pos"), F.max("example_pos")).first()
-            past = high is not None and high >= stop_at
-            if past and low >= stop_at:
-                raise RuntimeError(LIMIT_REACHED)
-        target = f"{path}/scores/batch_id={batch_id}"
-        scored = stored_form(top_k_per_position(score(valid_rows(due)), k))
-        scored.write.mode("overwrite").parquet(target)
-        # two numbers: rows in the folder just written, and how far the batch reaches
+    def run(self, due: DataFrame, number: int, before: dict | None) -> dict:
+        spark, batch_begun, before = due.sparkSession, time.monotonic(), before or {}
+        folder, target = f"{self.path}/scores", f"{self.path}/scores/batch_id={number}"
+        low, high = due.agg(F.min("example_pos"), F.max("example_pos")).first()
+        todo = valid_rows(due)
+        if high is not None and has_files(spark, folder):
+            todo = unscored(todo, read_teacher_scores(spark, folder, low, high + 1))
+        stored_form(top_k_per_position(self.score(todo), self.k)).write.mode("append").parquet(target)
         done = spark.read.parquet(target).select(F.count_distinct("example_pos")).first()[0]
-        reached = due.select(F.max("example_pos")).first()[0]
-        before = read_progress(spark, f"{path}/progress", batch_id) or {}
         row = {
-            "teacher_model": settings.get("teacher_model"),
-            "top_k": k,
-            "batch_size": settings.get("batch_size"),
-            "next_idx": max(before.get("next_idx") or 0, 0 if reached is None else reached + 1),
+            "teacher_model": self.settings.get("teacher_model"),
+            "top_k": self.k,
+            "batch_size": self.settings.get("batch_size"),
+            "next_idx": max(before.get("next_idx") or 0, 0 if high is None else high + 1),
             "examples_processed": (before.get("examples_processed") or 0) + done,
             "complete": False,
-            "split": settings.get("split"),
+            "split": self.settings.get("split"),
         }
         progress = spark.createDataFrame([row], PROGRESS_SCHEMA)
         now = time.monotonic()
-        rows_of_run += done
-        elapsed = (now - begun) / 60
+        self.rows_of_run += done
+        elapsed = (now - self.begun) / 60
         line = progress.select(
             "examples_processed",
             F.col("next_idx").alias("example_idx"),
@@ -100,12 +73,30 @@ def score_stream(
             (F.unix_micros(F.current_timestamp()) / 1e6).alias("seconds"),
             F.lit((now - batch_begun) / done if done else None).cast("double").alias("s_per_example"),
             F.lit(elapsed).alias("elapsed_min"),
-            F.lit(rows_of_run / elapsed if elapsed > 0 else None).cast("double").alias("throughput_ex_per_min"),
+            F.lit(self.rows_of_run / elapsed if elapsed > 0 else None).cast("double").alias("throughput_ex_per_min"),
         )
-        line.coalesce(1).write.mode("overwrite").json(f"{path}/log/batch_id={batch_id}")
-        write_progress(progress, f"{path}/progress", batch_id)
-        if past:
-            raise RuntimeError(LIMIT_REACHED)
+        line.coalesce(1).write.mode("overwrite").json(f"{self.path}/log/batch_id={number}")
+        write_progress(progress, f"{self.path}/progress", number)
+        return row
+
+
+def score_stream(
+    stream: DataFrame, score: Callable[[DataFrame], DataFrame], k: int, path: str, checkpoint: str, settings: dict
+) -> StreamingQuery:
+    """Per micro-batch: score, keep the k best, write them, the log and the progress.
+
+    `score` turns valid rows into (example_pos, tok_pos, label_id, teacher), all rows of an
+    example in one task. The totals of log and progress go on from those of the batch before, so they do
+    not restart with the job, and a replayed batch arrives at the same numbers. Positions
+    that are stored already, by a batch cut off or with another checkpoint, are not scored again; the look-up
+    reads the positions of the batch's range only. A batch is as large as the source's trigger makes it. To
+    end at a position, or to go through a table in parts, use `score_table`. The log's times are those of this run.
+    """
+    scoring = _Scoring(score, k, path, settings)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        due = batch.where(F.col("example_pos").isNotNull())
+        scoring.run(due, batch_id, read_progress(batch.sparkSession, f"{path}/progress", batch_id))
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -115,15 +106,26 @@ def score_stream(
     )
 
 
-def await_scoring(query: StreamingQuery) -> bool:
-    """Wait for the end of a scoring job: True if all there was is scored, False at its limit."""
-    try:
-        query.awaitTermination()
-    except StreamingQueryException as error:
-        if LIMIT_REACHED not in str(error):
-            raise
-        return False
-    return True
+def score_table(
+    clips: DataFrame, score: Callable[[DataFrame], DataFrame], k: int, path: str, settings: dict, stop_at: int | None = None,
+    part: int = POSITIONS_PER_FOLDER,
+) -> bool:
+    """Score a table in parts of `part` positions from where the last run ended; True if no position is left.
+
+    Ends at `stop_at` (exclusive) without a trace: the next run goes on from there, and rows added to the
+    table meanwhile are found by their position. After each part its scores, log line and progress are stored.
+    A run that was killed inside a part scores only those of its positions that are not stored. Each part reads
+    the rows of its own positions; a table written in the order of positions is pruned to them.
+    Rows without a position are left out, and parts without rows are passed over.
+    """
+    spark, scoring = clips.sparkSession, _Scoring(score, k, path, settings)
+    last = read_progress(spark, f"{path}/progress") or {}
+    number, begin = last.get("batch_id", -1) + 1, last.get("next_idx") or 0
+    while (first := resume_from(clips, begin, stop_at, "example_pos").select(F.min("example_pos")).first()[0]) is not None:
+        end = first + part if stop_at is None else min(first + part, stop_at)
+        last = scoring.run(resume_from(clips, first, end, "example_pos"), number, last)
+        number, begin = number + 1, last["next_idx"]
+    return stop_at is None or resume_from(clips, begin, None, "example_pos").isEmpty()
 
 
 def mark_complete(spark: SparkSession, path: str) -> None:
