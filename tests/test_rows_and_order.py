@@ -72,14 +72,51 @@ def test_positions_of_sparse_ids(spark):
     list(range(3000)), [n * 10**12 - 10**15 for n in range(3000)], [2**60, *range(-1500, 1499)],
     [*range(1000), *(10**9 + 7 * n for n in range(1000)), *(10**15 + n * n for n in range(1000))],
 ], ids=["dense", "sparse", "outlier", "clusters"])
-def test_blocks_are_even_for_any_ids(spark, ids):
+def test_positions_of_any_ids(spark, ids):
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
-    sizes = [r["count"] for r in df.groupBy(order.block_of(df, "id", 100).alias("b")).count().collect()]
-    assert max(sizes) <= 300 and len(sizes) <= 62
     got = {r.id: r.pos for r in order.with_position(df, "id", block=100).collect()}
     assert got == {i: n for n, i in enumerate(sorted(ids))}
 
 
+@pytest.mark.parametrize("block", [1, 2, 4, 100, 1 << 10, 1 << 20, 1 << 40])
+def test_windows_over_blocks_are_bounded(block):
+    """From level to level, for the two ends of all 64-bit keys."""
+    low, high = -(2**63) // block, (2**63 - 1) // block
+    for width in order.level_widths(block):
+        assert width <= order.WINDOW
+        low, high = low // width, high // width
+    assert high - low < order.WINDOW
+    assert order.level_widths(1 << 20) == [1 << 22]
+
+
+def test_positions_over_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(order, "WINDOW", 8)
+    rng = random.Random(9)
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(60)} | set(range(-20, 40)))
+    df = spark.createDataFrame([(i, i % 2) for i in ids], "id long, run long")
+    assert len(order.level_widths(1 << 50)) == 4
+    got = {r.id: r.pos for r in order.with_position(df, "id", block=1 << 50).collect()}
+    assert got == {i: n for n, i in enumerate(ids)}
+    got = {r.id: r.n for r in order.number_within(df, ["run"], "id", "n", 1 << 50).collect()}
+    assert all(got[i] == sum(j % 2 == i % 2 for j in ids if j <= i) for i in ids)
+
+
+def test_rows_without_an_order_have_no_position(spark):
+    df = spark.createDataFrame([(i if i % 3 else None, f"t{i}") for i in range(30)], "id long, text string")
+    got = order.with_position(df, "id", block=4).collect()
+    ids = [i for i in range(30) if i % 3]
+    assert len(got) == 30
+    assert all(r.pos == (None if r.id is None else ids.index(r.id)) for r in got)
+
+
+def test_positions_need_two_scans(spark, tmp_path):
+    spark.range(100).selectExpr("id", "uuid() AS text").write.parquet(f"{tmp_path}/t")
+    placed = order.with_position(spark.read.parquet(f"{tmp_path}/t"), "id")
+    assert len(placed.collect()) == 100
+    plan = placed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 2 and plan.count("text") and "Join" not in plan
+
+
 @pytest.mark.parametrize("block", [2, 5, 1000])
 def test_running_totals_of_a_hot_group(spark, block):
     # one run holds most rows; NULL is a group of its own

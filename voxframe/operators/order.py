@@ -1,9 +1,9 @@
 """Positions, running totals, shuffles, batches and step plans.
 
 No window here spans a whole table or a whole run. Rows are cut into blocks of
-bounded size along the ordering column; each block is summed, the few block
-sums give every block its starting value, and the running value is computed
-inside the blocks. A run that holds a third of all rows is spread over as many
+bounded size along the ordering column; each block is summed, the block
+sums give every block its starting value (in the same way, where there may be many),
+and the running value is computed inside the blocks. A run that holds a third of all rows is spread over as many
 tasks as it has blocks.
 """
 
@@ -14,15 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.arrays import let
 from voxframe.functions.text import seeded_key
 from voxframe.session import whole_div
 
 BLOCK = 1 << 20
-# Edges between blocks, looked up in two steps of SPAN
-SPAN = 32
-EDGES = SPAN * SPAN
-_BLOCK, _HEAD = "__block", "__head"
+# Rows of a window over blocks, at most
+WINDOW = 1 << 22
+SPREAD = 1 << 10
+_BLOCK, _HEAD, _FINE = "__block", "__head", "__fine"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -33,24 +32,21 @@ def blocked_totals(
     order: Sequence[str],
     totals: dict[str, Column],
     partition: Sequence[str] = (),
+    levels: Sequence[int] = (),
 ) -> DataFrame:
     """Running sums in the order (block, *order), within `partition`.
 
     `block` must not decrease along `order` and must bound the rows that share
     a value of it. Every block gets one extra first row that carries the sums
-    of the blocks before it, so no join is needed and NULL keys stay.
+    of the blocks before it, so no join is needed and NULL keys stay. Those sums are found in one
+    window for each `partition`; where there may be too many blocks for that, `levels` gives the
+    widths by which blocks are grouped once more, and the groups again.
     """
     keys = list(partition)
     amounts = {f"__amount_{name}": col for name, col in totals.items()}
     rows = df.withColumns({_BLOCK: block, **amounts})
     sums = rows.groupBy(*keys, _BLOCK).agg(*[F.sum(a).alias(a) for a in amounts])
-    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(*_BEFORE)
-    heads = sums.select(
-        *keys,
-        _BLOCK,
-        F.lit(True).alias(_HEAD),
-        *[F.sum(a).over(earlier).alias(a) for a in amounts],
-    )
+    heads = _sums_before(sums, keys, list(amounts), list(levels)).withColumn(_HEAD, F.lit(True))
     inside = (
         Window.partitionBy(*keys, _BLOCK)
         .orderBy(F.col(_HEAD).desc(), *order)
@@ -65,39 +61,28 @@ def blocked_totals(
     )
 
 
-def block_of(df: DataFrame, order: str, block: int = BLOCK) -> Column:
-    """Block number of a row along an integer column, of about `block` rows for any ids.
-
-    Cells of `block` consecutive values hold at most so many rows of a partition. One scan
-    of the column finds its quantiles in cells; between two of them neighbouring cells are
-    merged until they count for about `block` rows. Dense ids so keep their cells, and
-    sparse or clustered ids get no more blocks than rows div `block` and EDGES together.
-    NULL stays NULL.
-    """
-    cell = whole_div(F.col(order), block)
-    shares = [i / EDGES for i in range(EDGES + 1)]
-    n, found = df.select(cell.alias("c")).agg(F.count("c"), F.percentile_approx("c", shares, 10 * EDGES)).first()
-    if not n:
-        return cell
-    parts = min(EDGES, -(-n // block))
-    inside = -(-n // (parts * block))
-    edges = sorted({found[i * EDGES // parts] for i in range(parts)})
-    ends = [*edges[1:], found[-1] + 1]
-    widths = [max(1, -(-(b - a) // inside)) for a, b in zip(edges, ends)]
-
-    def reached(values: Column, v: Column) -> Column:
-        return F.greatest(F.size(F.filter(values, lambda e: e <= v)), F.lit(1))
-
-    spans = [edges[i:i + SPAN] for i in range(0, len(edges), SPAN)]
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    span = reached(longs([s[0] for s in spans]), cell)
-    place = (span - 1) * SPAN + reached(F.element_at(F.array(*[longs(s) for s in spans]), span), cell)
+def _sums_before(sums: DataFrame, keys: list[str], amounts: list[str], levels: list[int]) -> DataFrame:
+    """(keys, block, amounts): for every block the sums of all blocks before it; no window spans more than a level's width."""
+    if not levels:
+        earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(*_BEFORE)
+        return sums.select(*keys, _BLOCK, *[F.sum(a).over(earlier).alias(a) for a in amounts])
+    fine = sums.withColumn(_FINE, F.col(_BLOCK)).withColumn(_BLOCK, whole_div(F.col(_BLOCK), levels[0]))
+    coarse = fine.groupBy(*keys, _BLOCK).agg(*[F.sum(a).alias(a) for a in amounts])
+    heads = _sums_before(coarse, keys, amounts, levels[1:]).withColumn(_HEAD, F.lit(True))
+    earlier = Window.partitionBy(*keys, _BLOCK).orderBy(F.col(_HEAD).desc(), _FINE).rowsBetween(*_BEFORE)
+    return (
+        fine.withColumn(_HEAD, F.lit(False))
+        .unionByName(heads, allowMissingColumns=True)
+        .withColumns({a: F.sum(a).over(earlier) for a in amounts})
+        .where(~F.col(_HEAD))
+        .select(*keys, F.col(_FINE).alias(_BLOCK), *amounts)
+    )
 
-    def number(at: Column) -> Column:
-        within = whole_div(cell - F.element_at(longs(edges), at), F.element_at(longs(widths), at))
-        return at * F.lit(inside + 1).cast("long") + F.greatest(F.lit(0), F.least(within, F.lit(inside)))
 
-    return F.when(cell.isNotNull(), let(place, number))
+def level_widths(block: int) -> list[int]:
+    """Widths for `blocked_totals` that keep every window near WINDOW rows for any 64-bit key cut into blocks of `block` values."""
+    bits, step = 65 - block.bit_length(), WINDOW.bit_length() - 1
+    return [WINDOW] * max(0, -(-(bits - step) // step))
 
 
 def running_totals(
@@ -107,8 +92,12 @@ def running_totals(
     partition: Sequence[str] = (),
     block: int = BLOCK,
 ) -> DataFrame:
-    """Running sums along `order`, an integer column unique within `partition`."""
-    return blocked_totals(df, block_of(df, order, block), [order], totals, partition)
+    """Running sums along `order`, an integer column unique within `partition`.
+
+    A block is `block` consecutive values, so it holds at most so many rows for dense, sparse and clustered
+    ids alike. Nothing is counted or sampled beforehand: one scan of the rows, one of the narrow columns.
+    """
+    return blocked_totals(df, whole_div(F.col(order), block), [order], totals, partition, level_widths(block))
 
 
 def number_within(
@@ -122,14 +111,16 @@ def number_within(
 def with_position(
     df: DataFrame, order: str, name: str = "pos", block: int = BLOCK
 ) -> DataFrame:
-    """Stream position from 0 over all rows, the invalid ones included.
+    """Stream position from 0 over all rows, the invalid ones included; a row without `order` has none.
 
-    Only the ordering column is numbered; the rows themselves (texts, samples)
-    join their position by it and so stay spread over all tasks.
+    Rows are moved once, to the others of their block. Rows with a NULL are dealt over blocks of their own.
     """
-    numbered = number_within(df.select(order), [], order, name, block)
-    numbered = numbered.withColumn(name, F.col(name) - 1)
-    return numbered if df.columns == [order] else df.join(numbered, order, "left")
+    counted = F.col(order).isNotNull()
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    cell = F.when(counted, whole_div(F.col(order), block)).otherwise(dealt)
+    one = F.when(counted, F.lit(1).cast("long"))
+    placed = blocked_totals(df, cell, [order], {name: one}, (), level_widths(block))
+    return placed.withColumn(name, F.when(counted, F.col(name) - 1))
 
 
 def shuffle_bounded(
