@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from voxframe.operators import sequences as S
@@ -21,11 +22,37 @@ def test_vocab_encode_decode(spark):
     assert by_id(S.decode_ids(ignored, vocab, ["id"]), "decoded")[1] == "b a b"
 
 
-def test_large_vocabulary_is_not_broadcast(spark):
+@pytest.mark.parametrize("wrap", [False, True])
+def test_both_sizes_of_a_vocabulary_give_the_same(spark, wrap):
+    texts = ["b a b", " ", None, "c a zz", "", "zz zz b", "a " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    vocab = S.build_vocab(df, 8)
+    for max_len in (1, 2, 5, 448):
+        small = S.encode_text(df, vocab, ["id"], max_len=max_len, wrap=wrap, vocab_size=8)
+        large = S.encode_text(df, vocab, ["id"], max_len=max_len, wrap=wrap, vocab_size=10**6)
+        assert by_id(small, "labels") == by_id(large, "labels")
+        assert small.schema["labels"].dataType.elementType == large.schema["labels"].dataType.elementType
+    odd = F.when(F.col("id") == 1, None).otherwise(F.concat("labels", F.array(F.lit(-100), F.lit(None).cast("int"), F.lit(99))))
+    marked = small.withColumn("labels", odd)
+    assert by_id(S.decode_ids(marked, vocab, ["id"], vocab_size=8), "decoded") == by_id(
+        S.decode_ids(marked, vocab, ["id"], vocab_size=10**6), "decoded")
+
+
+def test_only_a_bounded_vocabulary_is_sent_to_all_tasks(spark):
     df = spark.createDataFrame([(1, "a b")], "id long, text string")
-    vocab = spark.createDataFrame([("a", 4)], "token string, token_id int")
-    plan = lambda size: S.encode_text(df, vocab, ["id"], vocab_size=size)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan(1000) and "broadcast" not in plan(10**6)
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, token_id int")
+    plan = lambda size: S.encode_text(df, vocab, ["id"], vocab_size=size)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(1000) and "Generate" not in plan(1000) and "Join" in plan(10**6)
+    with pytest.raises(ValueError, match="more than 1"):
+        S.encode_text(df, vocab, ["id"], vocab_size=1)
+
+
+def test_encoding_moves_no_text(spark, tmp_path):
+    spark.createDataFrame([(i, "a b c") for i in range(20)], "id long, text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    coded = S.encode_text(df, S.build_vocab(df, 9), ["id"], vocab_size=9)
+    text = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and text.count("FileScan") == 1
 
 
 def batches(spark, *rows):
