@@ -32,6 +32,54 @@ def test_edit_distance_long():
     assert T.edit_distance(a, b) == T.edit_distance(b, a) == table_distance(a, b)
 
 
+def table_counts(a, b):
+    """Substitutions, deletions, insertions by the whole table and the rule that `edit_counts` states."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    table = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (x != y))
+    i, j, counts = len(a), len(b), [0, 0, 0]
+    while i or j:
+        best = table[i][j] - 1
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and table[i - 1][j - 1] == best:
+            i, j, counts[0] = i - 1, j - 1, counts[0] + 1
+        elif i and table[i - 1][j] == best:
+            i, counts[1] = i - 1, counts[1] + 1
+        else:
+            j, counts[2] = j - 1, counts[2] + 1
+    return tuple(counts)
+
+
+@settings(max_examples=600, deadline=None)
+@given(*[st.lists(st.sampled_from("abcde"), max_size=40)] * 2)
+def test_edit_counts(a, b):
+    assert T.edit_counts(a, b) == table_counts(a, b)
+    assert sum(T.edit_counts(a, b)) == T.edit_distance(a, b)
+
+
+def test_edit_counts_long():
+    rng = random.Random(3)
+    a = [str(rng.randrange(40)) for _ in range(700)]
+    b = [w if rng.random() > 0.3 else str(rng.randrange(60)) for w in a if rng.random() > 0.2]
+    assert T.edit_counts(a, b) == table_counts(a, b)
+    b = b[::-1]
+    assert T.edit_counts(a, b) == table_counts(a, b)
+    long = [str(rng.randrange(3000)) for _ in range(20_000)]
+    changed = ["x" if i % 50 == 7 else w for i, w in enumerate(long) if i % 90 != 11]
+    s, d, i = T.edit_counts(long, changed)
+    assert (s + d + i, d - i) == (T.edit_distance(long, changed), len(long) - len(changed))
+
+
+def test_split_edits(spark):
+    df = pairs(spark, ("the cat sat on the mat", "the dog sat mat now"), ("a b", None), (None, "a"), (" ", "a"), ("a", "a b c"), ("a b c", "c"))
+    got = [(tuple(r.changes), r.ref_words) for r in metrics.split_edits(df).collect()]
+    assert sorted(got) == sorted([(table_counts("the cat sat on the mat".split(), "the dog sat mat now".split()), 6), ((0, 2, 0), 2), ((0, 0, 2), 1), ((0, 2, 0), 3)])
+
+
 def test_edit_distance_equals_builtin_levenshtein(spark):
     rng = random.Random(2)
     rows = [

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from math import isqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -89,6 +91,73 @@ def edit_distance(ref: list[str], hyp: list[str]) -> int:
     return distance
 
 
+def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of one alignment with the fewest edits.
+
+    Equal words at both ends are paired. From the end of what is left, equal words are paired, and among
+    steps that keep the fewest edits a substitution goes before a deletion, a deletion before an insertion.
+    The forward pass of `edit_distance` keeps one column in every sqrt(n); the way back computes the
+    columns between two of them once more, so memory is 2 sqrt(n) columns of bits, whatever the length.
+    """
+    start, end = 0, min(len(ref), len(hyp))
+    while start < end and ref[start] == hyp[start]:
+        start += 1
+    tail = 0
+    while tail < end - start and ref[-1 - tail] == hyp[-1 - tail]:
+        tail += 1
+    ref, hyp = ref[start : len(ref) - tail], hyp[start : len(hyp) - tail]
+    if not ref or not hyp:
+        return 0, len(ref), len(hyp)
+    places: dict[str, int] = {}
+    for i, w in enumerate(ref):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(ref)) - 1
+
+    def column(up: int, down: int, word: str) -> tuple[int, int]:
+        match = places.get(word, 0)
+        level = ((((match & up) + up) ^ up) | match | down) & full
+        rise = (down | ((level | up) ^ full)) << 1 | 1
+        fall = (up & level) << 1
+        return (fall | ((level | rise) ^ full)) & full, rise & level
+
+    span = isqrt(len(hyp)) + 1
+    kept, at = [(full, 0)], (full, 0)
+    for j, w in enumerate(hyp, 1):
+        at = column(*at, w)
+        if j % span == 0:
+            kept.append(at)
+
+    def value(j: int, i: int, steps: tuple[int, int]) -> int:
+        below = (1 << i) - 1
+        return j + (steps[0] & below).bit_count() - (steps[1] & below).bit_count()
+
+    i, j = len(ref), len(hyp)
+    counts, distance = [0, 0, 0], value(j, i, at)
+    while j:
+        first = (j - 1) // span * span
+        columns = [kept[first // span]]
+        for w in hyp[first:j]:
+            columns.append(column(*columns[-1], w))
+        while j > first and i:
+            if ref[i - 1] == hyp[j - 1]:
+                i, j = i - 1, j - 1
+                continue
+            before, here = columns[j - first - 1], columns[j - first]
+            if value(j - 1, i - 1, before) == distance - 1:
+                kind, i, j = 0, i - 1, j - 1
+            elif here[0] >> (i - 1) & 1:
+                kind, i = 1, i - 1
+            else:
+                kind, j = 2, j - 1
+            counts[kind] += 1
+            distance -= 1
+        if not i:
+            break
+    counts[1] += i
+    counts[2] += j
+    return counts[0], counts[1], counts[2]
+
+
 def wer_words(text: str) -> list[str]:
     """Words as the word error rate reads them.
 
@@ -109,6 +178,24 @@ def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"edits": edits, "ref_words": words})
 
 
+_COUNTS = ["substitutions", "deletions", "insertions", "ref_words"]
+
+
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in _COUNTS]))
+def _counted(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    out = []
+    for r, h in zip(ref.to_pylist(), hyp.to_pylist()):
+        a, b = wer_words(r), wer_words(h) if h.strip() else []
+        out.append((*edit_counts(a, b), len(a)))
+    columns = zip(*out) if out else [()] * len(_COUNTS)
+    return pa.StructArray.from_arrays([pa.array(c, type=pa.int64()) for c in columns], _COUNTS)
+
+
+def word_changes(ref: Column, hyp: Column) -> Column:
+    """struct<substitutions, deletions, insertions, ref_words> by the alignment of `edit_counts`; inputs as for `word_alignment`."""
+    return _counted(ref, hyp)
+
+
 def word_alignment(ref: Column, hyp: Column) -> Column:
     """struct<edits, ref_words> of two texts, of any length and any number of words.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.text import has_text, normalise_text, word_alignment
+from voxframe.functions.text import has_text, normalise_text, word_alignment, word_changes
 from voxframe.operators.rows import drop_empty_reference
 
 
@@ -30,6 +30,16 @@ def word_edits(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     ).drop("__a", ref, hyp)
 
 
+def split_edits(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Add `changes`, struct<substitutions, deletions, insertions>, and `ref_words`; rows as in `word_edits`.
+
+    Their sum is the `edits` of `word_edits`; which of several best alignments counts is stated in `edit_counts`.
+    """
+    found = drop_empty_reference(df, ref).withColumn("__a", word_changes(F.col(ref), F.coalesce(F.col(hyp), F.lit(""))))
+    kinds = [F.col(f"__a.{c}").alias(c) for c in ("substitutions", "deletions", "insertions")]
+    return found.withColumns({"changes": F.struct(*kinds), "ref_words": F.col("__a.ref_words")}).drop("__a", ref, hyp)
+
+
 def wer(edits: str = "edits", ref_words: str = "ref_words", empty_value: float | None = None) -> Column:
     """All edits by all reference words, not the mean of the rows; may exceed 1."""
     value = F.try_divide(F.sum(edits), F.sum(ref_words))
