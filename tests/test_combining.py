@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,27 @@ def test_supervised_label_wins(spark):
     assert got == {1: ("right", True), 2: ("a", False), None: ("n", False)}
 
 
+def test_seeded_interleave(spark):
+    df = spark.createDataFrame([("A" if i % 3 else "B", i) for i in range(60)], "source string, k long")
+    plain = {r.k: r for r in combining.interleave(df, {"A": 2, "B": 1}, "k").collect()}
+    runs_ = [sorted((r.place, r.source, r.k) for r in combining.interleave(df.repartition(n), {"A": 2, "B": 1}, "k", seed=s).collect()) for n, s in ((1, 5), (4, 5), (2, 6))]
+    assert runs_[0] == runs_[1] != runs_[2]
+    assert [r[1] for r in runs_[0]] == [r.source for r in sorted(plain.values(), key=lambda r: r.place)]
+    assert [r[0] for r in runs_[0]] == list(range(len(plain)))
+    firsts = [r[2] for r in runs_[0] if r[1] == "A"]
+    assert firsts != sorted(firsts) and len(set(firsts)) == len(firsts)
+
+
+def test_overlap_shuffles_keys_only(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.createDataFrame([(i, f"text {i} of {name}" if i % 2 else f"same {i}!") for i in range(30)], "id long, text string").write.parquet(f"{tmp_path}/{name}")
+    df, used = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    new = combining.only_new_rows(df, used.select(F.upper("text").alias("text")))
+    assert sorted(r.id for r in new.collect()) == list(range(1, 30, 2))
+    plan = new._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_new_and_overlapping_rows(spark):
     df = spark.createDataFrame([(1, "Hello,  World!"), (2, "other"), (3, None), (4, "")], "id int, text string")
     used = spark.createDataFrame([("hello world",), ("hello world",), (None,)], "text string")
@@ -125,6 +147,55 @@ def test_divergence_and_mass(spark):
     assert (got.kept, got.outside) == pytest.approx((0.75, 0.5))
 
 
+def plain_js(p, q):
+    """Divergence to the mean, term by term."""
+    norm = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    a, b = norm(p), norm(q)
+    mean = np.log((np.exp(a) + np.exp(b)) / 2)
+    return ((np.exp(a) * (a - mean)).sum() + (np.exp(b) * (b - mean)).sum()) / 2
+
+
+def test_divergence_and_mass_at_vocabulary_width(spark):
+    rng = np.random.default_rng(3)
+    p, q = rng.normal(0, 3, (2, 51_865))
+    ids = rng.choice(51_865, 100, replace=False)
+    df = spark.createDataFrame([(p.tolist(), q.tolist(), ids.tolist())], "p array<double>, q array<double>, ids array<int>")
+    got = df.select(
+        A.js_divergence(F.col("p"), F.col("q")).alias("js"), A.js_divergence(F.col("p"), F.col("q"), F.lit(2.0)).alias("js2"),
+        A.top_mass(F.col("p"), F.col("ids")).alias("mass"), A.log_probability_at(F.col("p"), F.col("ids")).alias("at"),
+    ).first()
+    log_p = p - p.max() - np.log(np.exp(p - p.max()).sum())
+    assert got.js == pytest.approx(plain_js(p, q), abs=1e-12) and got.js2 == pytest.approx(plain_js(p / 2, q / 2), abs=1e-12)
+    assert got.mass == pytest.approx(np.exp(log_p[ids]).sum(), abs=1e-12) and np.allclose(got["at"], log_p[ids], atol=1e-12)
+
+
+def test_divergence_mass_and_gather_of_odd_rows(spark):
+    nan = float("nan")
+    rows_ = [(None, [1.0], [0]), ([1.0], None, None), ([], [], []), ([1.0, nan], [1.0, 2.0], [0]), ([1.0, None], [1.0, 2.0], [1]), ([0.0, 0.0], [0.0, 0.0], [0, 5, -1])]
+    df = spark.createDataFrame(rows_, "p array<double>, q array<double>, ids array<int>").coalesce(1)
+    got = df.select(A.js_divergence(F.col("p"), F.col("q")), A.top_mass(F.col("p"), F.col("ids")), A.log_probability_at(F.col("p"), F.col("ids"))).collect()
+    assert [None if r[0] is None else str(r[0]) for r in got] == [None, None, "0.0", "nan", "nan", "0.0"]
+    assert [None if r[1] is None else str(r[1]) for r in got] == [None, None, "0.0", "nan", "nan", "0.5"]
+    assert got[2][2] == [] and got[5][2] == [pytest.approx(-math.log(2)), None, None]
+
+
+def test_gather_needs_only_kept_ids(spark):
+    top = spark.createDataFrame([(0, 0, 1, 2, 9.0), (0, 0, 2, 0, 8.0), (0, 1, 1, 7, 1.0)], "example_pos long, tok_pos int, rank int, token_id int, logit double")
+    student = spark.createDataFrame([(0, 0, [1.0, 2.0, 3.0]), (0, 1, [1.0, 2.0, 3.0]), (1, 0, [1.0])], "example_pos long, tok_pos int, student array<double>")
+    norm = math.log(sum(math.exp(x) for x in (1, 2, 3)))
+    got = {(r.tok_pos, r.token_id): r.log_q for r in scores.gather_top(top, scores.kept_log_probabilities(top, student)).collect()}
+    assert got == {(0, 2): pytest.approx(3 - norm), (0, 0): pytest.approx(1 - norm)}
+
+
+def test_argmax_passes_over_missing_scores(spark):
+    nan = float("nan")
+    rows_ = [[1.0, nan, 3.0], [nan, None], [None, 2.0, 2.0], [], None, [nan, -5.0], [float("-inf"), nan]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows_)], "i int, x array<double>")
+    got = {r.i: (r.label, r.top) for r in df.select("i", A.argmax_label(F.col("x")).alias("label"), A.top_k_wide(F.col("x"), 1).alias("top")).collect()}
+    assert {i: g[0] for i, g in got.items()} == {0: 2, 1: None, 2: 1, 3: None, 4: None, 5: 1, 6: 0}
+    assert all((t[0].token_id if t else None) == label for label, t in got.values())
+
+
 def test_loss_balance(spark):
     df = spark.createDataFrame([(0.5, 2.0, 1.0, 1.5), (0.5, 0.0, 0.0, 0.0)], "alpha double, ce double, kl double, loss double")
     got = scores.loss_balance(df).collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from voxframe.functions import audio
-from voxframe.operators import inference, rows, scores
+from voxframe.operators import inference, order, rows, scores
 from voxframe.session import scratch_dir
 from voxframe.sources import logs, snapshots, tables
 from voxframe.sources import scores as stored
@@ -299,6 +299,65 @@ def test_stream_shuffle(spark, tmp_path):
     assert any(r.shuffle_pos != r.example_pos for r in got)
 
 
+def shuffled_by_buffers(spark, tmp_path, name, cuts, buffer, total=30):
+    """The rows of a stream that comes in files cut at `cuts`, one file a trigger."""
+    out, source = f"{tmp_path}/{name}", f"{tmp_path}/{name}-in"
+    spark.createDataFrame([], clips(spark, 1).schema).write.parquet(source)
+    for a, b in zip([0, *cuts], [*cuts, total]):
+        clips(spark, b - a, first=a).coalesce(1).write.mode("append").parquet(source)
+        jobs.shuffle_stream(stream(spark, source), 3, "example_pos", out, f"{out}/cp", buffer).awaitTermination()
+    return out
+
+
+def test_buffers_outlive_micro_batches(spark, tmp_path):
+    whole = order.shuffle_bounded(clips(spark, 30).withColumn("pos", F.col("example_pos")), 7, 3, "pos", "example_pos").drop("pos")
+    for name, cuts in (("one", []), ("some", [1, 2, 9, 20]), ("many", list(range(3, 30, 3)))):
+        out = shuffled_by_buffers(spark, tmp_path, name, cuts, 7)
+        done = spark.read.parquet(f"{out}/rows")
+        assert done.count() == 28  # the last buffer is not full
+        for _ in range(2):
+            jobs.drain_shuffle(spark, 3, "example_pos", out, 7)
+        got = spark.read.parquet(f"{out}/rows").drop("batch_id")
+        assert content(got) == content(whole)
+
+
+def test_buffers_after_a_replay(spark, tmp_path):
+    out = shuffled_by_buffers(spark, tmp_path, "r", [4, 11], 5, total=23)
+    batch = clips(spark, 12, first=11)
+    newest = max(int(p.name.split("=")[1]) for p in (tmp_path / "r" / "state").iterdir())
+    before = content(spark.read.parquet(f"{out}/rows"))
+    jobs._write_buffers(batch, newest, 3, "example_pos", out, 5, False)  # the last batch once more
+    assert content(spark.read.parquet(f"{out}/rows")) == before
+
+
+def test_one_row_a_trigger(spark, tmp_path):
+    out, source = f"{tmp_path}/o", f"{tmp_path}/in"
+    for i in range(6):
+        clips(spark, 1, first=i).coalesce(1).write.mode("append").parquet(source)
+    jobs.shuffle_stream(stream(spark, source), 3, "example_pos", out, f"{out}/cp", 4).awaitTermination()
+    jobs.drain_shuffle(spark, 3, "example_pos", out, 4)
+    whole = order.shuffle_bounded(clips(spark, 6).withColumn("pos", F.col("example_pos")), 4, 3, "pos", "example_pos").drop("pos")
+    assert content(spark.read.parquet(f"{out}/rows").drop("batch_id")) == content(whole)
+
+
+def test_splits_of_a_configuration(spark, tmp_path):
+    rows_ = [(i, "train" if i % 2 else "test") for i in range(6)]
+    for config in ("he", "en"):
+        spark.createDataFrame(rows_, "id long, split string").write.partitionBy("split").parquet(f"{tmp_path}/{config}")
+    assert {r.id for r in tables.read_split(spark, str(tmp_path), "test", config="he").collect()} == {0, 2, 4}
+    assert tables.read_optional_split(spark, str(tmp_path), "train", config="en").count() == 3
+    with pytest.warns(UserWarning, match="not found"):
+        assert tables.read_optional_split(spark, str(tmp_path), "gone", config="en") is None
+
+
+def test_an_absent_split_reads_no_file(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id long, split string").write.partitionBy("split").parquet(f"{tmp_path}/t")
+    for part in (tmp_path / "t").rglob("*.parquet"):
+        part.write_bytes(b"not a table")  # whoever opens it fails
+    gone = spark.read.schema("id long, split string").parquet(f"{tmp_path}/t").where("split = 'gone'")
+    assert gone.isEmpty()
+
+
 # --- user functions and features
 
 

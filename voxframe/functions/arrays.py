@@ -270,26 +270,71 @@ _ARROW_LOSS = pa.struct([("ce", pa.float64()), ("kl", pa.list_(pa.float64()))])
 
 
 def js_divergence(teacher: Column, student: Column, temperature: float | Column = 1.0) -> Column:
-    """Mean KL of both sides to their mean over the shared vocabulary: symmetric, at most ln 2."""
-    a, b = align_vocab(doubles(teacher), doubles(student))
-    half = F.log(F.lit(0.5))
+    """Mean KL of both sides to their mean over the shared vocabulary: symmetric, at most ln 2.
+
+    In Arrow batches, one pass in double precision over the vocabulary. NULL for a missing array or
+    temperature, 0 for empty ones, NaN where a score is NaN or NULL.
+    """
+
+    def halves(x: np.ndarray, y: np.ndarray, t: float) -> float:
+        a, b = x / t - _log_norm(x / t), y / t - _log_norm(y / t)
+        mean = np.logaddexp(a, b) - np.log(2.0)
+        sides = (np.where(lp <= -746.0, 0.0, np.exp(lp) * (lp - mean)).sum() for lp in (a, b))
+        return float(sum(sides) / 2)
 
-    def term(lp: Column, lq: Column) -> Column:
-        top = F.greatest(lp, lq)
-        mean = half + top + F.log1p(F.exp(F.least(lp, lq) - top))
-        return (_kl_term(lp, mean) + _kl_term(lq, mean)) / 2
+    @F.arrow_udf("double")
+    def measure(teachers: pa.Array, students: pa.Array, temperatures: pa.Array) -> pa.Array:
+        out = []
+        with np.errstate(all="ignore"):
+            for x, y, t in zip(_rows(teachers), _rows(students), temperatures.to_pylist()):
+                missing = x is None or y is None or t is None
+                out.append(None if missing else halves(x, y, t) if len(x) else 0.0)
+        return pa.array(out, pa.float64())
 
-    terms = F.zip_with(log_softmax(a, temperature), log_softmax(b, temperature), term)
-    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+    return measure(*align_vocab(doubles(teacher), doubles(student)), _num(temperature))
 
 
 def top_mass(scores: Column, ids: Column) -> Column:
-    """Share of the probability that the zero-based `ids` hold."""
-    def held(a: Column) -> Column:
-        return let(log_sum_exp(a), lambda z: F.aggregate(
-            ids, F.lit(0.0), lambda s, i: s + F.exp(F.element_at(a, i.cast("int") + 1) - z)))
+    """Share of the probability that the zero-based `ids` hold; ids outside of the scores hold none.
+
+    In Arrow batches. NULL for a missing array, NaN where a score is NaN or NULL.
+    """
+
+    @F.arrow_udf("double")
+    def held(rows: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        with np.errstate(all="ignore"):
+            for x, wanted in zip(_rows(rows), _rows(lists)):
+                if x is None or wanted is None:
+                    out.append(None)
+                    continue
+                inside = wanted[(wanted >= 0) & (wanted < len(x))].astype(np.int64)
+                out.append(float(np.exp(x[inside] - _log_norm(x)).sum()) if len(x) else 0.0)
+        return pa.array(out, pa.float64())
+
+    return held(doubles(scores), doubles(ids))
+
+
+def log_probability_at(scores: Column, ids: Column) -> Column:
+    """Log-probabilities at zero-based `ids`, array<double>; NULL at ids outside of the scores.
+
+    In Arrow batches: one pass over the vocabulary for its norm, and no array of its width is made.
+    """
+
+    @F.arrow_udf("array<double>")
+    def gathered(rows: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        with np.errstate(all="ignore"):
+            for x, wanted in zip(_rows(rows), _rows(lists)):
+                if x is None or wanted is None:
+                    out.append(None)
+                    continue
+                inside = (wanted >= 0) & (wanted < len(x))
+                values = x[np.where(inside, wanted, 0).astype(np.int64)] - _log_norm(x) if inside.any() else wanted
+                out.append(pa.array(values, mask=~inside).to_pylist())
+        return pa.array(out, pa.list_(pa.float64()))
 
-    return let(doubles(scores), held)
+    return gathered(doubles(scores), doubles(ids))
 
 
 def vector_mse(layers_a: Column, layers_b: Column) -> Column:
@@ -332,5 +377,6 @@ def pad_mask(labels: Column, pad_id: int) -> Column:
 
 
 def argmax_label(x: Column) -> Column:
-    """Id of the best score, the lowest on ties; NULL for an array without scores."""
-    return F.nullif(F.array_position(x, F.array_max(x)), F.lit(0).cast("long")) - 1
+    """Id of the best score, the lowest on ties; NaN and NULL are none, as in the top entries. NULL without a score."""
+    best = F.array_max(F.filter(x, lambda v: ~F.isnan(v.cast("double"))))
+    return F.nullif(F.array_position(x, best), F.lit(0).cast("long")) - 1

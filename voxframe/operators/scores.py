@@ -39,10 +39,25 @@ def explode_top(df: DataFrame, top: str = "top") -> DataFrame:
 
 
 def gather_top(top: DataFrame, student: DataFrame) -> DataFrame:
-    """Student log-probabilities at the teacher's ids, both in row form."""
+    """Student log-probabilities at the teacher's ids, both in row form.
+
+    Give the student's rows from `kept_log_probabilities`, which holds only the kept ids.
+    """
     return top.join(student, [*POSITION, "token_id"])
 
 
+def kept_log_probabilities(top: DataFrame, student: DataFrame, scores: str = "student", name: str = "log_q") -> DataFrame:
+    """(position, token_id, log_q): the student's rows at the ids of `top` (row form), from its score arrays.
+
+    The ids of a position meet its array as one list, so what is exploded is k rows a position and not the
+    vocabulary. Ids that the student does not have give no row.
+    """
+    kept = top.groupBy(*POSITION).agg(F.collect_list("token_id").alias("__ids"))
+    both = student.select(*POSITION, scores).join(kept, POSITION)
+    zipped = F.arrays_zip(F.col("__ids").alias("token_id"), A.log_probability_at(F.col(scores), F.col("__ids")).alias(name))
+    return both.select(*POSITION, F.inline(zipped).alias("token_id", name)).where(F.col(name).isNotNull())
+
+
 def pack_positions(df: DataFrame) -> DataFrame:
     """One row per example: (example_pos, positions), ordered by token position.
 

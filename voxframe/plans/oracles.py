@@ -95,7 +95,11 @@ pairs AS (
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g'))"
 _USED = f"""WITH ours AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
-used AS (SELECT t FROM ours WHERE doc_id % 10 = 0 UNION ALL SELECT {_NORMAL} FROM benchmark)"""
+used AS (
+  SELECT {_NORMAL} AS t FROM (
+    SELECT unnest(string_split(text, chr(10))) AS text FROM documents
+    UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)
+  WHERE text IS NOT NULL)"""
 
 
 def _grams(text: str) -> str:
@@ -259,6 +263,11 @@ _SCORED = f"""WITH {VECTORS}, {RANKED}
 SELECT vec_id AS example_pos, 0 AS tok_pos, rank, token_id, round(CAST(CAST(logit AS FLOAT) AS DOUBLE), 6) AS logit
 FROM top WHERE vec_id % 17 <> 0"""
 
+_ALIGNED_SCORES = f"""WITH {CLIPS}, {VECTORS}
+SELECT v.example_pos, v.tok_pos, c.lang, v.label_id, round(max(t.logit), 6) AS best_logit
+FROM clips c JOIN vectors v ON v.example_pos = c.pos JOIN teacher t ON t.vec_id = v.vec_id
+WHERE c.has_text AND c.has_audio GROUP BY ALL"""
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "scan_split": "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'fr'",
@@ -297,6 +306,9 @@ placed AS (SELECT clip_id, row_number() OVER (ORDER BY clip_id) - 1 AS pos FROM
 SELECT clip_id, pos, row_number() OVER (ORDER BY pos // 256, {_key(42)}, clip_id) - 1 AS shuffle_pos FROM placed""",
     "full_shuffle": _FULL_SHUFFLE,
     "stream_shuffle": _FULL_SHUFFLE,
+    "stream_buffers": f"""WITH {CLIPS},
+placed AS (SELECT clip_id, row_number() OVER (ORDER BY clip_id) - 1 AS pos FROM clips)
+SELECT clip_id, row_number() OVER (ORDER BY pos // 100, {_key(42)}, clip_id) - 1 AS shuffle_pos FROM placed""",
     "repeat_epochs": f"""WITH {CLIPS}, epochs AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS epoch)
 SELECT clip_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY {_key('CAST(42 + epoch AS VARCHAR)')}, clip_id) - 1
   AS epoch_pos FROM clips, epochs""",
@@ -372,10 +384,8 @@ SELECT a.example_pos, a.tok_pos, CAST(count(*) AS INTEGER) AS n_teacher, CAST(an
   round(sum(a.logit), 6) AS sum_teacher, round(any_value(s.total), 6) AS sum_student
 FROM aligned a JOIN s USING (vec_id) GROUP BY a.example_pos, a.tok_pos""",
     "loss_mask": f"WITH {VECTORS} SELECT example_pos, tok_pos, label_id <> -100 AS scored FROM vectors",
-    "align_scores": f"""WITH {CLIPS}, {VECTORS}
-SELECT v.example_pos, v.tok_pos, c.lang, v.label_id, round(max(t.logit), 6) AS best_logit
-FROM clips c JOIN vectors v ON v.example_pos = c.pos JOIN teacher t ON t.vec_id = v.vec_id
-WHERE c.has_text AND c.has_audio GROUP BY ALL""",
+    "align_scores": _ALIGNED_SCORES,
+    "align_bucketed": _ALIGNED_SCORES,
     "align_packed": f"""WITH {CLIPS}, {VECTORS}, {RANKED},
 best AS (
   SELECT example_pos, string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY tok_pos) AS best
@@ -418,6 +428,10 @@ SELECT vec_id, 2 AS bins, CAST(count(*) // 2 AS INTEGER) AS frames, round(sum(v)
 FROM cells WHERE label = 9 OR i % 32 < 2 * (label * 3 + 1) GROUP BY vec_id""",
     # word error rate
     "word_edits": f"WITH {PAIRS} SELECT model, clip_id, edits, n AS ref_words FROM pairs",
+    "split_edits": f"""WITH {PAIRS} SELECT model, clip_id, n AS ref_words,
+  CASE model WHEN 1 THEN n // 8 - n // 24 WHEN 2 THEN n // 7 ELSE n // 5 - n // 45 END AS substitutions,
+  CASE model WHEN 1 THEN n // 6 WHEN 2 THEN 0 ELSE n // 9 END AS deletions,
+  CASE model WHEN 2 THEN n // 13 ELSE 0 END AS insertions FROM pairs""",
     "wer_corpus": f"""WITH {PAIRS}
 SELECT count(*) AS samples, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS ref_words, round(sum(edits) / sum(n), 6) AS wer FROM pairs""",
     "wer_by_model": f"""WITH {PAIRS}
@@ -460,13 +474,21 @@ UNION ALL SELECT conv_id, text, NULL, role FROM conversations""",
 ends AS (SELECT n, max(v) AS v FROM ranked GROUP BY n),
 last AS (SELECT v, n FROM ends WHERE (SELECT count(*) FROM ends) = 2 ORDER BY v, n LIMIT 1)
 SELECT doc_id, lang, row_number() OVER (ORDER BY r.v, r.n) - 1 AS place
+FROM ranked r, last l WHERE r.v < l.v OR r.v = l.v AND r.n <= l.n""",
+    "interleave_seeded": f"""WITH ranked AS (
+  SELECT doc_id, lang, CASE lang WHEN 'fr' THEN 0 ELSE 1 END AS n,
+    (2 * row_number() OVER (PARTITION BY lang ORDER BY {_key(42, "doc_id")}, doc_id) - 1) * CASE lang WHEN 'fr' THEN 3 ELSE 7 END AS v
+  FROM documents WHERE lang IN ('fr', 'de')),
+ends AS (SELECT n, max(v) AS v FROM ranked GROUP BY n),
+last AS (SELECT v, n FROM ends WHERE (SELECT count(*) FROM ends) = 2 ORDER BY v, n LIMIT 1)
+SELECT doc_id, lang, row_number() OVER (ORDER BY r.v, r.n) - 1 AS place
 FROM ranked r, last l WHERE r.v < l.v OR r.v = l.v AND r.n <= l.n""",
     "merge_labelled": """WITH every AS (
-  SELECT doc_id AS clip_id, text, 0 AS kind FROM documents WHERE doc_id % 3 = 0
+  SELECT doc_id AS clip_id, text, 0 AS kind FROM documents
   UNION ALL SELECT conv_id, text, 1 FROM conversations),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY kind, text) AS r FROM every)
 SELECT clip_id, text, kind = 0 AS supervised FROM ranked WHERE r = 1""",
-    "only_new_rows": f"{_USED} SELECT doc_id FROM ours WHERE t NOT IN (SELECT t FROM used)",
+    "only_new_rows": f"{_USED} SELECT doc_id FROM ours WHERE t IS NULL OR t NOT IN (SELECT t FROM used)",
     "overlap_rows": f"{_USED} SELECT doc_id FROM ours WHERE t IN (SELECT t FROM used)",
     "source_profile": f"""WITH {CLIPS}
 SELECT source, count(*) AS clips, round(sum(duration) / 3600, 6) AS hours, round(avg(duration), 6) AS mean_seconds

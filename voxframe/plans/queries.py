@@ -6,6 +6,7 @@ digits, so that results of two engines can be compared by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,6 +23,7 @@ from voxframe.operators.grid import ALPHAS, TEMPERATURES, sweep_grid
 from voxframe.plans import views as V
 from voxframe.plans import training
 from voxframe.session import scratch_dir, whole_div
+from voxframe.session import stored as kept
 from voxframe.sources import logs, snapshots, tables
 from voxframe.sources import scores as stored
 from voxframe.streaming import jobs
@@ -128,6 +130,16 @@ def stream_shuffle(spark, sf):
     return spark.read.parquet(f"{out}/rows").select("clip_id", "shuffle_pos")
 
 
+def stream_buffers(spark, sf):
+    """Buffers of 100 rows over triggers of one file, the last one drained at the end."""
+    out = scratch_dir(spark, "shuffled")
+    docs = tables.read_stream_source(spark, sf, V.table(spark, sf, "documents").schema, 1, "documents*.parquet")
+    clips = docs.select(F.col("doc_id").alias("clip_id"))
+    jobs.shuffle_stream(clips, 42, "clip_id", out, f"{out}/checkpoint", buffer=100).awaitTermination()
+    jobs.drain_shuffle(spark, 42, "clip_id", out, 100)
+    return spark.read.parquet(f"{out}/rows").select("clip_id", "shuffle_pos")
+
+
 def score_source(spark, sf):
     """Without a table the scores are live; written, they are found at the default path."""
     out = scratch_dir(spark, "teacher-scores")
@@ -388,6 +400,18 @@ def align_scores(spark, sf):
     )
 
 
+def align_bucketed(spark, sf):
+    """Scores and examples stored in buckets of positions meet without a shuffle below the join."""
+    names = [f"voxframe_{uuid.uuid4().hex}" for _ in range(2)]
+    examples = rows.valid_rows(V.clips(spark, sf)).select(F.col("pos").alias("example_pos"), "lang")
+    top = scores.top_k_per_position(V.teacher_positions(spark, sf), TOP)
+    for name, df in zip(names, (examples, top)):
+        stored.write_bucketed(df, name, 16)
+    return scores.align_scores(*[spark.table(name).hint("merge") for name in names]).select(
+        *scores.POSITION, "lang", "label_id", r6(F.col("top")[0]["logit"]).alias("best_logit")
+    )
+
+
 def align_packed(spark, sf):
     examples = rows.valid_rows(V.clips(spark, sf)).select(F.col("pos").alias("example_pos"), "text")
     top = scores.top_k_per_position(V.teacher_positions(spark, sf), TOP)
@@ -398,9 +422,7 @@ def align_packed(spark, sf):
 
 def gather_topk(spark, sf):
     top = scores.top_k_long(_teacher_long(spark, sf), TOP)
-    student = V.scores(spark, sf).select(
-        *scores.POSITION, F.posexplode(A.log_softmax(F.col("student"))).alias("token_id", "log_q")
-    )
+    student = scores.kept_log_probabilities(top, V.scores(spark, sf))
     return scores.gather_top(top, student).select(
         *scores.POSITION, "rank", "token_id", r6("logit").alias("logit"), r6("log_q").alias("log_q")
     )
@@ -493,6 +515,11 @@ def word_edits(spark, sf):
     return metrics.word_edits(V.pairs(spark, sf)).select("model", "clip_id", "edits", "ref_words")
 
 
+def split_edits(spark, sf):
+    found = metrics.split_edits(V.pairs(spark, sf))
+    return found.select("model", "clip_id", "changes.substitutions", "changes.deletions", "changes.insertions", "ref_words")
+
+
 def wer_corpus(spark, sf):
     return metrics.wer_corpus(V.pairs(spark, sf)).withColumn("wer", r6("wer"))
 
@@ -564,11 +591,12 @@ def final_vs_best(spark, sf):
 
 
 def running_mean(spark, sf):
-    return runs.running_mean(V.runs(spark, sf), 20).withColumn("mean", r6("mean"))
+    log = kept(V.runs(spark, sf).select("run", "step", "loss"), "log")  # numbered once
+    return runs.running_mean(log, 20).withColumn("mean", r6("mean"))
 
 
 def throughput(spark, sf):
-    log = V.runs(spark, sf)
+    log = kept(V.runs(spark, sf).select("run", "step", "seconds", "event_type"), "log")
     out = runs.throughput(log, 16, valid=F.col("event_type") != "error")
     return out.withColumns({"s_per_row": r6("s_per_row"), "rows_per_min": r6("rows_per_min")})
 
@@ -701,16 +729,23 @@ def interleave(spark, sf):
     return combining.interleave(docs, {"fr": 7, "de": 3}, "doc_id", "lang")
 
 
+def interleave_seeded(spark, sf):
+    docs = V.table(spark, sf, "documents").select("doc_id", "lang")
+    return combining.interleave(docs, {"fr": 7, "de": 3}, "doc_id", "lang", seed=42)
+
+
 def merge_labelled(spark, sf):
-    docs = V.table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("clip_id"), "text")
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"), "text")
     turns = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("clip_id"), "text")
     return combining.merge_labelled(docs, turns, "clip_id")
 
 
 def _used(spark, sf):
-    # every tenth document in another dress, and the benchmark
-    docs = V.table(spark, sf, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit(" "), "text", F.lit(" !?")).alias("text"))
-    return docs.unionByName(V.table(spark, sf, "benchmark").select("text"))
+    """Every line of every document in another dress, every turn and every benchmark item."""
+    line = F.explode(F.split("text", "\n"))
+    docs = V.table(spark, sf, "documents").select(line.alias("line")).select(F.concat(F.lit(" "), "line", F.lit(" !?")).alias("text"))
+    others = [V.table(spark, sf, name).select("text") for name in ("conversations", "benchmark")]
+    return docs.unionByName(others[0]).unionByName(others[1])
 
 
 def only_new_rows(spark, sf):
@@ -786,20 +821,20 @@ REGISTERED: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_split, stream_valid_clips, topk_roundtrip, log_parse, artifact_size,
-        optional_split, stream_scores, scores_in_parts, stream_progress, stream_shuffle, score_source, run_log, results_table,
+        optional_split, stream_scores, scores_in_parts, stream_progress, stream_shuffle, stream_buffers, score_source, run_log, results_table,
         snapshot_listing,
         valid_rows, valid_text, duration_filter, project_prepared, cap_then_filter, filter_then_cap,
         with_position, file_position, position_in_source, seeded_shuffle, full_shuffle, repeat_epochs,
         assign_batches, step_plan, steps_per_epoch, resume_window,
         build_vocab, encode_text, decode_ids, pad_batch, drop_common_start, training_batches, shift_right, pad_mask,
         topk_per_position, topk_wide, topk_long, softmax_t, log_softmax_t, topk_renorm, vocab_align, loss_mask,
-        align_scores, align_packed, gather_topk, gather_topk_array, cross_entropy, kl_full, kl_topk, combined_loss,
+        align_scores, align_packed, align_bucketed, gather_topk, gather_topk_array, cross_entropy, kl_full, kl_topk, combined_loss,
         combined_loss_full, stored_loss, vector_mse, storage_per_row, pad_or_trim, truncate_context,
-        word_edits, wer_corpus, wer_by_model, wer_at_n, zip_pairs, vs_baseline,
+        word_edits, split_edits, wer_corpus, wer_by_model, wer_at_n, zip_pairs, vs_baseline,
         last_metric, best_step, final_vs_best, quality_filter, skip_sources, argmax_label, running_mean, throughput, rank_runs, grid,
         is_complete, retain_latest, latest_snapshot, state_or_name, label_of_run,
         context_size, map_rows, batch_predict, clip_seconds, clip_features, resampled_features,
-        harmonise_union, interleave, merge_labelled, only_new_rows, overlap_rows, source_profile, wer_normalised,
+        harmonise_union, interleave, interleave_seeded, merge_labelled, only_new_rows, overlap_rows, source_profile, wer_normalised,
         repetition_score, pseudo_filter, pseudo_label, topk_mass, loss_balance, js_divergence, regression_alarm,
     )
 }

@@ -18,21 +18,29 @@ CROWD_SCHEMA = (
 
 
 def read_split(
-    spark: SparkSession, path: str, split: str, column: str = "split", schema: StructType | str | None = None
+    spark: SparkSession, path: str, split: str, column: str = "split", schema: StructType | str | None = None,
+    config: str | None = None,
 ) -> DataFrame:
-    """One named split; with `column` as a partition column only its files are read."""
+    """One named split; with `column` as a partition column only its files are read.
+
+    `config` names one of several tables below `path`, each in a folder of its own.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).where(F.col(column) == split)
+    return reader.parquet(path if config is None else f"{path}/{config}").where(F.col(column) == split)
 
 
 def read_optional_split(
-    spark: SparkSession, path: str, split: str | None, column: str = "split"
+    spark: SparkSession, path: str, split: str | None, column: str = "split", config: str | None = None
 ) -> DataFrame | None:
-    """The split, or None with a warning: evaluation is then left out."""
+    """The split, or None with a warning: evaluation is then left out.
+
+    Where `column` is a partition column, partition values tell whether the split is there, and an absent one
+    reads no data file; otherwise the column alone is read until a row is found.
+    """
     if split is None:
         return None
-    df = read_split(spark, path, split, column)
-    if df.isEmpty():
+    df = read_split(spark, path, split, column, config=config)
+    if df.select(column).isEmpty():
         warnings.warn(f"split '{split}' not found in {path}; going on without it", stacklevel=2)
         return None
     return df

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxframe.operators.order import resume_from, shuffle_full
+from voxframe.operators.order import resume_from, shuffle_bounded, shuffle_full, with_position
 from voxframe.operators.rows import valid_rows
 from voxframe.operators.scores import top_k_per_position
+from voxframe.session import stored
 from voxframe.sources.logs import PROGRESS_SCHEMA, read_progress, write_progress
 from voxframe.sources.scores import POSITIONS_PER_FOLDER, has_files, read_teacher_scores, stored_form, unscored
 
+CARRY_SCHEMA = "begin LONG, drained BOOLEAN"
+
 
 def prepare(clips: DataFrame, keep: list[str]) -> DataFrame:
     """Validity filter and projection; the same code for batch and stream."""
@@ -139,13 +142,22 @@ def mark_complete(spark: SparkSession, path: str) -> None:
 
 
 def shuffle_stream(
-    stream: DataFrame, seed: int, key: str, path: str, checkpoint: str
+    stream: DataFrame, seed: int, key: str, path: str, checkpoint: str, buffer: int | None = None
 ) -> StreamingQuery:
-    """Seeded order within each micro-batch, which is the buffer whatever its size."""
+    """Seeded order of the rows below `path`, each with its `shuffle_pos`.
+
+    Without `buffer` a micro-batch is the buffer, whatever its size. With it every `buffer` rows are one, however
+    the triggers cut the stream: rows of a buffer that is not full yet are carried over to the next
+    micro-batch, in a folder named after the batch, and `drain_shuffle` writes the last ones. The order is then
+    that of `order.shuffle_bounded` over all rows. Rows must arrive in the order of `key`, a unique integer. A
+    replayed batch starts from what the batch before it carried, so it writes the same rows again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = shuffle_full(batch, seed, key)
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if buffer is None:
+            shuffle_full(batch, seed, key).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        else:
+            _write_buffers(batch, batch_id, seed, key, path, buffer, False)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -153,3 +165,32 @@ def shuffle_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _write_buffers(batch: DataFrame, batch_id: int, seed: int, key: str, path: str, buffer: int, last: bool) -> None:
+    """Write the full buffers of what was carried and what is new (all of it if `last`), and carry the rest."""
+    spark = batch.sparkSession
+    begin, rows = 0, batch
+    if batch_id and (state := spark.read.schema(CARRY_SCHEMA).json(f"{path}/state/batch_id={batch_id - 1}").first()):
+        begin = state.begin
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/carried/batch_id={batch_id - 1}").unionByName(batch)
+    placed = stored(with_position(rows, key, "__place").withColumn("__place", F.col("__place") + begin), "shuffle")
+    reached = placed.agg(F.max("__place")).first()[0]
+    end = begin if reached is None else reached + 1
+    full = end if last else end // buffer * buffer
+    out = shuffle_bounded(placed.where(F.col("__place") < full), buffer, seed, "__place", key)
+    out.drop("__place").write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+    placed.where(F.col("__place") >= full).drop("__place").write.mode("overwrite").parquet(f"{path}/carried/batch_id={batch_id}")
+    spark.createDataFrame([(full, last)], CARRY_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/state/batch_id={batch_id}")
+
+
+def drain_shuffle(spark: SparkSession, seed: int, key: str, path: str, buffer: int) -> None:
+    """At the end of a stream: write the rows that wait in the last, partly filled buffer. A second call changes nothing.
+
+    Call it once the stream has ended for good; rows that come later would start a buffer of their own.
+    """
+    newest = spark.read.schema(f"{CARRY_SCHEMA}, batch_id LONG").json(f"{path}/state").orderBy(F.col("batch_id").desc()).first()
+    if newest is None or newest.drained:
+        return
+    carried = spark.read.parquet(f"{path}/carried/batch_id={newest.batch_id}")
+    _write_buffers(carried.limit(0), newest.batch_id + 1, seed, key, path, buffer, True)
