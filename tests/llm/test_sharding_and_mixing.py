@@ -65,6 +65,21 @@ def test_hot_group_is_split_and_small_groups_stay_together(spark):
     assert all(shard[1000 + i] == shard[1001 + i] for i in range(0, 3000, 2))
 
 
+def test_rows_that_repeat_are_split_too(spark):
+    """Half of all rows are one row; they, and texts that are large on their own, fall between shards like any other."""
+    rows = [(7, "the same row " * 40, "s", None, None, None, None)] * 3000
+    rows += [(1000 + i, f"row number {i} " * 36, "s", None, None, None, None) for i in range(3000)]
+    got = sharding.digest(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 0.05 * sum(sizes.values()) / 24
+    for s in range(24):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_edge_cases(spark):
     rows = [(None, None), (None, None), (3, ""), (3, ""), (3, "é"), (None, "x" * 100_000), (4, "a"), (5, "a")]
     df = spark.createDataFrame([(*r, None, "1", "2", "3", "4") for r in rows], SCHEMA)

@@ -1,7 +1,7 @@
 """Shards of near equal size by histogram sort.
 
-Documents are ordered by a hash of their text, then by a hash of their id. The
-shard boundaries are found without sorting: exact bytes are counted between
+Documents are ordered by a hash of their text, then by a hash of their id, then by a hash of
+their row's number. The shard boundaries are found without sorting: exact bytes are counted between
 evenly spaced candidate keys over all partitions, each boundary's interval is
 cut again at finer candidates, and so on until it holds one unit. Then every row
 knows its shard, and the rows are exchanged once.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import cut
+from voxframe.llm.common import ROW, cut, numbered
 from voxframe.operators.order import blocked_totals
 from voxframe.session import whole_div
 
@@ -22,6 +22,7 @@ PROBES = 4096
 BLOCKS_LOG2 = 10
 KEY_BITS = 60
 LOW, HIGH = -1, 1 << KEY_BITS
+KEYS = ["k1", "k2", "k3"]
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,36 +78,41 @@ def _crossings(rows: DataFrame, key: str, wanted: list[tuple[int, int]], unit_by
     return found
 
 
-def boundaries(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """The first (k1, k2) of every shard but the first.
+def boundaries(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
+    """The first (k1, k2, k3) of every shard but the first.
 
     Equal texts stay together unless their bytes exceed `tolerance` of a shard;
-    only such a group is split, between documents. So a boundary is off by half a
-    unit at most: half of `tolerance`, or half a document.
+    only such a group is split, between documents, and a group of repeated rows of that size between
+    rows. So a boundary is off by half a unit at most: half of `tolerance`, or half a row.
     """
     total = rows.agg(F.sum("size")).first()[0]
     if not total:
-        return [(HIGH, LOW)] * (shards - 1)
-    targets = [-(-total * j // shards) for j in range(1, shards)]
-    edges: list[tuple[int, int] | None] = []
-    inner: dict[int, list[tuple[int, int, int]]] = {}
-    for n, (key, group) in enumerate(_crossings(rows, "k1", [(t, 0) for t in targets], int(tolerance * total / shards))):
-        edges.append((key, LOW) if group is None else None)
-        if group is not None:
-            inner.setdefault(group[0], []).append((n, targets[n], group[1]))
-    for k1, cuts in inner.items():
-        of_group = rows.where(F.col("k1") == k1)
-        for (n, *_), (k2, _) in zip(cuts, _crossings(of_group, "k2", [(t, b) for _, t, b in cuts], None)):
-            edges[n] = (k1, k2)
+        return [(HIGH, LOW, LOW)] * (shards - 1)
+    unit, edges = int(tolerance * total / shards), [()] * (shards - 1)
+    open_ = {(): [(n, -(-total * (n + 1) // shards), 0) for n in range(shards - 1)]}
+    for depth, key in enumerate(KEYS):
+        inner: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
+        for above, cuts in open_.items():
+            of_group = rows
+            for name, value in zip(KEYS, above):
+                of_group = of_group.where(F.col(name) == value)
+            found = _crossings(of_group, key, [(t, b) for _, t, b in cuts], unit if depth < len(KEYS) - 1 else None)
+            for (n, target, _), (first, group) in zip(cuts, found):
+                if group is None:
+                    edges[n] = (*above, first, *[LOW] * (len(KEYS) - depth - 1))
+                else:
+                    inner.setdefault((*above, group[0]), []).append((n, target, group[1]))
+        open_ = inner
     return edges
 
 
-def shard_of(edges: list[tuple[int, int]]) -> Column:
-    """Number of boundaries at or below the row's key."""
-    at = F.array(*[F.struct(F.lit(a).cast("long").alias("k1"), F.lit(b).cast("long").alias("k2")) for a, b in edges])
+def shard_of(edges: list[tuple[int, ...]]) -> Column:
+    """Number of boundaries at or below the row's keys."""
     if not edges:
         return F.lit(0)
-    return F.size(F.filter(at, lambda e: (e["k1"] < F.col("k1")) | ((e["k1"] == F.col("k1")) & (e["k2"] <= F.col("k2")))))
+    place = lambda values: F.struct(*[v.cast("long").alias(k) for k, v in zip(KEYS, values)])
+    at = F.array(*[place([F.lit(v) for v in edge]) for edge in edges])
+    return F.size(F.filter(at, lambda e: e <= place([F.col(k) for k in KEYS])))
 
 
 def shard_documents(
@@ -115,18 +121,20 @@ def shard_documents(
 ) -> DataFrame:
     """`keep` with size, text_crc32, shard and slot, one row for each document.
 
-    Slots number the rows of a shard from 0 without gaps, along the second key;
-    they are counted in blocks of it, so no task holds a shard. Rows equal in
-    doc_id and text are one unit, and which of them has which slot is left open.
-    A NULL text counts as 8 bytes without a checksum. An empty table has no rows.
+    Slots number the rows of a shard from 0 without gaps, along the third key;
+    they are counted in blocks of it, so no task holds a shard or all rows that repeat. Rows equal in doc_id
+    and text are told apart by their place in the input, so a run over rows dealt otherwise may give
+    them, and the slots, to other rows. A NULL text counts as 8 bytes without a checksum. An empty table has no rows.
     `keep` may hold the text, which then moves with its row in that one exchange;
-    the columns size, text_crc32, k1, k2, shard, slot of the input are overwritten.
+    the columns size, text_crc32, k1, k2, k3, shard, slot of the input are overwritten.
     """
-    rows = cut(sized(docs, doc_id, text).select(*dict.fromkeys([*keep, "size", "text_crc32", "k1", "k2"])))
+    row_key = F.shiftrightunsigned(F.xxhash64(ROW, "k2"), 64 - KEY_BITS).alias("k3")
+    named = numbered(sized(docs, doc_id, text).select(*dict.fromkeys([*keep, "size", "text_crc32", "k1", "k2"])))
+    rows = cut(named.withColumn("k3", row_key).drop(ROW))
     placed = rows.withColumn("shard", shard_of(boundaries(rows, shards, tolerance)).cast("int"))
-    block = F.shiftright("k2", KEY_BITS - BLOCKS_LOG2)
-    slots = blocked_totals(placed, block, ["k2", "k1"], {"slot": F.lit(1).cast("long")}, ["shard"])
-    return slots.withColumn("slot", F.col("slot") - 1).drop("k1", "k2")
+    block = F.shiftright("k3", KEY_BITS - BLOCKS_LOG2)
+    slots = blocked_totals(placed, block, ["k3", "k2"], {"slot": F.lit(1).cast("long")}, ["shard"])
+    return slots.withColumn("slot", F.col("slot") - 1).drop(*KEYS)
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
