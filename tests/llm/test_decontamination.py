@@ -77,6 +77,22 @@ def test_planted_edits(spark):
     assert D.decontaminate(df, bench.limit(0)).count() == len(docs)
 
 
+def test_items_that_repeat_side_by_side(spark):
+    random.seed(12)
+    vocab = [f"w{i}" for i in range(4000)]
+    text = lambda n: [random.choice(vocab) for _ in range(n)]
+    item = text(25)
+    other = lambda n: [f"between{i}" for i in range(n)]
+    changed = item[:9] + ["changed"] + item[10:]
+    docs = [(0, item * 3), (1, item + other(6) + item), (2, item + changed + item), (3, text(30) + changed + other(1) + changed + text(30)), (4, item * 40)]
+    df = spark.createDataFrame([(d, " ".join(t), "x") for d, t in docs], "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.edits) for r in D.digest(df, bench).collect())
+    want = [(0, 25 * i, 25 * i + 25, 0) for i in range(3)] + [(1, 0, 25, 0), (1, 31, 56, 0), (2, 0, 25, 0), (2, 25, 50, 1), (2, 50, 75, 0)]
+    want += [(3, 30, 55, 1), (3, 56, 81, 1)] + [(4, 25 * i, 25 * i + 25, 0) for i in range(40)]
+    assert got == want
+
+
 def test_all_documents_against_brute_force(spark):
     docs = [(r.doc_id, words(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

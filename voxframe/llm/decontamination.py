@@ -156,6 +156,7 @@ class Index:
         return windows[(self.embed(rows, self.sizes[item]) == self.samples[item]).any(axis=(1, 2))]
 
     def _checked(self, windows: np.ndarray, ids: np.ndarray, limits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Every place: the best one of each region of windows, then those left and right of it, until none is within the edits."""
         out, at = [], 0
         while at < len(windows):
             text, item, first = windows[at]
@@ -163,13 +164,17 @@ class Index:
             upto = at + 1
             while upto < len(windows) and (windows[upto, :2] == windows[at, :2]).all() and windows[upto, 2] <= windows[upto - 1, 2] + n:
                 upto += 1
-            begin = max(first - e, limits[text])
-            region = ids[begin:min(windows[upto - 1, 2] + n + e, limits[text + 1])].tolist()
-            edits, start, end = search(self.items[item].tolist(), region)
-            if edits <= e:
-                out.append((int(text), int(item), int(begin + start), int(begin + end), edits))
+            pattern, open_ = self.items[item].tolist(), [(max(first - e, limits[text]), min(windows[upto - 1, 2] + n + e, limits[text + 1]))]
+            while open_:
+                begin, stop = open_.pop()
+                if stop - begin < n - e:
+                    continue
+                edits, start, end = search(pattern, ids[begin:stop].tolist())
+                if edits <= e:
+                    out.append((int(text), int(item), int(begin + start), int(begin + end), edits))
+                    open_ += [(begin + end, stop), (begin, begin + start)]
             at = upto
-        return out
+        return sorted(out)
 
 
 def find_passages(
@@ -181,7 +186,7 @@ def find_passages(
     A hit is a place at most (1 - similarity) times the item's words away from it
     in word edits; words are compared without case and outer punctuation, and
     `start`, `end` count the words that are more than punctuation. Copies of an
-    item in one document that stand at least an item apart are hits of their own. The benchmark is taken in
+    item in one document are hits of their own, also where one follows the other at once; hits of an item do not overlap. The benchmark is taken in
     blocks of bounded size, each sent to all tasks, against all documents: one
     map for each block, no shuffle. Only windows that hold a piece of their item
     unchanged are embedded, which loses none within the edits allowed. NULL or empty texts and
