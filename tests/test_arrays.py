@@ -178,3 +178,10 @@ def test_packed_positions(spark):
     df = spark.createDataFrame([(1, 1, "b"), (0, 0, "c"), (1, 0, "a")], "example_pos long, tok_pos int, v string")
     got = {r.example_pos: [(p.tok_pos, p.v) for p in r.positions] for r in scores.pack_positions(df).collect()}
     assert got == {0: [(0, "c")], 1: [(0, "a"), (1, "b")]}
+
+
+def test_a_label_outside_of_the_scores_is_not_counted(spark):
+    rows = [([1.0, 2.0], [1.0, 3.0], 1), ([1.0, 2.0], [1.0, 3.0], 7), ([1.0, 2.0], [1.0, 3.0], -1), ([1.0, 2.0], [1.0, 3.0], None)]
+    df = spark.createDataFrame(rows, "teacher array<double>, student array<double>, label_id int")
+    alone = scores.loss_terms(df.limit(1), None, [1.0, 2.0]).collect()
+    assert scores.loss_terms(df, None, [1.0, 2.0]).collect() == alone and alone[0].positions == 1

@@ -220,14 +220,14 @@ def position_losses(
     The teacher comes as full scores, cut to its `k` best if given, or as stored `top`
     entries. One pass in double precision over the vocabulary for every width; the results
     are those of `cross_entropy`, `kl_full` and `kl_top_k`. A NaN or NULL score makes a loss
-    NaN that needs it; a missing array makes it NULL.
+    NaN that needs it; a missing array makes it NULL, and so does a label that is NULL or outside of the scores.
     """
 
     def losses(ids: np.ndarray | None, logits: np.ndarray | None, scores: np.ndarray | None, target: int) -> dict:
         if scores is None:
             return {"ce": None, "kl": None}
-        if not 0 <= target < len(scores):
-            raise ValueError(f"label {target} outside of {len(scores)} scores")
+        if target is None or not 0 <= target < len(scores):
+            return {"ce": None, "kl": None}
         ce, kl = _log_norm(scores) - scores[target], None
         if logits is not None and len(logits):
             held, kl = scores if ids is None else scores[ids], []

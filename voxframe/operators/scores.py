@@ -101,7 +101,7 @@ def loss_terms(
 
     `k` picks the top-K form, None the full vocabulary. All temperatures are
     computed in one pass over the scores of a position, and only partial sums
-    are shuffled.
+    are shuffled. A position whose label is outside of the student's scores has no loss and is not counted.
     """
     losses = A.position_losses(F.col("student"), F.col(label), temperatures, F.col("teacher"), k)
     return _means(df.where(A.is_scored(F.col(label))).select(losses.alias("l")).select("l.*"), temperatures)
@@ -124,7 +124,7 @@ def stored_loss_terms(
 
 def _means(per_position: DataFrame, temperatures: Sequence[float]) -> DataFrame:
     sums = per_position.agg(
-        F.count(F.lit(1)).alias("positions"),
+        F.count("ce").alias("positions"),
         F.sum("ce").alias("ce"),
         *[F.sum(F.col("kl")[i]).alias(f"kl_{i}") for i in range(len(temperatures))],
     )

@@ -366,8 +366,13 @@ FROM padded GROUP BY clip_id""",
     # scores and losses
     "topk_per_position": f"""WITH {VECTORS}, {RANKED}
 SELECT example_pos, tok_pos, rank, token_id, round(logit, 6) AS logit FROM top""",
-    "topk_wide": f"""WITH {VECTORS}, {RANKED}
-SELECT example_pos, tok_pos, rank, token_id, round(logit, 6) AS logit FROM top""",
+    "topk_wide": f"""WITH {VECTORS},
+wide AS (
+  SELECT vec_id, example_pos, tok_pos, CAST(i * 64 + token_id AS INTEGER) AS token_id, logit - i / 4.0::DOUBLE AS logit
+  FROM teacher, (SELECT unnest(range(20)) AS i)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) AS INTEGER) AS rank FROM wide)
+SELECT example_pos, tok_pos, rank, token_id, round(logit, 6) AS logit FROM ranked WHERE rank <= 100""",
     "topk_long": f"""WITH {VECTORS}, {RANKED}
 SELECT example_pos, tok_pos, rank, token_id, round(logit, 6) AS logit FROM top""",
     "softmax_t": f"""WITH {VECTORS}
