@@ -3,13 +3,15 @@
 The filter holds n-grams of all training texts with quantised counts: an n-gram of
 level q is put in together with each of the levels 1 to q. A count is read by asking
 for level after level until one is missing, so the filter never says less than
-the true level, and rarely more. It is built in pieces by hash range, sent to all tasks,
-and its size has a fixed bound.
+the true level, and rarely more. It is built in pieces by hash range, each as large as its entries
+need for the stated error, and sent to all tasks. Where all pairs would make more than MAX_BITS, they
+are dealt into groups by their first word, and one group's filter after the other is sent and asked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,13 @@ from voxframe.llm.words import Words, hashed, mixed
 END, START = 0xE5D0E5D0E5D0E5D1, 0x57A757A757A757A7
 BASE = 1.5
 LEVELS = 64
-PROBES = 3
-PIECES_LOG2 = 10
-BITS_LOG2 = (18, 30)  # least and most bits of the filter: at most 128 MB
+PROBES = 4
+ERROR = 0.01  # share of (n-gram, level) never put in that read as put in
+BITS_PER_ENTRY = PROBES / -np.log(1 - ERROR ** (1 / PROBES))
+MAX_BITS = 1 << 31  # of one group's pairs: 256 MB
+PIECE_TOKENS = 1 << 21
+ENTRY = np.dtype([("k", "<u8"), ("n", "<i8")])
+SINGLE = -1  # the group of single tokens, which every pass needs
 COMMON = 1 << 17
 PRIOR = 4.0
 GATHER = 2_000_000
@@ -76,37 +82,47 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(apply, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def gather_ngrams(texts: DataFrame) -> DataFrame:
-    """(piece, packed): all single tokens and pairs with their counts, by range of the key's hash.
+def group_of(before: np.ndarray, groups: int) -> np.ndarray:
+    """The pass in which pairs that begin with a token are asked."""
+    return (mixed(before, 77) % np.uint64(groups)).astype(np.int64)
+
+
+def gather_ngrams(texts: DataFrame, groups: int, pieces_log2: int) -> DataFrame:
+    """(grp, piece, packed): all single tokens and pairs with their counts, by group and by range of the key's hash.
 
     Every Arrow batch sends one packed array of (key, count) for each piece, so that few
     large rows are shuffled; what is sent grows with the texts.
     """
 
-    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = _counted(parts)
-        pieces = (keys >> np.uint64(64 - PIECES_LOG2)).astype(np.int64)
-        names, begins = np.unique(pieces, return_index=True)
-        rows = np.empty(len(keys), dtype=[("k", "<u8"), ("n", "<u4")])
-        rows["k"], rows["n"] = keys, n
-        values = [part.tobytes() for part in np.split(rows, begins[1:])] if len(keys) else []
-        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(values, pa.binary())], ["piece", "packed"])
+    def packed(singles: list[np.ndarray], pairs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        out = []
+        keys, group = np.concatenate([np.zeros(0, np.uint64), *pairs]), np.concatenate([np.zeros(0, np.int64), *owners])
+        for grp, part in [(SINGLE, np.concatenate([np.zeros(0, np.uint64), *singles])), *((g, keys[group == g] if groups > 1 else keys) for g in range(groups))]:
+            found, n = np.unique(part, return_counts=True)
+            names, begins = np.unique((found >> np.uint64(64 - pieces_log2)).astype(np.int64), return_index=True)
+            rows = np.empty(len(found), dtype=ENTRY)
+            rows["k"], rows["n"] = found, n
+            out += [(grp, int(p), r.tobytes()) for p, r in zip(names, np.split(rows, begins[1:]))]
+        columns = zip(*out) if out else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["grp", "piece", "packed"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, parts = Words(lambda new: [_ids(new)]), []
+        vocab, singles, pairs, owners = Words(lambda new: [_ids(new)]), [], [], []
         for batch in batches:
             for _, part in chunks(batch.column(0)):
                 places, _, first = _tokens(vocab, part)
                 tokens = np.where(places < 0, np.uint64(END), np.append(vocab.rows[0], np.uint64(0))[places])
                 before = np.where(first, np.uint64(START), np.roll(tokens, 1))
-                starts = np.full(len(part), START, dtype=np.uint64)
-                parts += [pair_keys(before, tokens), single_keys(tokens), single_keys(starts)]
-                if sum(map(len, parts)) > GATHER:
-                    yield packed(parts)
-                    parts = []
-        yield packed(parts)
+                singles += [single_keys(tokens), single_keys(np.full(len(part), START, dtype=np.uint64))]
+                pairs.append(pair_keys(before, tokens))
+                if groups > 1:
+                    owners.append(group_of(before, groups))
+                if sum(map(len, pairs)) > GATHER:
+                    yield packed(singles, pairs, owners)
+                    singles, pairs, owners = [], [], []
+        yield packed(singles, pairs, owners)
 
-    return texts.select("text").mapInArrow(apply, "piece int, packed binary")
+    return texts.select("text").mapInArrow(apply, "grp int, piece int, packed binary")
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -121,61 +137,101 @@ _MEANS = np.array([0.0] + [
 ])
 
 
-def _places(keys: np.ndarray, level: np.ndarray | int, probe: int, bits_log2: int) -> np.ndarray:
-    """Bit of (key, level) for a probe; it lies in the piece of the key's highest bits."""
-    inside = bits_log2 - PIECES_LOG2
-    low = mixed(keys + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, dtype=np.uint64), 31 + probe) >> np.uint64(64 - inside)
-    return ((keys >> np.uint64(64 - PIECES_LOG2)) << np.uint64(inside) | low).astype(np.int64)
+def bit_of(keys: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
+    """Bit of (key, level) for a probe, within a piece of `size` bits."""
+    low = mixed(keys + np.uint64(0x9E3779B97F4A7C15 * level & (1 << 64) - 1), 31 + probe) >> np.uint64(32)
+    return (low * size >> np.uint64(32)).astype(np.int64)
 
 
-def build_filter(ngrams: DataFrame, bits_log2: int) -> np.ndarray:
-    """The filter's bytes. Each piece is made in a task from all its counts; only pieces reach the driver, 2^bits_log2 bits in all."""
-    inside = bits_log2 - PIECES_LOG2
+class Filter:
+    """Bits of (key, level) in pieces by the key's highest bits; `sizes` are the bits of each piece."""
 
-    def made(piece: int, packed: list[bytes]) -> bytes:
-        rows = np.frombuffer(b"".join(packed), dtype=[("k", "<u8"), ("n", "<u4")])
-        order = np.argsort(rows["k"], kind="stable")
-        keys, begins = np.unique(rows["k"][order], return_index=True)
-        levels = level_of(np.add.reduceat(rows["n"][order].astype(np.int64), begins))
-        table = np.zeros(1 << inside, dtype=bool)
-        for q in range(1, int(levels.max()) + 1):
-            kept = keys[levels >= q]
+    def __init__(self, sizes: np.ndarray, pieces_log2: int):
+        self.sizes, self.pieces_log2 = sizes.astype(np.uint64), pieces_log2
+        self.firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        self.table = np.zeros(int(sizes.sum()) // 8, dtype=np.uint8)
+
+    def read_counts(self, keys: np.ndarray) -> np.ndarray:
+        """Estimated count of each key, 0 if it is not in the filter."""
+        levels = np.zeros(len(keys), dtype=np.int64)
+        alive = np.arange(len(keys))
+        piece = (keys >> np.uint64(64 - self.pieces_log2)).astype(np.int64)
+        first, size = self.firsts[piece], self.sizes[piece]
+        for q in range(1, LEVELS + 1):
             for probe in range(PROBES):
-                table[_places(kept, q, probe, bits_log2) - (piece << inside)] = True
-        return np.packbits(table, bitorder="little").tobytes()
+                at = first[alive] + bit_of(keys[alive], q, probe, size[alive])
+                alive = alive[(self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            if not len(alive):
+                break
+            levels[alive] = q
+        return _MEANS[levels]
+
+
+def merge_counts(ngrams: DataFrame) -> DataFrame:
+    """(grp, piece, entries, keys, levels): the distinct n-grams of each piece with the level of their whole count, stored.
+
+    A task takes one piece after the other, and adds up what it holds of one whenever that has grown to PIECE_TOKENS.
+    """
+
+    def added(held: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["k"], kind="stable")]
+        keys, begins = np.unique(rows["k"], return_index=True)
+        out = np.empty(len(keys), dtype=ENTRY)
+        out["k"], out["n"] = keys, np.add.reduceat(rows["n"], begins)
+        return out
+
+    def whole(at: tuple[int, int], held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = added(held)
+        levels = level_of(rows["n"])
+        values = [at[0], at[1], int(levels.sum()), rows["k"].tobytes(), levels.astype(np.uint8).tobytes()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["grp", "piece", "entries", "keys", "levels"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, packed = None, []
+        last, held, size = None, [], 0
         for batch in batches:
-            for p, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if p != piece and packed:
-                    yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "bits": [made(piece, packed)]})
-                    packed = []
-                piece = p
-                packed.append(rows)
-        if packed:
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "bits": [made(piece, packed)]})
-
-    tables = ngrams.repartition("piece").sortWithinPartitions("piece").mapInArrow(apply, "piece int, bits binary")
-    out = np.zeros(1 << (bits_log2 - 3), dtype=np.uint8)
-    size = 1 << (inside - 3)
-    for r in tables.toLocalIterator():
-        out[r.piece * size:(r.piece + 1) * size] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out
+            for grp, piece, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (grp, piece) != last and held:
+                    yield whole(last, held)
+                    held, size = [], 0
+                last = (grp, piece)
+                held.append(np.frombuffer(rows, dtype=ENTRY))
+                size += len(held[-1])
+                if size > PIECE_TOKENS and len(held) > 1:
+                    held = [added(held)]
+                    size = len(held[0]) // 2
+        if held:
+            yield whole(last, held)
+
+    sorted_ = ngrams.repartition("grp", "piece").sortWithinPartitions("grp", "piece")
+    return cut(sorted_.mapInArrow(apply, "grp int, piece int, entries long, keys binary, levels binary"))
+
+
+def build_filter(merged: DataFrame, group: int, pieces_log2: int) -> Filter:
+    """One group's filter. Each piece is made in a task, with BITS_PER_ENTRY bits for each of its entries; only pieces reach the driver."""
+    rows = merged.where(F.col("grp") == group)
+    sizes = np.full(1 << pieces_log2, 64, dtype=np.int64)
+    for r in rows.select("piece", "entries").toLocalIterator():
+        sizes[r.piece] = 64 * -(-int(r.entries * BITS_PER_ENTRY) // 64)
+    out = Filter(sizes, pieces_log2)
 
-
-def read_counts(table: np.ndarray, keys: np.ndarray, bits_log2: int) -> np.ndarray:
-    """Estimated count of each key, 0 if it is not in the filter."""
-    levels = np.zeros(len(keys), dtype=np.int64)
-    alive = np.arange(len(keys))
-    for q in range(1, LEVELS + 1):
-        for probe in range(PROBES):
-            at = _places(keys[alive], q, probe, bits_log2)
-            alive = alive[(table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-        if not len(alive):
-            break
-        levels[alive] = q
-    return _MEANS[levels]
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, keys, levels in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                keys, levels = np.frombuffer(keys, dtype="<u8"), np.frombuffer(levels, dtype=np.uint8)
+                bits = np.zeros(sizes[piece], dtype=bool)
+                for q in range(1, int(levels.max()) + 1):
+                    kept = keys[levels >= q]
+                    for probe in range(PROBES):
+                        bits[bit_of(kept, q, probe, np.uint64(len(bits)))] = True
+                packed = np.packbits(bits, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "bits": [packed]})
+
+    for r in rows.select("piece", "keys", "levels").mapInArrow(apply, "piece int, bits binary").toLocalIterator():
+        at = out.firsts[r.piece] // 8
+        out.table[at:at + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 1) -> Column:
@@ -190,60 +246,74 @@ def score_documents(docs: DataFrame, held: Column, common: int = COMMON, doc_id:
     to all tasks, the few tokens that are none of them are joined with all counts.
     `score` is log10 of the filter's model: a pair's count over its first token's count,
     smoothed by PRIOR tokens of the single-token model, all counts read from the
-    filter. The filter has 2 bits or more for each training token up to its
-    bound; above that its error grows, not its size. NULL texts count as
+    filters. They have room for all entries at ERROR false reads, whatever the size of the corpus: single tokens
+    in one filter, pairs in as many groups as MAX_BITS asks for, each with a pass over the texts
+    that adds what its pairs give. NULL texts count as
     empty (one end). Without training rows every count is 0, train_tokens too.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("text"))
     learn = rows.where(~F.col("held_out"))
     counts = cut(count_tokens(learn))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    bits_log2 = int(np.clip(np.ceil(np.log2(max(2 * total, 2))), *BITS_LOG2))
-    filter_bits = build_filter(gather_ngrams(learn), bits_log2)
+    pieces_log2 = int(np.clip(np.ceil(np.log2(max(total, 1) / PIECE_TOKENS)), 4, 24))
+    groups = 1 + int(total * BITS_PER_ENTRY) // MAX_BITS  # the levels of a pair are at most its count, so entries are at most tokens
+    merged = merge_counts(gather_ngrams(learn, groups, pieces_log2))
+    singles = build_filter(merged, SINGLE, pieces_log2)
     top = counts.orderBy(F.col("n").desc(), "token").limit(common).toArrow()
     tokens = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     tokens, numbers = tokens[order], top.column("n").to_numpy()[order]
     whole = total + 0.5 * (distinct + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((filter_bits, tokens, numbers))
-
-    def make():
-        table, tokens, numbers = shared.value
-
-        def looked_up(ids: np.ndarray) -> list[np.ndarray]:
-            at = np.minimum(np.searchsorted(tokens, ids), max(len(tokens) - 1, 0))
-            is_common = tokens[at] == ids if len(tokens) else np.zeros(len(ids), dtype=bool)
-            exact = np.where(is_common, numbers[at] if len(tokens) else 0, 0)
-            return [ids, is_common, np.log10((exact + 0.5) / whole), read_counts(table, single_keys(ids), bits_log2)]
-
-        end = looked_up(np.array([END], dtype=np.uint64))
-        start_count = read_counts(table, single_keys(np.array([START], dtype=np.uint64)), bits_log2)[0]
-        vocab = Words(lambda new: looked_up(_ids(new)))
-
-        def score(texts: list[bytes]) -> dict:
-            places, text_of, first = _tokens(vocab, texts)
-            ids, known, base, count = (np.append(r, e)[places] for r, e in zip(vocab.rows, end))
-            before = np.where(first, np.uint64(START), np.roll(ids, 1))
-            context = np.where(first, start_count, np.roll(count, 1))
-            pair = np.minimum(read_counts(table, pair_keys(before, ids), bits_log2), context)
-            single = np.minimum((count + 0.5) / whole, 1.0)
-            model = np.log10((pair + PRIOR * single) / (context + PRIOR))
-            n = len(texts)
-            rest = np.flatnonzero(~known)
-            ends = np.searchsorted(text_of[rest], np.arange(n + 1))
-            return {
-                "n_tokens": np.bincount(text_of, minlength=n), "n_common": np.bincount(text_of, known, n).astype(np.int64),
-                "base_common": np.bincount(text_of, np.where(known, base, 0.0), n), "score": np.bincount(text_of, model, n),
-                "rest": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[rest].view(np.int64))),
-            }
-
-        return score
-
-    scored = map_texts(
-        rows, "text", ["doc_id", "held_out"], make,
-        "n_tokens long, n_common long, base_common double, score double, rest array<long>",
-    )
-    scored = cut(numbered(scored))
+    numbered_rows = numbered(rows) if groups == 1 else cut(numbered(rows))
+
+    def scored_pass(group: int) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast((build_filter(merged, group, pieces_log2), singles, tokens, numbers))
+
+        def make():
+            pairs, singles, tokens, numbers = shared.value
+
+            def looked_up(ids: np.ndarray) -> list[np.ndarray]:
+                at = np.minimum(np.searchsorted(tokens, ids), max(len(tokens) - 1, 0))
+                is_common = tokens[at] == ids if len(tokens) else np.zeros(len(ids), dtype=bool)
+                exact = np.where(is_common, numbers[at] if len(tokens) else 0, 0)
+                return [ids, is_common, np.log10((exact + 0.5) / whole), singles.read_counts(single_keys(ids))]
+
+            end = looked_up(np.array([END], dtype=np.uint64))
+            start_count = singles.read_counts(single_keys(np.array([START], dtype=np.uint64)))[0]
+            vocab = Words(lambda new: looked_up(_ids(new)))
+
+            def score(texts: list[bytes]) -> dict:
+                places, text_of, first = _tokens(vocab, texts)
+                ids, known, base, count = (np.append(r, e)[places] for r, e in zip(vocab.rows, end))
+                before = np.where(first, np.uint64(START), np.roll(ids, 1))
+                context = np.where(first, start_count, np.roll(count, 1))
+                n = len(texts)
+                mine = group_of(before, groups) == group if groups > 1 else np.ones(len(ids), dtype=bool)
+                pair = np.minimum(pairs.read_counts(pair_keys(before[mine], ids[mine])), context[mine])
+                single = np.minimum((count[mine] + 0.5) / whole, 1.0)
+                model = np.log10((pair + PRIOR * single) / (context[mine] + PRIOR))
+                part = {"score": np.bincount(text_of[mine], model, n)}
+                if group:
+                    return part
+                rest = np.flatnonzero(~known)
+                ends = np.searchsorted(text_of[rest], np.arange(n + 1))
+                return {
+                    **part, "n_tokens": np.bincount(text_of, minlength=n), "n_common": np.bincount(text_of, known, n).astype(np.int64),
+                    "base_common": np.bincount(text_of, np.where(known, base, 0.0), n),
+                    "rest": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[rest].view(np.int64))),
+                }
+
+            return score
+
+        more = "" if group else ", n_tokens long, n_common long, base_common double, rest array<long>"
+        out = cut(map_texts(numbered_rows, "text", [ROW] if group else [ROW, "doc_id", "held_out"], make, "score double" + more))
+        shared.destroy()
+        return out
+
+    scored, *others = [scored_pass(g) for g in range(groups)]
+    if others:
+        added = reduce(DataFrame.unionByName, others).groupBy(ROW).agg(F.sum("score").alias("more"))
+        scored = scored.join(added, ROW).withColumn("score", F.col("score") + F.col("more")).drop("more")
     log = lambda n: F.log10((n + F.lit(0.5)) / F.lit(float(whole)))
     rare = scored.select(ROW, F.explode("rest").alias("token")).groupBy(ROW, "token").agg(F.count(F.lit(1)).alias("times"))
     n = F.coalesce("n", F.lit(0))
