@@ -19,6 +19,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 PASSES = 2
 SEED = 17
+LEVEL = 256
 SLICES = 1 << 16
 
 
@@ -69,13 +70,13 @@ def last_time(timed: DataFrame, budget: float = BUDGET, passes: int = PASSES) ->
     """The latest finish time up to which no more than the budget is taken; equal times go together.
 
     Words are summed by time and by slices of the time first; the running sum
-    goes over the times of a slice.
+    goes over the times of a slice, and over the slices in groups of LEVEL.
     """
     sizes = (
         timed.select("size", F.explode("finish").alias("t")).where("t IS NOT NULL AND size > 0")
         .groupBy("t").agg(F.sum("size").alias("size"))
     )
-    run = blocked_totals(sizes, F.floor(F.col("t") * SLICES), ["t"], {"upto": F.col("size")})
+    run = blocked_totals(sizes, F.floor(F.col("t") * SLICES), ["t"], {"upto": F.col("size")}, levels=[LEVEL])
     total = timed.agg(F.sum("size")).first()[0] or 0
     return run.where(F.col("upto") <= budget * total).agg(F.max("t")).first()[0]
 
