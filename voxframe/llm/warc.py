@@ -19,7 +19,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import ROW, cut, numbered, scratch
+from voxframe.llm.common import cut, scratch
 
 MIN_BYTES = 100
 FILE_BYTES = 256 << 20
@@ -49,25 +49,36 @@ def shared_files(path: str) -> tuple[FileSystem, str]:
 
 
 def classified(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int) -> DataFrame:
-    """(ROW, page_id, url, payload, digest, target, refers_to): the pages, and for revisits the row they refer to.
+    """(page_id, url, payload, digest, bytes, refers_to, revisit): one row for each record to write.
 
-    Of equal payloads of at least `min_bytes` bytes the one with the smallest page_id (NULL last, then
-    the first row) is the response. Groups of copies are pre-aggregated in SALTS pieces, and their rows join the
-    result piece by piece, so a group of any share is spread over SALTS tasks.
+    Of equal payloads of at least `min_bytes` bytes the page with the smallest page_id (NULL last, then by url)
+    is the response; smaller payloads are all responses. Payloads are moved once, by an aggregate that keeps
+    the first page of each digest and so combines copies before the shuffle. Revisits need no payload:
+    they are counted by (digest, page, url), and those of a digest meet its first page in SALTS pieces.
     """
     body = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    rows = cut(numbered(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
-                                     body.alias("payload"))).withColumn("digest", F.sha2("payload", 256)))
-    salt = F.pmod(F.xxhash64(ROW), F.lit(SALTS)).alias("salt")
-    long = rows.where(F.octet_length("payload") >= min_bytes).select("digest", salt, ROW, "page_id")
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", ROW))
-    pieces = cut(long.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n"), first.alias("first")))
-    groups = pieces.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
-    found = pieces.select("digest", "salt").join(groups, "digest").select(
-        "digest", "salt", F.col(f"first.{ROW}").alias("target"), F.col("first.page_id").alias("refers_to")
+    named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
+    rows = named.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    order = [F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("url").isNull().alias("bare"), F.col("url")]
+    long = rows.where(F.col("bytes") >= min_bytes)
+    firsts = long.groupBy("digest").agg(F.min(F.struct(*order, "payload", "bytes")).alias("f"))
+    none = [F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit")]
+    shown = ["page_id", "url", "payload", "digest", "bytes", "refers_to", "revisit"]
+    responses = firsts.select("f.page_id", "f.url", "f.payload", "digest", "f.bytes", *none)
+    small = rows.where(F.col("bytes") < min_bytes).select("page_id", "url", "payload", "digest", "bytes", *none)
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt")
+    groups = cut(long.groupBy("digest", "bytes", "page_id", "url", salt).agg(F.count(F.lit(1)).alias("n")))
+    pieces = groups.groupBy("digest", "salt").agg(F.sum("n").alias("n"), F.min(F.struct(*order)).alias("f"))
+    copied = pieces.groupBy("digest").agg(F.sum("n").alias("all"), F.min("f").alias("f")).where(F.col("all") > 1)
+    met = pieces.select("digest", "salt").join(copied, "digest")
+    is_first = F.col("page_id").eqNullSafe(F.col("f.page_id")) & F.col("url").eqNullSafe(F.col("f.url"))
+    left = F.col("n") - is_first.cast("long")
+    revisits = (
+        groups.join(met, ["digest", "salt"]).withColumn("left", left).where("left > 0")
+        .select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "bytes", F.col("f.page_id").alias("refers_to"),
+                F.lit(True).alias("revisit"), F.explode(F.sequence(F.lit(1), "left")))
     )
-    revisits = long.join(found, ["digest", "salt"]).where(F.col(ROW) != F.col("target")).select(ROW, "target", "refers_to")
-    return rows.join(revisits, ROW, "left")
+    return responses.unionByName(small).unionByName(revisits.select(shown))
 
 
 def _head(lines: list[tuple[str, object]], first: bytes = VERSION) -> bytes:
@@ -80,21 +91,24 @@ def _uri(url: bytes | None) -> bytes | None:
     return None if url is None else re.sub(rb"[\x00-\x20\x7F]", lambda m: b"%%%02X" % m[0][0], url)
 
 
-def record(row: dict, space: uuid.UUID, date: str = DATE) -> tuple[bytes, bytes | None, str]:
-    """(whole record, URL, type) of one page: an HTTP answer with its payload, or a revisit without one."""
-    revisit = row["target"] is not None
-    kind, payload = ("revisit", b"") if revisit else ("response", row["payload"])
-    named = lambda n: f"<{uuid.uuid5(space, str(n)).urn}>"
-    answer = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(row["payload"]))]
+def record(row: dict, space: uuid.UUID, min_bytes: int = MIN_BYTES, date: str = DATE) -> tuple[bytes, bytes | None, str]:
+    """(whole record, URL, type) of one page: an HTTP answer with its payload, or a revisit without one.
+
+    The id of a response that others may refer to follows from its digest.
+    """
+    kind, payload = ("revisit", b"") if row["revisit"] else ("response", row["payload"])
+    shared = f"<{uuid.uuid5(space, row['digest']).urn}>"
+    own = shared if kind == "response" and row["bytes"] >= min_bytes else f"<{uuid.uuid4().urn}>"
+    answer = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", row["bytes"])]
     block = _head(answer, b"HTTP/1.1 200 OK") + payload
     url = _uri(row["url"])
     lines = [
-        ("WARC-Type", kind), ("WARC-Record-ID", named(row[ROW])), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("X-Page-ID", row["page_id"]),
         ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(block)),
     ]
-    if revisit:
-        lines += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", named(row["target"])), ("X-Refers-To-Page-ID", row["refers_to"])]
+    if kind == "revisit":
+        lines += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", shared), ("X-Refers-To-Page-ID", row["refers_to"])]
     return _head(lines) + block + b"\r\n\r\n", url, kind
 
 
@@ -112,8 +126,10 @@ def parse(data: bytes) -> tuple[dict[str, bytes], bytes]:
     return headers, rest[:size]
 
 
-def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
-    """Write every row as a record below `folder`; returns the index, a stored table.
+def write_archives(
+    rows: DataFrame, folder: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE
+) -> DataFrame:
+    """Write every row of `classified` as a record below `folder`; returns the index, a stored table.
 
     A task begins a new archive after `file_bytes`. Each archive starts with a `warcinfo` record, which the index leaves out.
     """
@@ -139,7 +155,7 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES, d
                         start = gzip.compress(_head(info) + about + b"\r\n\r\n", LEVEL, mtime=0)
                         out.write(start)
                         at = len(start)
-                    whole, url, kind = record(row, space, date)
+                    whole, url, kind = record(row, space, min_bytes, date)
                     member = gzip.compress(whole, LEVEL, mtime=0)
                     out.write(member)
                     made.append((f"{folder}/{name}", at, len(member), url, row["digest"], kind, row["page_id"]))
@@ -154,8 +170,7 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES, d
             if out is not None:
                 out.close()
 
-    narrow = rows.select(ROW, "page_id", F.col("url").cast("binary").alias("url"), "payload", "digest", "target", "refers_to")
-    return cut(narrow.mapInArrow(apply, INDEX_SCHEMA))
+    return cut(rows.withColumn("url", F.col("url").cast("binary")).mapInArrow(apply, INDEX_SCHEMA))
 
 
 def ranges(places: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = READ_BYTES) -> Iterator[tuple[int, int, list[int]]]:
@@ -233,7 +248,7 @@ def archive(
 ) -> DataFrame:
     """Write all pages to archives below `folder` (a new one in the shared scratch folder if not given); returns the index."""
     folder = folder or f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return write_archives(classified(pages, page_id, url, html, min_bytes), folder)
+    return write_archives(classified(pages, page_id, url, html, min_bytes), folder, min_bytes)
 
 
 def digest(pages: DataFrame) -> DataFrame:
