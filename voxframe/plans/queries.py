@@ -347,7 +347,8 @@ def topk_per_position(spark, sf):
 def topk_wide(spark, sf):
     """The 100 best of 1,280 scores: twenty copies of the teacher's, each a quarter lower than the one before."""
     copies = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.transform("teacher", lambda v: v - i / 4.0))
-    top = scores.top_k_per_position(V.teacher_positions(spark, sf).withColumn("teacher", F.flatten(copies)), 100)
+    wide = kept(V.teacher_positions(spark, sf).withColumn("teacher", F.flatten(copies)), "wide-scores")
+    top = scores.top_k_per_position(wide, 100)
     return scores.explode_top(top).withColumn("logit", r6("logit"))
 
 
