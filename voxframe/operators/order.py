@@ -20,7 +20,6 @@ from voxframe.session import whole_div
 BLOCK = 1 << 20
 # Rows of a window over blocks, at most
 WINDOW = 1 << 22
-SPREAD = 1 << 10
 _BLOCK, _HEAD, _FINE = "__block", "__head", "__fine"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -113,14 +112,22 @@ def with_position(
 ) -> DataFrame:
     """Stream position from 0 over all rows, the invalid ones included; a row without `order` has none.
 
-    Rows are moved once, to the others of their block. Rows with a NULL are dealt over blocks of their own.
+    Only the ordering column is numbered, the rows themselves (texts, samples) join their position by it, so no
+    sort holds more than keys. The keys are dealt by block once; block counts and numbers inside the blocks both come
+    from that one exchange, and the counts of the blocks before are added by a join on the block.
     """
-    counted = F.col(order).isNotNull()
-    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
-    cell = F.when(counted, whole_div(F.col(order), block)).otherwise(dealt)
-    one = F.when(counted, F.lit(1).cast("long"))
-    placed = blocked_totals(df, cell, [order], {name: one}, (), level_widths(block))
-    return placed.withColumn(name, F.when(counted, F.col(name) - 1))
+    # a block that can't be NULL, or the join would filter one reader of the exchange and not the other
+    cell = F.coalesce(whole_div(F.col(order), block), F.lit(0).cast("long"))
+    keys = df.select(order).where(F.col(order).isNotNull()).withColumn(_BLOCK, cell)
+    within = F.row_number().over(Window.partitionBy(_BLOCK).orderBy(order))
+    placed = keys.repartition(_BLOCK).withColumn(name, within)
+    sizes = placed.groupBy(_BLOCK).agg(F.max(name).alias("__before"))  # of the same columns, so the exchange is reused
+    starts = _sums_before(sizes, [], ["__before"], level_widths(block))
+    at = (F.col(name) - 1 + F.coalesce("__before", F.lit(0))).alias(name)
+    numbered = placed.join(starts, _BLOCK).select(order, at)
+    if df.columns != [order]:
+        return df.join(numbered, order, "left")
+    return numbered.unionByName(df.where(F.col(order).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
 def shuffle_bounded(
