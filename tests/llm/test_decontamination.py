@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from voxframe.llm import decontamination as D
 from voxframe.llm.queries import QUERIES
 from voxframe.llm.words import normal
@@ -77,6 +79,23 @@ def test_planted_edits(spark):
     assert D.decontaminate(df, bench.limit(0)).count() == len(docs)
 
 
+def test_recall_of_the_samples_alone():
+    """Without the pieces: some window within the allowed shifts shares a sample with its item."""
+    random.seed(5)
+    index = D.Index([(i, " ".join(f"w{random.randrange(4000)}" for _ in range(random.choice([8, 15, 25, 40, 59])))) for i in range(150)])
+    other = lambda n: [random.getrandbits(63) for _ in range(n)]
+    met = 0
+    for item, n, edits, samples in zip(index.items, index.sizes.tolist(), index.edits.tolist(), index.samples):
+        passage = list(item)
+        for _ in range(edits):
+            at, what = random.randrange(len(passage)), random.choice("sid")
+            passage[at:at + (what != "i")] = [] if what == "d" else other(1)
+        line = np.array(other(20) + passage + other(100), dtype=np.uint64)
+        windows = np.stack([line[20 + s:20 + s + n] for s in range(-edits, edits + 1)])
+        met += bool((index.embed(windows, np.full(len(windows), n)) == samples).any())
+    assert met >= 0.99 * 150
+
+
 def test_items_that_repeat_side_by_side(spark):
     random.seed(12)
     vocab = [f"w{i}" for i in range(4000)]
