@@ -6,6 +6,7 @@ import compare
 import numpy as np
 
 from voxframe.llm import vectors as V
+from voxframe.llm.common import cut
 from voxframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -55,23 +56,47 @@ def test_cases(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(rows)
     assert sum(r[1] for r in want) > 300
-    for group, leaf, tile in ((4000, 256, 20_000), (60, 16, 20_000), (60, 16, 30)):
-        monkeypatch.setattr(V, "GROUP_ROWS", group)
-        monkeypatch.setattr(V, "LEAF", leaf)
-        monkeypatch.setattr(V, "TILE", tile)
+    for leaf, fit, tile, pairs in ((1000, 16, 8192, 1 << 20), (20, 4, 8192, 1 << 20), (20, 4, 7, 1 << 20), (1000, 16, 30, 50)):
+        for name, value in (("LEAF_ROWS", leaf), ("FIT_LEAF", fit), ("TILE", tile), ("PAIRS", pairs)):
+            monkeypatch.setattr(V, name, value)
         got = sorted(map(tuple, V.near_duplicates(df).collect()), key=str)
         assert got == want
     assert V.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_recall_of_deep_trees():
-    rows = np.array([r[1] for r in some_rows(6000)[:6000]])
-    i, j = V.pairs_between(rows, rows, 0.98)
-    want = set(zip(i[i < j].tolist(), j[i < j].tolist()))
-    got = set()
-    for tree in range(V.TREES):
-        got |= set(map(tuple, V.near_in_tree(rows, 0.98, [1, tree], leaf=32).tolist()))
-    assert got <= want and len(got) >= 0.999 * len(want)
+def test_links_of_deep_trees(spark, monkeypatch):
+    """Small leaves, spill and five trees lose hardly a link, and none is counted twice."""
+    rows = [(r[0], r[1], 0, "x", 1) for r in some_rows(1200)[:1200]]
+    want = {r[0]: r[1] for r in brute(rows)}
+    monkeypatch.setattr(V, "LEAF_ROWS", 40)
+    got = {r.vec_id: r.n_links for r in V.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_a_crowded_group_gives_no_pairs(spark, monkeypatch):
+    """Near, but unequal vectors: all are links of each other; rows that leave the leaves grow with the vectors."""
+    random = np.random.default_rng(7)
+    centre = random.standard_normal(32)
+    rows = [(i, (centre + 0.02 * random.standard_normal(32)).tolist(), 0, "x", 1) for i in range(1500)]
+    monkeypatch.setattr(V, "LEAF_ROWS", 100)
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = []
+    monkeypatch.setattr(V, "cut", lambda d: made.append(cut(d)) or made[-1])
+    got = V.near_duplicates(df).collect()
+    assert all((r.n_links, r.component_id) == (1499, 0) for r in got)
+    given = [d for d in made if d.columns == ["a", "b", "n"]]
+    assert len(given) == 1 and given[0].count() <= 2 * 1500 * 60
+    assert given[0].where("b IS NOT NULL").count() <= 1500 * V.TREES
+
+
+def test_earlier_leaves():
+    random = np.random.default_rng(2)
+    lists = [np.unique(random.integers(0, 300, 12)) for _ in range(80)]
+    bits = V.earlier_leaves(lists, 150)
+    for i in range(80):
+        for j in range(i):
+            assert bool((bits[i] & bits[j]).any()) == bool([x for x in set(lists[i]) & set(lists[j]) if x < 150])
 
 
 def test_query(spark):

@@ -4,10 +4,16 @@ A tree splits the vectors again and again at the median of a random projection;
 vectors near the cut go to both sides (spill). Near vectors rarely part, and with
 several trees hardly ever in all of them. Vectors are compared within leaves,
 pairs are verified in double precision, and links are united.
+
+Every vector carries the list of its leaves, so a pair counts only in the first leaf that both
+share. A leaf gives the number of links of each of its vectors and the edges of a spanning forest of its
+links, never the pairs themselves: what it gives grows with its vectors, however many of them are near.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,12 +23,13 @@ from voxframe.llm.common import components, cut
 
 COSINE = 0.98
 TREES = 5
-LEAF = 256
-GROUP_ROWS = 4_000
-TOP_DEPTH = 12
-FIT_ROWS = 16_384
+LEAF_ROWS = 1_000
+FIT_ROWS = 131_072
+FIT_LEAF = 16
 SPILL = 1.0
-TILE = 20_000
+TILE = 8_192
+STEP = 512
+PAIRS = 1 << 20
 SEED = 20
 
 
@@ -35,7 +42,7 @@ def margin(cosine: float, dim: int) -> float:
 
 
 class Top:
-    """The first levels of a tree, fitted on a bounded sample of unit vectors: 2^depth - 1 directions and medians."""
+    """A tree, fitted on a bounded sample of unit vectors: 2^depth - 1 directions and medians."""
 
     def __init__(self, sample: np.ndarray, depth: int, tree: int, spill: float):
         self.depth, self.spill = depth, spill
@@ -66,99 +73,125 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def pairs_between(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs with that cosine or more, by double precision, in blocks."""
-    left, right = [], []
+def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs with that cosine or more, by double precision; at most PAIRS pairs and STEP rows of `a` at once."""
     ua, ub = unit_rows(a), unit_rows(b)
-    for at in range(0, len(a), 1024):
-        i, j = np.nonzero(ua[at:at + 1024] @ ub.T >= cosine - 1e-9)
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    step = max(1, min(STEP, PAIRS // max(len(b), 1)))
+    for at in range(0, len(a), step):
+        i, j = np.nonzero(ua[at:at + step] @ ub.T >= cosine - 1e-9)
         i += at
-        exact = np.einsum("ij,ij->i", a[i], b[j]) / (np.linalg.norm(a[i], axis=1) * np.linalg.norm(b[j], axis=1))
-        left.append(i[exact >= cosine])
-        right.append(j[exact >= cosine])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def near_in_tree(vectors: np.ndarray, cosine: float, seed: list[int], leaf: int = LEAF) -> np.ndarray:
-    """Distinct pairs i < j found in the leaves of a tree grown down from here.
-
-    A node that spill keeps from shrinking is a leaf: then its vectors lie so close
-    that nearly all of them are links anyway.
+        near = np.einsum("ij,ij->i", a[i], b[j]) / (na[i] * nb[j]) >= cosine
+        yield i[near], j[near]
+
+
+def earlier_leaves(lists: list[np.ndarray], leaf: int) -> np.ndarray:
+    """Bits of the leaves before `leaf` that two rows or more hold, one line of 64-bit words for each row."""
+    sizes = np.array([len(x) for x in lists])
+    row, held = np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.zeros(0, dtype=np.int64), *lists])
+    row, held = row[held < leaf], held[held < leaf]
+    names, place, count = np.unique(held, return_inverse=True, return_counts=True)
+    bit = np.cumsum(count > 1) - 1
+    shared = count[place] > 1
+    row, bit = row[shared], bit[place[shared]]
+    out = np.zeros((len(lists), -(-int((count > 1).sum()) // 64)), dtype=np.uint64)
+    np.bitwise_or.at(out, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    return out
+
+
+def leaf_links(
+    vectors: np.ndarray, weights: np.ndarray, lists: list[np.ndarray], one: np.ndarray, two: np.ndarray, leaf: int, cosine: float
+) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(weight of the links of each row, edges of a spanning forest) between rows `one` and rows `two`, which are the same or apart.
+
+    Links of rows that share an earlier leaf are left to that leaf.
     """
-    unit, spill, random = unit_rows(vectors), margin(cosine, vectors.shape[1]), np.random.default_rng(seed)
-    open_, found = [np.arange(len(vectors))], []
-    while open_:
-        rows = open_.pop()
-        if len(rows) > leaf:
-            way = random.standard_normal(unit.shape[1])
-            at = unit[rows] @ (way / np.linalg.norm(way))
-            middle = np.median(at)
-            sides = [rows[at <= middle + spill], rows[at >= middle - spill]]
-            if max(map(len, sides)) < 0.9 * len(rows):
-                open_ += sides
-                continue
-        i, j = pairs_between(vectors[rows], vectors[rows], cosine)
-        keep = rows[i] < rows[j]
-        found.append(np.stack([rows[i][keep], rows[j][keep]], axis=1))
-    return np.unique(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), axis=0)
+    earlier, same = earlier_leaves(lists, leaf), one is two
+    total, group, edges = np.zeros(len(vectors), dtype=np.int64), np.arange(len(vectors)), []
+    for i, j in near_pairs(vectors[one], vectors[two], cosine):
+        i, j = one[i], two[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        new = np.ones(len(i), dtype=bool)
+        for word in range(earlier.shape[1]):
+            new &= (earlier[i, word] & earlier[j, word]) == 0
+        i, j = i[new], j[new]
+        np.add.at(total, i, weights[j])
+        np.add.at(total, j, weights[i])
+        while len(i := i[apart := group[i] != group[j]]):  # join what is not joined yet, one link for each smaller group
+            j = j[apart]
+            low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
+            tops, at = np.unique(high, return_index=True)
+            edges += zip(i[at].tolist(), j[at].tolist())
+            onto = np.arange(len(vectors))
+            onto[tops] = low[at]
+            while (onto[onto] != onto).any():
+                onto = onto[onto]
+            group = onto[group]
+    return total, edges
 
 
 def _stack(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def link_vectors(classes: DataFrame, cosine: float = COSINE, trees: int = TREES) -> DataFrame:
-    """(a, b) with a < b: distinct pairs of near classes of one label.
+def link_vectors(classes: DataFrame, cosine: float = COSINE, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """((node, others), (a, b)): the weight of the near classes of one label of each class, and edges that join them.
 
-    `classes` has (node long, label, v array<double>). The upper levels of all trees are
-    fitted on at most FIT_ROWS vectors and sent to all tasks (TOP_DEPTH levels at
-    most); every vector goes to its leaves there. A group of (label, tree, leaf) grows the
-    rest of its tree in one task. A group of over TILE vectors is cut into tiles, and every
-    two tiles are compared in full in tasks of their own, so none is left out.
+    `classes` has (node long, label, v array, copies long). The trees are fitted on at most FIT_ROWS vectors and
+    sent to all tasks: 2^depth - 1 directions each, with FIT_LEAF fitted vectors a leaf at least. A leaf is compared in
+    tiles of about TILE vectors, every two of them in a task of their own, so a leaf that spill keeps
+    from shrinking, or that the sample is too small for, only takes more tasks. What a task gives is
+    at most two rows for each of its vectors.
     """
-    spark, total = classes.sparkSession, classes.count()
-    dims = [r[0] for r in classes.select(F.size("v")).distinct().collect()]  # few lengths: one embedding model, one length
-    out = spark.createDataFrame([], "a long, b long")
-    for dim in sorted(dims):
+    spark = classes.sparkSession
+    sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n"))
+    found = spark.createDataFrame([], "a long, b long, n long")
+    for dim, largest in sorted((r.dim, r.n) for r in sizes.collect()):  # few lengths: one embedding model, one length
         rows = classes.where(F.size("v") == dim)
-        share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.5 * FIT_ROWS / max(total, 1)) * (1 << 30)))
-        sample = unit_rows(_stack(rows.where(share).orderBy(F.xxhash64("node")).limit(FIT_ROWS).select("v").toPandas()["v"]).reshape(-1, dim))
-        depth = int(np.clip(np.ceil(np.log2(max(total / GROUP_ROWS, 1))), 0, TOP_DEPTH))
+        total = rows.count()
+        share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * FIT_ROWS / max(total, 1)) * (1 << 30)))
+        depth = int(np.ceil(np.log2(max(largest / LEAF_ROWS, 1))))
+        depth = min(depth, int(np.log2(max(min(total, FIT_ROWS) / FIT_LEAF, 1))))
+        fitted = min(FIT_ROWS, FIT_LEAF << (depth + 4))
+        sample = unit_rows(_stack(rows.where(share).orderBy(F.xxhash64("node")).limit(fitted).select("v").toPandas()["v"]).reshape(-1, dim))
         tops = [Top(sample, depth, t, margin(cosine, dim)) for t in range(trees)]
 
         def place(batches, tops=tops):
             for pdf in batches:
-                unit = unit_rows(_stack(pdf["v"]).reshape(len(pdf), -1))
+                unit, found = unit_rows(_stack(pdf["v"]).reshape(len(pdf), -1)), []
                 for t, top in enumerate(tops):
                     at, leaf = top.leaves(unit)
-                    yield pdf.iloc[at].assign(tree=np.int32(t), leaf=leaf)
-
-        label = classes.schema["label"].dataType.simpleString()
-        # One copy of a vector for each leaf; sizes are counted on the same plan, without the vectors
-        placed = cut(rows.mapInPandas(place, f"node long, label {label}, v array<double>, tree int, leaf long"))
-        sizes = placed.groupBy("label", "tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
-        parts = F.ceil(F.col("n") / F.lit(float(TILE))).cast("int")
-        tiled = placed.join(sizes.select("label", "tree", "leaf", parts.alias("parts")), ["label", "tree", "leaf"])
+                    found.append(np.stack([at, (np.int64(t) << 40) + leaf], axis=1))
+                at, leaf = np.concatenate(found).T
+                order = np.lexsort((leaf, at))
+                yield pdf.assign(leaves=np.split(leaf[order], np.cumsum(np.bincount(at, minlength=len(pdf)))[:-1]))
+
+        kept = f"node long, label {classes.schema['label'].dataType.simpleString()}, v {classes.schema['v'].dataType.simpleString()}, copies long"
+        placed = cut(rows.select("node", "label", "v", "copies").mapInPandas(place, f"{kept}, leaves array<long>"))
+        counted = placed.select("label", F.explode("leaves").alias("leaf")).groupBy("label", "leaf").agg(F.count(F.lit(1)).alias("n"))
+        tiles = counted.select("label", "leaf", F.ceil(F.col("n") / F.lit(float(TILE))).cast("int").alias("parts"))
+        tiled = placed.withColumn("leaf", F.explode("leaves")).join(tiles.where("parts > 1"), ["label", "leaf"], "left").na.fill(1, ["parts"])
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        tiled = tiled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keys = ["label", "tree", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
+        tiled = tiled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        keys = ["label", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
 
         def compare(key, pdf):
-            vectors, nodes = _stack(pdf["v"]), pdf["node"].to_numpy()
-            if key[3] == key[4] and pdf["parts"].iloc[0] == 1:
-                pairs = near_in_tree(vectors, cosine, [SEED, int(key[1]), int(key[2])])
-                i, j = pairs[:, 0], pairs[:, 1]
-            else:
-                one, two = (pdf["own"] == key[3]).to_numpy(), (pdf["own"] == key[4]).to_numpy()
-                i, j = pairs_between(vectors[one], vectors[two], cosine)
-                i, j = np.flatnonzero(one)[i], np.flatnonzero(two)[j]
-                i, j = i[nodes[i] != nodes[j]], j[nodes[i] != nodes[j]]
-            low, high = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
-            return pd.DataFrame({"a": low, "b": high}).drop_duplicates()
-
-        out = out.unionByName(tiled.groupBy(*keys).applyInPandas(compare, "a long, b long"))
-    return out.distinct()
+            one = np.flatnonzero(pdf["own"] == key[2])
+            two = one if key[2] == key[3] else np.flatnonzero(pdf["own"] == key[3])
+            nodes = pdf["node"].to_numpy()
+            total, edges = leaf_links(_stack(pdf["v"]), pdf["copies"].to_numpy(), pdf["leaves"].tolist(), one, two, int(key[1]), cosine)
+            at = np.flatnonzero(total)
+            ends = np.array(edges, dtype=np.int64).reshape(-1, 2)
+            mates = pd.array([pd.NA] * len(at) + nodes[ends[:, 1]].tolist(), dtype="Int64")
+            return pd.DataFrame({
+                "a": np.concatenate([nodes[at], nodes[ends[:, 0]]]), "b": mates, "n": np.concatenate([total[at], np.zeros(len(ends), dtype=np.int64)]),
+            })
+
+        found = found.unionByName(tiled.groupBy(*keys).applyInPandas(compare, "a long, b long, n long"))
+    found = cut(found)
+    others = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    return others, found.where("b IS NOT NULL").select("a", "b")
 
 
 def near_duplicates(
@@ -183,10 +216,7 @@ def near_duplicates(
     groups = whole.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     classes = cut(groups.withColumn("node", F.col("h1")))
-    edges = cut(link_vectors(classes.select("node", "label", "v"), cosine, trees))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("node").alias("b"), "copies")
-    links = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    links, edges = link_vectors(classes.select("node", "label", "v", "copies"), cosine, trees)
     roots = cut(components(edges))
     known = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = cut(known.select("h1", "h2", "root", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
