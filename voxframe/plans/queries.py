@@ -275,7 +275,7 @@ def build_vocab(spark, sf):
 
 
 def _encoded(spark, sf, wrap=False, cut=sequences.MAX_LABELS):
-    clips = V.clips(spark, sf).select("clip_id", "text")
+    clips = V.clips(spark, sf, wide=True).select("clip_id", "text")
     vocab = sequences.build_vocab(V.clips(spark, sf, wide=True), VOCAB)
     return vocab, sequences.encode_text(clips, vocab, ["clip_id"], "text", cut, VOCAB, wrap)
 
@@ -292,10 +292,10 @@ def decode_ids(spark, sf):
 
 
 def _batched(spark, sf):
-    clips = V.clips(spark, sf).select("clip_id", "text")
+    clips = V.clips(spark, sf, wide=True).select("clip_id", "text")
     vocab = sequences.build_vocab(V.clips(spark, sf, wide=True), VOCAB)
     encoded = sequences.encode_text(clips, vocab, ["clip_id"], vocab_size=VOCAB, wrap=True)
-    placed = order.assign_batches(order.with_position(clips.select("clip_id"), "clip_id"), 16)
+    placed = order.assign_batches(order.with_position(V.clips(spark, sf).select("clip_id"), "clip_id"), 16)
     batches = encoded.join(placed, "clip_id")
     # every fifth batch has rows without a start id
     bare = (F.col("batch") % 5 == 0) & (F.col("in_batch") % 2 == 1)
