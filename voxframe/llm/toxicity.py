@@ -25,6 +25,7 @@ EPOCHS = 6
 RATE = 0.3
 SPARSE = 0.05
 STEMS = (4, 5, 6, 7)
+TEXTS = 1000
 SEEN_IN = 5
 THRESHOLD = 0.5
 
@@ -50,16 +51,32 @@ def seen(text_of: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def texts_seen(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, values) of each text."""
-    vocab = Words(lambda new: [features(new)])
-    out = []
-    for t in texts:
-        places, lengths = vocab.places([t])
-        _, bucket, value = seen(owners(lengths), vocab.rows[0][places])
-        out.append((bucket, value))
+    """(buckets, values) of each text, as views of arrays over many texts, whose memory is given back as a whole."""
+    vocab, out = Words(lambda new: [features(new)]), []
+    for at in range(0, len(texts), TEXTS):
+        part = texts[at:at + TEXTS]
+        places, lengths = vocab.places(part)
+        text_of, bucket, value = seen(owners(lengths), vocab.rows[0][places])
+        out += _by_text(text_of, len(part), bucket.astype(np.int32), value)
     return out
 
 
+def _by_text(text_of: np.ndarray, n: int, bucket: np.ndarray, value: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    ends = np.cumsum(np.bincount(text_of, minlength=n))[:-1]
+    return list(zip(np.split(bucket, ends), np.split(value, ends)))
+
+
+def frequent(rows: list[tuple[np.ndarray, np.ndarray]], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows without buckets that fewer than `least` of them hold; empties `rows`, so that both are never held at once."""
+    if not rows:
+        return []
+    n, text_of = len(rows), owners(np.array([len(b) for b, _ in rows], dtype=np.int64)).astype(np.int32)
+    bucket, value = (np.concatenate(c) for c in zip(*rows))
+    rows.clear()
+    kept = np.bincount(bucket, minlength=1 << BUCKETS_LOG2)[bucket] >= least
+    return _by_text(text_of[kept], n, bucket[kept], value[kept])
+
+
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
     """Logistic model over the features seen and the `extra` columns, by AdaGrad steps with a lasso.
 
@@ -96,9 +113,7 @@ def predict(weights: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], extr
 
 def fit_chain(texts: list[bytes], labels: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
     """A model for each category (column of `labels`); every text belongs to the fold of its place."""
-    rows = texts_seen(texts)
-    counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *[b for b, _ in rows]]), minlength=1 << BUCKETS_LOG2)
-    rows = [(b[k], v[k]) for b, v in rows for k in [counts[b] >= SEEN_IN]]
+    rows = frequent(texts_seen(texts), SEEN_IN)
     fold, extra, models = np.arange(len(rows)) % folds, np.zeros((len(rows), 0)), []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
