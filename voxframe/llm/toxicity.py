@@ -25,7 +25,7 @@ EPOCHS = 6
 RATE = 0.3
 SPARSE = 0.05
 STEMS = (4, 5, 6, 7)
-TEXTS = 1000
+TEXTS = 2000
 SEEN_IN = 5
 THRESHOLD = 0.5
 
