@@ -29,7 +29,7 @@ FIT_LEAF = 16
 SPILL = 1.0
 TILE = 8_192
 STEP = 512
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 SEED = 20
 
 
@@ -74,14 +74,20 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of the pairs with that cosine or more, by double precision; at most PAIRS pairs and STEP rows of `a` at once."""
+    """Places (i, j) of the pairs with that cosine or more, in blocks of at most STEP rows of `a` and PAIRS pairs.
+
+    All in double precision; what lies within 1e-9 of the limit is worked out again from the vectors as they are.
+    """
     ua, ub = unit_rows(a), unit_rows(b)
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     step = max(1, min(STEP, PAIRS // max(len(b), 1)))
     for at in range(0, len(a), step):
-        i, j = np.nonzero(ua[at:at + step] @ ub.T >= cosine - 1e-9)
+        alike = ua[at:at + step] @ ub.T
+        i, j = np.nonzero(alike >= cosine - 1e-9)
+        sure = alike[i, j] > cosine + 1e-9
         i += at
-        near = np.einsum("ij,ij->i", a[i], b[j]) / (na[i] * nb[j]) >= cosine
+        x, y = a[i[~sure]], b[j[~sure]]
+        near = sure.copy()
+        near[~sure] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= cosine
         yield i[near], j[near]
 
 
@@ -108,6 +114,8 @@ def leaf_links(
     """
     earlier, same = earlier_leaves(lists, leaf), one is two
     total, group, edges = np.zeros(len(vectors), dtype=np.int64), np.arange(len(vectors)), []
+    if earlier.size and (np.bitwise_and.reduce(earlier, axis=0) != 0).any():
+        return total, edges  # all rows share an earlier leaf
     for i, j in near_pairs(vectors[one], vectors[two], cosine):
         i, j = one[i], two[j]
         if same:
@@ -116,8 +124,8 @@ def leaf_links(
         for word in range(earlier.shape[1]):
             new &= (earlier[i, word] & earlier[j, word]) == 0
         i, j = i[new], j[new]
-        np.add.at(total, i, weights[j])
-        np.add.at(total, j, weights[i])
+        for row, weight in ((i, weights[j]), (j, weights[i])):  # sums below 2^53 are exact
+            total += np.bincount(row, weight, len(total)).astype(np.int64)
         while len(i := i[apart := group[i] != group[j]]):  # join what is not joined yet, one link for each smaller group
             j = j[apart]
             low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
