@@ -2,12 +2,14 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from voxframe.functions import audio
 from voxframe.operators import inference, order, rows, scores
+from voxframe.plans.queries import REGISTERED
 from voxframe.session import scratch_dir
 from voxframe.sources import logs, snapshots, tables
 from voxframe.sources import scores as stored
@@ -455,3 +457,24 @@ def test_clip_features(spark):
     want = direct_log_mel(wave(16_000, 1.0), 128)
     assert np.array(fixed).shape == (128, 3000) and np.allclose(fixed, want, atol=1e-6)
     assert (got[3].duration, got[3].fill) == (0.0, -1.5)
+
+
+@pytest.mark.parametrize("name", ["stream_valid_clips", "stream_scores", "stream_progress", "stream_shuffle", "stream_buffers"])
+def test_stream_of_a_table_of_several_files(spark, tmp_path, name):
+    """A table that is a folder of files, in no order of their rows, streams the same rows as one that is a single file."""
+    docs = spark.range(250).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "10L AS n_chars")
+    vectors = spark.range(40).selectExpr(
+        "id AS vec_id", "CAST(id % 3 AS INT) AS label", "transform(sequence(0, 15), i -> CAST(((id + i) * 7) % 11 AS FLOAT)) AS embedding")
+    for part, (a, b) in enumerate([(0.3, 0.8), (0, 0.3), (0.8, 1)]):
+        for df, key, n, table in ((docs, "doc_id", 250, "documents"), (vectors, "vec_id", 40, "embeddings")):
+            if part == 0:
+                pq.write_table(df.orderBy(key).toArrow(), f"{_folder(tmp_path / 'one')}/{table}.parquet")
+            rows_of_part = df.where(F.col(key).between(int(a * n), int(b * n) - 1)).toArrow()
+            pq.write_table(rows_of_part, f"{_folder(tmp_path / 'many' / f'{table}.parquet')}/part-{part}.parquet")
+    got = [content(REGISTERED[name](spark, f"{tmp_path}/{d}")) for d in ("one", "many")]
+    assert got[0] == got[1] and got[0]
+
+
+def _folder(path):
+    path.mkdir(parents=True, exist_ok=True)
+    return path

@@ -45,15 +45,19 @@ def joined(c: str) -> Column:
 # --- sources and sinks
 
 
+def _stream(spark, sf, name, files_per_trigger=None):
+    """A table as a stream; the path is a pattern, which a folder of files matches as well as a single file."""
+    schema = V.table(spark, sf, name).schema
+    return tables.read_stream_source(spark, f"{sf}/{name}[.]parquet", schema, files_per_trigger)
+
+
 def scan_split(spark, sf):
     return tables.read_split(spark, f"{sf}/documents.parquet", "fr", "lang").select("doc_id", "lang", "n_chars")
 
 
 def stream_valid_clips(spark, sf):
     out = scratch_dir(spark, "valid-clips")
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    docs = tables.read_stream_source(spark, sf, schema, glob="documents*.parquet")
-    clips = docs.select(
+    clips = _stream(spark, sf, "documents").select(
         F.col("doc_id").alias("clip_id"),
         F.when(F.col("doc_id") % 17 == 0, "  ").otherwise(F.col("text")).alias("text"),
         "lang",
@@ -91,8 +95,7 @@ def _score(valid: DataFrame) -> DataFrame:
 def _scored_stream(spark, sf):
     """Every vector is an example of one token; the second run has lost its checkpoint and finds everything stored."""
     out = scratch_dir(spark, "scored")
-    vectors = V.table(spark, sf, "embeddings")
-    examples = _examples(tables.read_stream_source(spark, sf, vectors.schema, glob="embeddings*.parquet"))
+    examples = _examples(_stream(spark, sf, "embeddings"))
     for turn in (1, 2):
         jobs.score_stream(examples, _score, TOP, out, f"{out}/checkpoint-{turn}", {}).awaitTermination()
     return out
@@ -124,18 +127,28 @@ def stream_progress(spark, sf):
 
 def stream_shuffle(spark, sf):
     out = scratch_dir(spark, "shuffled")
-    docs = tables.read_stream_source(spark, sf, V.table(spark, sf, "documents").schema, glob="documents*.parquet")
-    clips = docs.select(F.col("doc_id").alias("clip_id"))
+    clips = _stream(spark, sf, "documents").select(F.col("doc_id").alias("clip_id"))
     jobs.shuffle_stream(clips, 42, "clip_id", f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("clip_id", "shuffle_pos")
 
 
 def stream_buffers(spark, sf):
-    """Buffers of 100 rows over triggers of one file, the last one drained at the end."""
+    """Buffers of 100 rows over triggers of one file, the last one drained at the end.
+
+    `shuffle_stream` takes rows in the order of the key, in which the files of a table need not arrive. So the ids
+    arrive in ranges, one for each file of the table and eight at most, and every range is a run that goes on from the last.
+    """
     out = scratch_dir(spark, "shuffled")
-    docs = tables.read_stream_source(spark, sf, V.table(spark, sf, "documents").schema, 1, "documents*.parquet")
-    clips = docs.select(F.col("doc_id").alias("clip_id"))
-    jobs.shuffle_stream(clips, 42, "clip_id", out, f"{out}/checkpoint", buffer=100).awaitTermination()
+    docs = V.table(spark, sf, "documents")
+    clips, n = kept(docs.select(F.col("doc_id").alias("clip_id")).orderBy("clip_id"), "clips"), min(len(docs.inputFiles()), 8)
+    ends = clips.agg(F.percentile_approx("clip_id", [i / n for i in range(1, n + 1)])).first()[0] or [None]
+    bounds = [None, *ends[:-1], None]
+    for low, high in zip(bounds, bounds[1:]):
+        due = clips if low is None else clips.where(F.col("clip_id") > low)
+        due = due if high is None else due.where(F.coalesce(F.col("clip_id") <= high, F.lit(True)))
+        due.coalesce(1).write.mode("append").parquet(f"{out}/arrived")
+        arrived = tables.read_stream_source(spark, f"{out}/arrived", clips.schema, 1)
+        jobs.shuffle_stream(arrived, 42, "clip_id", out, f"{out}/checkpoint", buffer=100).awaitTermination()
     jobs.drain_shuffle(spark, 42, "clip_id", out, 100)
     return spark.read.parquet(f"{out}/rows").select("clip_id", "shuffle_pos")
 
