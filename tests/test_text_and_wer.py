@@ -157,3 +157,22 @@ def test_names(spark):
     assert df.select(T.step_number(F.col("n"), "step")).collect()[-1][0] == 7
     paths = spark.createDataFrame([("out/run/final", True), ("/a/b/", True), ("org/model-x/y", False), ("solo", True)], ["p", "l"])
     assert [r[0] for r in paths.select(T.run_label(F.col("p"), F.col("l"))).collect()] == ["run/final", "a/b", "org/model-x/y", "solo"]
+
+
+class CountedWord(str):
+    read = 0
+
+    def __hash__(self):
+        CountedWord.read += 1
+        return str.__hash__(self)
+
+
+def test_edit_counts_fill_the_table_once(monkeypatch):
+    """The way back reads what the forward pass has kept; a table too large to keep gives the same counts."""
+    ref = [f"w{i % 90}" for i in range(400)]
+    hyp = [CountedWord("new" if i % 5 == 0 else w) for i, w in enumerate(ref) if i % 7]
+    CountedWord.read = 0
+    counts = T.edit_counts(ref, hyp)
+    assert CountedWord.read <= len(hyp) and sum(counts) == T.edit_distance(ref, hyp)
+    monkeypatch.setattr(T, "TABLE_BITS", 0)
+    assert T.edit_counts(ref, hyp) == counts

@@ -57,6 +57,9 @@ def repetition_score(c: Column, n: int = 3) -> Column:
     return F.when(c.isNotNull(), let(tokens(c), score))
 
 
+TABLE_BITS = 1 << 25  # 4 MB for each of the two bits of a step
+
+
 def edit_distance(ref: list[str], hyp: list[str]) -> int:
     """Least number of word substitutions, deletions and insertions.
 
@@ -96,8 +99,10 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
 
     Equal words at both ends are paired. From the end of what is left, equal words are paired, and among
     steps that keep the fewest edits a substitution goes before a deletion, a deletion before an insertion.
-    The forward pass of `edit_distance` keeps one column in every sqrt(n); the way back computes the
-    columns between two of them once more, so memory is 2 sqrt(n) columns of bits, whatever the length.
+    Two bits tell each step of the way back: whether the value is that of the neighbour on the diagonal, and
+    whether it is one above its neighbour in the column. The forward pass of `edit_distance` has both for a whole
+    column and keeps them, for tables up to TABLE_BITS. Of a larger table it keeps one column in every sqrt(n), and
+    the way back computes the columns between two of them once more, so memory is 2 sqrt(n) columns of bits.
     """
     start, end = 0, min(len(ref), len(hyp))
     while start < end and ref[start] == hyp[start]:
@@ -113,49 +118,40 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
         places[w] = places.get(w, 0) | 1 << i
     full = (1 << len(ref)) - 1
 
-    def column(up: int, down: int, word: str) -> tuple[int, int]:
-        match = places.get(word, 0)
-        level = ((((match & up) + up) ^ up) | match | down) & full
-        rise = (down | ((level | up) ^ full)) << 1 | 1
-        fall = (up & level) << 1
-        return (fall | ((level | rise) ^ full)) & full, rise & level
-
-    span = isqrt(len(hyp)) + 1
-    kept, at = [(full, 0)], (full, 0)
-    for j, w in enumerate(hyp, 1):
-        at = column(*at, w)
-        if j % span == 0:
-            kept.append(at)
-
-    def value(j: int, i: int, steps: tuple[int, int]) -> int:
-        below = (1 << i) - 1
-        return j + (steps[0] & below).bit_count() - (steps[1] & below).bit_count()
+    def columns(up: int, down: int, words: list[str], keep: bool) -> tuple[int, int, list[int], list[int]]:
+        same, above = [], []
+        for w in words:
+            match = places.get(w, 0)
+            level = ((((match & up) + up) ^ up) | match | down) & full
+            rise = (down | ((level | up) ^ full)) << 1 | 1
+            up = ((up & level) << 1 | ((level | rise) ^ full)) & full
+            down = rise & level
+            if keep:
+                same.append(level)
+                above.append(up)
+        return up, down, same, above
+
+    whole = len(ref) * len(hyp) <= TABLE_BITS
+    span = len(hyp) if whole else isqrt(len(hyp)) + 1
+    kept = [(full, 0)]
+    for first in range(0, len(hyp) - span, span):
+        kept.append(columns(*kept[-1], hyp[first : first + span], False)[:2])
 
     i, j = len(ref), len(hyp)
-    counts, distance = [0, 0, 0], value(j, i, at)
-    while j:
+    substitutions = deletions = insertions = 0
+    while i and j:
         first = (j - 1) // span * span
-        columns = [kept[first // span]]
-        for w in hyp[first:j]:
-            columns.append(column(*columns[-1], w))
+        _, _, same, above = columns(*kept[first // span], hyp[first:j], True)
         while j > first and i:
             if ref[i - 1] == hyp[j - 1]:
                 i, j = i - 1, j - 1
-                continue
-            before, here = columns[j - first - 1], columns[j - first]
-            if value(j - 1, i - 1, before) == distance - 1:
-                kind, i, j = 0, i - 1, j - 1
-            elif here[0] >> (i - 1) & 1:
-                kind, i = 1, i - 1
+            elif not same[j - first - 1] >> (i - 1) & 1:
+                substitutions, i, j = substitutions + 1, i - 1, j - 1
+            elif above[j - first - 1] >> (i - 1) & 1:
+                deletions, i = deletions + 1, i - 1
             else:
-                kind, j = 2, j - 1
-            counts[kind] += 1
-            distance -= 1
-        if not i:
-            break
-    counts[1] += i
-    counts[2] += j
-    return counts[0], counts[1], counts[2]
+                insertions, j = insertions + 1, j - 1
+    return substitutions, deletions + i, insertions + j
 
 
 def wer_words(text: str) -> list[str]:
