@@ -2,14 +2,17 @@
 
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from voxframe.llm import language_model as L
 from voxframe.llm import quality, toxicity
+from voxframe.llm.common import chunks
 from voxframe.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -117,6 +120,25 @@ def test_filter_reads_what_was_counted(spark):
     assert (L.level_of(np.arange(1, 10**5)) <= np.arange(1, 10**5)).all()
 
 
+def test_counts_are_added_up_in_little_memory():
+    held = []
+    for seed in range(4):
+        rows = np.empty(200_000, dtype=L.ENTRY)
+        rows["k"] = np.unique(L.mixed(np.arange(300_000 * seed // 2, 300_000 * seed // 2 + 200_000, dtype=np.uint64), 4))
+        rows["n"] = seed + 1
+        held.append(rows)
+    tracemalloc.start()
+    got = L.added(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    everything = np.concatenate(held)
+    keys, place = np.unique(everything["k"], return_inverse=True)
+    assert (got["k"] == keys).all() and (got["n"] == np.bincount(place, everything["n"])).all()
+    assert peak < 3 * everything.nbytes
+    texts = pa.array(["x" * 300_000] * 12)
+    assert [(at, len(part)) for at, part in chunks(texts, L.TEXT_BYTES)] == [(0, 3), (3, 3), (6, 3), (9, 3)]
+
+
 def odd_rows(spark):
     rows = [(None, "some words"), (1, None), (1, ""), (1, ""), (2, "  \n"), (3, "$$$ &&& " * 20_000), (4, "\x00 é 😀")]
     return spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], SCHEMA), rows

@@ -35,6 +35,8 @@ SINGLE = -1  # the group of single tokens, which every pass needs
 COMMON = 1 << 17
 PRIOR = 4.0
 GATHER = 2_000_000
+TEXT_BYTES = 1 << 20  # texts worked on at once; a token takes some 30 times its bytes meanwhile
+PARTS = 8
 
 
 def _ids(words: list[bytes]) -> np.ndarray:
@@ -73,7 +75,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         vocab = Words(lambda new: [_ids(new)])
         for batch in batches:
             parts = []
-            for _, part in chunks(batch.column(0)):
+            for _, part in chunks(batch.column(0), TEXT_BYTES):
                 places, _, _ = _tokens(vocab, part)
                 parts.append(np.where(places < 0, np.uint64(END), np.append(vocab.rows[0], np.uint64(0))[places]))
             keys, n = _counted(parts)
@@ -94,33 +96,30 @@ def gather_ngrams(texts: DataFrame, groups: int, pieces_log2: int) -> DataFrame:
     large rows are shuffled; what is sent grows with the texts.
     """
 
-    def packed(singles: list[np.ndarray], pairs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-        out = []
-        keys, group = np.concatenate([np.zeros(0, np.uint64), *pairs]), np.concatenate([np.zeros(0, np.int64), *owners])
-        for grp, part in [(SINGLE, np.concatenate([np.zeros(0, np.uint64), *singles])), *((g, keys[group == g] if groups > 1 else keys) for g in range(groups))]:
-            found, n = np.unique(part, return_counts=True)
-            names, begins = np.unique((found >> np.uint64(64 - pieces_log2)).astype(np.int64), return_index=True)
-            rows = np.empty(len(found), dtype=ENTRY)
-            rows["k"], rows["n"] = found, n
-            out += [(grp, int(p), r.tobytes()) for p, r in zip(names, np.split(rows, begins[1:]))]
-        columns = zip(*out) if out else [[], [], []]
+    def packed(grp: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = _counted(parts)
+        names, begins = np.unique((found >> np.uint64(64 - pieces_log2)).astype(np.int64), return_index=True)
+        rows = np.empty(len(found), dtype=ENTRY)
+        rows["k"], rows["n"] = found, n
+        columns = [grp] * len(names), names, [r.tobytes() for r in np.split(rows, begins[1:])][:len(names)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["grp", "piece", "packed"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, singles, pairs, owners = Words(lambda new: [_ids(new)]), [], [], []
+        vocab, held, size = Words(lambda new: [_ids(new)]), {}, 0
         for batch in batches:
-            for _, part in chunks(batch.column(0)):
+            for _, part in chunks(batch.column(0), TEXT_BYTES):
                 places, _, first = _tokens(vocab, part)
                 tokens = np.where(places < 0, np.uint64(END), np.append(vocab.rows[0], np.uint64(0))[places])
                 before = np.where(first, np.uint64(START), np.roll(tokens, 1))
-                singles += [single_keys(tokens), single_keys(np.full(len(part), START, dtype=np.uint64))]
-                pairs.append(pair_keys(before, tokens))
-                if groups > 1:
-                    owners.append(group_of(before, groups))
-                if sum(map(len, pairs)) > GATHER:
-                    yield packed(singles, pairs, owners)
-                    singles, pairs, owners = [], [], []
-        yield packed(singles, pairs, owners)
+                held.setdefault(SINGLE, []).extend([single_keys(tokens), single_keys(np.full(len(part), START, dtype=np.uint64))])
+                keys, group = pair_keys(before, tokens), group_of(before, groups) if groups > 1 else None
+                for g in range(groups):
+                    held.setdefault(g, []).append(keys if group is None else keys[group == g])
+                size += len(keys)
+                if size > GATHER:
+                    yield from (packed(grp, held.pop(grp)) for grp in [*held])
+                    size = 0
+        yield from (packed(grp, held.pop(grp)) for grp in [*held])
 
     return texts.select("text").mapInArrow(apply, "grp int, piece int, packed binary")
 
@@ -167,22 +166,34 @@ class Filter:
         return _MEANS[levels]
 
 
+def added(held: list[np.ndarray]) -> np.ndarray:
+    """The entries of several arrays sorted by key as one such array, the counts of a key added up.
+
+    It is made in PARTS ranges of the key one after the other, so that sorting takes the memory of one range.
+    """
+    low, high = min(int(h["k"][0]) for h in held), max(int(h["k"][-1]) for h in held)
+    edges = np.array([low + (high - low) * part // PARTS for part in range(1, PARTS)], dtype=np.uint64)
+    cuts = [[0, *np.searchsorted(h["k"], edges), len(h)] for h in held]
+    out = []
+    for part in range(PARTS):
+        rows = np.concatenate([h[c[part]:c[part + 1]] for h, c in zip(held, cuts)])
+        if len(rows):
+            rows = rows[np.argsort(rows["k"], kind="stable")]
+            keys, begins = np.unique(rows["k"], return_index=True)
+            out.append(np.empty(len(keys), dtype=ENTRY))
+            out[-1]["k"], out[-1]["n"] = keys, np.add.reduceat(rows["n"], begins)
+    return np.concatenate(out)
+
+
 def merge_counts(ngrams: DataFrame) -> DataFrame:
     """(grp, piece, entries, keys, levels): the distinct n-grams of each piece with the level of their whole count, stored.
 
     A task takes one piece after the other, and adds up what it holds of one whenever that has grown to PIECE_TOKENS.
     """
 
-    def added(held: list[np.ndarray]) -> np.ndarray:
-        rows = np.concatenate(held)
-        rows = rows[np.argsort(rows["k"], kind="stable")]
-        keys, begins = np.unique(rows["k"], return_index=True)
-        out = np.empty(len(keys), dtype=ENTRY)
-        out["k"], out["n"] = keys, np.add.reduceat(rows["n"], begins)
-        return out
-
     def whole(at: tuple[int, int], held: list[np.ndarray]) -> pa.RecordBatch:
         rows = added(held)
+        held.clear()
         levels = level_of(rows["n"])
         values = [at[0], at[1], int(levels.sum()), rows["k"].tobytes(), levels.astype(np.uint8).tobytes()]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
@@ -191,12 +202,12 @@ def merge_counts(ngrams: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, size = None, [], 0
         for batch in batches:
-            for grp, piece, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for grp, piece, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if (grp, piece) != last and held:
                     yield whole(last, held)
                     held, size = [], 0
                 last = (grp, piece)
-                held.append(np.frombuffer(rows, dtype=ENTRY))
+                held.append(np.frombuffer(row.as_py(), dtype=ENTRY))
                 size += len(held[-1])
                 if size > PIECE_TOKENS and len(held) > 1:
                     held = [added(held)]
@@ -306,7 +317,7 @@ def score_documents(docs: DataFrame, held: Column, common: int = COMMON, doc_id:
             return score
 
         more = "" if group else ", n_tokens long, n_common long, base_common double, rest array<long>"
-        out = cut(map_texts(numbered_rows, "text", [ROW] if group else [ROW, "doc_id", "held_out"], make, "score double" + more))
+        out = cut(map_texts(numbered_rows, "text", [ROW] if group else [ROW, "doc_id", "held_out"], make, "score double" + more, TEXT_BYTES))
         shared.destroy()
         return out
 
